@@ -4,18 +4,18 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from ragscope.plans import analytics
+    from ragscope.plans import analytics, retrieval_q
 
     out = {}
-    for mod in (analytics,):
+    for mod in (analytics, retrieval_q):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles() -> dict:
-    from ragscope.plans import oracle_analytics
+    from ragscope.plans import oracle_analytics, retrieval_q
 
     out = {}
-    for mod in (oracle_analytics,):
+    for mod in (oracle_analytics, retrieval_q):
         out.update(mod.ORACLES)
     return out
