@@ -119,14 +119,17 @@ def exclude_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: s
     return df.where(~any_hit)
 
 
-def exclusion_report(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """Dropped count and percentage (null percentage on empty input)."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    k = kept.agg(F.count(F.lit(1)).alias("kept"))
-    return n.join(k, how="inner").select(
-        "n", "kept", (F.col("n") - F.col("kept")).alias("dropped"),
-        F.when(F.col("n") > 0, F.round((F.col("n") - F.col("kept")) / F.col("n") * 100, 1)).alias("pct"),
-    )
+def exclusion_report(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
+                     threshold: float = 3.0, qmethod: str = "sort") -> DataFrame:
+    """``n, dropped, pct`` of ``exclude_outliers`` in one pass (pct null on
+    empty input instead of a division error)."""
+    cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
+    b = _bounds_scalar(df, cols, method, threshold, qmethod)
+    any_hit = F.lit(False)
+    for c in cols:
+        any_hit = any_hit | _is_out(c, b)
+    agg = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(any_hit).alias("dropped"))
+    return agg.select("n", "dropped", F.when(F.col("n") > 0, F.col("dropped") / F.col("n") * 100).alias("pct"))
 
 
 def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",

@@ -110,12 +110,10 @@ def eval_grid(configs: DataFrame, entries: DataFrame, order: Sequence[str], run_
 def dry_run(configs: DataFrame, entries: DataFrame, run_col: str = "run_id", repeat_col: str = "repeat",
             limit_col: str = "limit") -> DataFrame:
     """Per config: entries to run, repetitions and evaluations - no evaluation."""
-    n = entries.agg(F.count(F.lit(1)).alias("n_entries"))
-    cfg = configs.select(F.col(run_col).cast("string").alias("run_id"),
+    n = entries.agg(F.count(F.lit(1)).alias("n_entries")).scalar()  # scalar subquery
+    out = configs.select(F.col(run_col).cast("string").alias("run_id"),
                          F.coalesce(F.col(repeat_col).cast("int"), F.lit(1)).alias("repeat"),
-                         F.col(limit_col).cast("long").alias("limit"))
-    # ``n`` is one row: the join is a broadcast of a single value.
-    out = cfg.join(F.broadcast(n), how="inner")
+                         F.col(limit_col).cast("long").alias("limit"), n.alias("n_entries"))
     run_n = F.when(F.col("limit").isNull(), F.col("n_entries")).otherwise(F.least("limit", "n_entries"))
     return out.select("run_id", "repeat", "limit", run_n.alias("entries_to_run"),
                       (run_n * F.col("repeat")).alias("evaluations"))
