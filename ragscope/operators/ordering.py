@@ -1,10 +1,13 @@
-"""Order-dependent helpers without single-partition windows.
+"""Order-dependent helpers without single-task windows.
 
-pandas' positional semantics (first-N, cumcount, input order) need a total
-order.  ``row_number() over (order by ...)`` without a partition runs in a
-single task; ``with_ordinal`` gives the same 0-based global rank with a
+pandas' positional semantics (first-N, cumcount, per-session sequence
+numbers) need a rank in a total order.  ``row_number() over (partition by
+g order by ...)`` puts a whole group in one task, and without ``partition
+by`` the whole table.  ``group_rank`` computes the same 0-based rank with a
 range-partitioned sort and per-partition offsets (the DataFrame form of
-``zipWithIndex``).
+``zipWithIndex``): a group holding a third of all rows is spread across as
+many tasks as its rows need, and the only small table involved has one row
+per (partition, group segment).
 """
 
 from __future__ import annotations
@@ -14,22 +17,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33
+_LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row
 
 
-def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "_ord") -> DataFrame:
-    """Add a 0-based global rank ``name`` following ``order`` (ties in an
-    arbitrary but consistent order - pass a total order for stable output)."""
+def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_rank") -> DataFrame:
+    """Add ``name``: 0-based rank of each row inside its ``keys`` group,
+    following ``order`` (pass a total order for deterministic output)."""
+    keys = list(keys)
+    cols = [*keys, *order]
     ranked = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(*cols)
+        .sortWithinPartitions(*cols)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
         .withColumn("_li", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+        .drop("_mid")
     )
-    seg = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: the offset table is as small as the partition count.
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = F.broadcast(seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off"))
-    return ranked.join(offs, "_pid").withColumn(name, F.col("_off") + F.col("_li")).drop(
-        "_mid", "_pid", "_li", "_off")
+    seg = ranked.groupBy("_pid", *keys).agg(F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    # Null-safe on the group keys: a null group is a group too.
+    seg = seg.select(F.col("_pid").alias("_spid"), *[F.col(k).alias(f"_s_{i}") for i, k in enumerate(keys)],
+                     "_first", "_off")
+    cond = F.col("_pid") == F.col("_spid")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{i}"))
+    out = ranked.join(seg, cond, "inner").drop("_spid", *[f"_s_{i}" for i in range(len(keys))])
+    return out.withColumn(name, F.col("_off") + F.col("_li") - F.col("_first")).drop(
+        "_pid", "_li", "_first", "_off")
+
+
+def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "_ord") -> DataFrame:
+    """Add a 0-based global rank ``name`` following ``order``."""
+    return group_rank(df, [], order, name)

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragscope.functions.numeric import round_binary
 from ragscope.operators.quantiles import quantile_wide
 from ragscope.operators.stats import numeric_metric_cols, present
 
@@ -88,8 +89,8 @@ def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str
             F.struct(
                 F.lit(c).alias("outlier_col"),
                 F.col(c).cast("double").alias("value"),
-                F.round(b.lower(c), 4).alias("lower"),
-                F.round(b.upper(c), 4).alias("upper"),
+                round_binary(b.lower(c), 4).alias("lower"),
+                round_binary(b.upper(c), 4).alias("upper"),
                 _is_out(c, b).alias("_hit"),
             )
             for c in cols

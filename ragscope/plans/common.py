@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragscope.functions.numeric import round_binary
 from ragscope.sources.tables import events, nan_to_null, read_table
 
 # Run ids of the derived metric table, in report order (rule: run_00..run_15).
@@ -34,7 +35,7 @@ def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column (comparison-friendly output)."""
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+        round_binary(F.col(f"`{f.name}`"), digits).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])
