@@ -115,5 +115,5 @@ def dry_run(configs: DataFrame, entries: DataFrame, run_col: str = "run_id", rep
                          F.coalesce(F.col(repeat_col).cast("int"), F.lit(1)).alias("repeat"),
                          F.col(limit_col).cast("long").alias("limit"), n.alias("n_entries"))
     run_n = F.when(F.col("limit").isNull(), F.col("n_entries")).otherwise(F.least("limit", "n_entries"))
-    return out.select("run_id", "repeat", "limit", run_n.alias("entries_to_run"),
+    return out.select("run_id", "repeat", F.col("limit").alias(limit_col), run_n.alias("entries_to_run"),
                       (run_n * F.col("repeat")).alias("evaluations"))
