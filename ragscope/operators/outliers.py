@@ -22,7 +22,7 @@ ID_COLS = ("session_id", "run_id", "claim_id", "trace_id")
 
 
 def outlier_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 3.0,
-                   qmethod: str = "sort") -> DataFrame:
+                   qmethod: str = "auto") -> DataFrame:
     """One row: ``<col>__lower``, ``<col>__upper`` per column; both null when
     the spread (IQR or std) is zero, which disables the rule for it."""
     if method == "iqr":
@@ -76,7 +76,7 @@ def _is_out(c: str, b: _Bounds) -> Column:
 
 def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
                   threshold: float = 3.0, id_cols: Sequence[str] = ID_COLS,
-                  qmethod: str = "sort") -> DataFrame:
+                  qmethod: str = "auto") -> DataFrame:
     """One row per (input row, outlying column): ``outlier_col, value,
     lower, upper`` (bounds rounded to 4 places), the id columns and the
     inspected metric columns.  Strict ``<``/``>``; zero spread skips a column.
@@ -107,7 +107,7 @@ def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str
 
 
 def exclude_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
-                     threshold: float = 3.0, qmethod: str = "sort") -> DataFrame:
+                     threshold: float = 3.0, qmethod: str = "auto") -> DataFrame:
     """Rows of ``df`` not outlying in any column (nulls kept).  All bounds
     come from the unfiltered frame."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
@@ -121,7 +121,7 @@ def exclude_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: s
 
 
 def exclusion_report(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
-                     threshold: float = 3.0, qmethod: str = "sort") -> DataFrame:
+                     threshold: float = 3.0, qmethod: str = "auto") -> DataFrame:
     """``n, dropped, pct`` of ``exclude_outliers`` in one pass (pct null on
     empty input instead of a division error)."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
@@ -134,7 +134,7 @@ def exclusion_report(df: DataFrame, cols: Sequence[str] | None = None, method: s
 
 
 def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
-                    threshold: float = 3.0, qmethod: str = "sort") -> DataFrame:
+                    threshold: float = 3.0, qmethod: str = "auto") -> DataFrame:
     """Per column: outlier count and % of its non-null values, pct desc."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
     b = _bounds_scalar(df, cols, method, threshold, qmethod)

@@ -13,6 +13,14 @@ Two physical strategies, same answer:
   partial maps value -> count).  Cheaper for many small, bounded groups;
   its final merge holds all distinct values of one group in one task, so
   it is not used when groups can be hot.
+* ``method="window"``: a per-group sort (``row_number`` and ``count`` over
+  ``partition by group order by value``), keeping only the interpolation
+  rows.  Tungsten sort, spillable, but one task per group.
+* ``method="auto"`` (default): one cheap count per (group, metric) first;
+  the groups above ``hot_rows`` values (at most total / hot_rows of them, so
+  the list fetched to the driver is bounded) go through the sort path, all
+  other groups - each bounded by ``hot_rows`` - through the window path, and
+  the two results are unioned.
 
 Output is long form: ``by..., metric, p, q``.
 """
@@ -37,12 +45,16 @@ def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
     )
 
 
+HOT_ROWS = 1_000_000  # values per group above which the hash buffer is not used
+
+
 def quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    method: str = "sort",
+    method: str = "auto",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     by = list(by)
     probs = [float(p) for p in probs]
@@ -52,9 +64,38 @@ def quantiles(
     long = to_long(df, cols, by)
     if method == "hash":
         return _hash_quantiles(long, probs, by)
-    if method != "sort":
+    if method == "sort":
+        return _sort_quantiles(long, probs, by)
+    if method == "window":
+        return _window_quantiles(long, probs, by)
+    if method != "auto":
         raise ValueError(f"unknown quantile method {method!r}")
-    return _sort_quantiles(long, probs, by)
+    keys = by + ["metric"]
+    hot = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+           .select(*keys).collect())  # bounded: at most (#values / hot_rows) rows
+    if not hot:
+        return _window_quantiles(long, probs, by)
+    hot_df = long.sparkSession.createDataFrame([tuple(r) for r in hot], long.select(*keys).schema)
+    hot_long = long.join(F.broadcast(hot_df), keys, "left_semi")
+    cold_long = long.join(F.broadcast(hot_df), keys, "left_anti")
+    return _sort_quantiles(hot_long, probs, by).unionByName(_window_quantiles(cold_long, probs, by))
+
+
+def _window_quantiles(long: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    keys = by + ["metric"]
+    ranked = long.select(
+        *keys, "v",
+        (F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1).alias("_r"),
+        F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    targets = F.array(*[F.struct(F.lit(p).alias("p"), ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs])
+    hit = (ranked.select("*", F.explode(targets).alias("_t"))
+           .select(*keys, "v", "_r", F.col("_t.p").alias("p"), F.col("_t.h").alias("h"))
+           .where((F.col("_r") == F.floor("h")) | (F.col("_r") == F.ceil("h"))))
+    out = hit.groupBy(*keys, "p", "h").agg(
+        F.max(F.when(F.col("_r") == F.floor("h"), F.col("v"))).alias("_vlo"),
+        F.max(F.when(F.col("_r") == F.ceil("h"), F.col("v"))).alias("_vhi"))
+    frac = F.col("h") - F.floor("h")
+    return out.select(*keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q"))
 
 
 def _hash_quantiles(long: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
@@ -130,7 +171,7 @@ def quantile_wide(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    method: str = "sort",
+    method: str = "auto",
     name=lambda c, p: f"{c}__q{round(p * 100):g}",
 ) -> DataFrame:
     """``quantiles`` pivoted to one row per group: ``by..., <name(c,p)>``."""

@@ -19,7 +19,7 @@ from ragscope.operators.quantiles import quantiles, to_long
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], group_by: str, whis: float = 1.5,
-              method: str = "sort") -> DataFrame:
+              method: str = "auto") -> DataFrame:
     """``group, metric, n, q1, median, q3, whisker_lo, whisker_hi, n_fliers``.
     Whiskers are the furthest data points inside ``q1 - whis*IQR`` and
     ``q3 + whis*IQR``; fliers are the points outside."""

@@ -35,7 +35,7 @@ def _agg(kind: str, c: str) -> Column:
 
 
 def regime_table(df: DataFrame, run_col: str, regime_col: str, metrics: Mapping[str, tuple[str, str]],
-                 regimes: Sequence[str] = ("low", "high"), method: str = "sort") -> DataFrame:
+                 regimes: Sequence[str] = ("low", "high"), method: str = "auto") -> DataFrame:
     """Per run, each metric per regime side by side, metric-major:
     ``<name>_<regime>`` for ``metrics = {name: (column, agg)}``."""
     base = df.where(F.col(regime_col).isNotNull() & F.col(run_col).isNotNull())
@@ -54,7 +54,7 @@ def regime_table(df: DataFrame, run_col: str, regime_col: str, metrics: Mapping[
 
 
 def cell_pivot(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mean",
-               var1_order: Sequence | None = None, method: str = "sort") -> DataFrame:
+               var1_order: Sequence | None = None, method: str = "auto") -> DataFrame:
     """Heatmap matrix: one row per ``var2`` value, one column per ``var1``
     value (requested order intersected with what is present, else sorted),
     cell = ``agg`` of ``metric``.  Unknown ``agg`` -> ValueError."""
@@ -72,7 +72,7 @@ def cell_pivot(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mea
 
 
 def profiles(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mean",
-             var1_order: Sequence | None = None, show_std: bool = True, method: str = "sort") -> DataFrame:
+             var1_order: Sequence | None = None, show_std: bool = True, method: str = "auto") -> DataFrame:
     """Long ``var2, var1, _ord, value[, std]`` for every (var2 value, var1 in
     order) cell; cells without data are kept as nulls."""
     if agg not in ("mean", "median", "min", "max"):

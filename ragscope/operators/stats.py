@@ -102,7 +102,7 @@ def _moment_aggs(cols: Sequence[str]) -> list:
 
 
 def group_describe(df: DataFrame, cols: Sequence[str] | None = None, group_by: str = "session_id",
-                   method: str = "sort") -> DataFrame:
+                   method: str = "auto") -> DataFrame:
     """pandas ``groupby().describe()`` in long form:
     ``group, metric, count, mean, std, min, p25, p50, p75, max``."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
@@ -137,7 +137,7 @@ def stat_by_group(
     stat: str = "mean",
     std: bool = False,
     band: tuple[float, float] | None = None,
-    method: str = "sort",
+    method: str = "auto",
 ) -> DataFrame:
     """One statistic per (group, metric), optional ±std and percentile band.
 
@@ -238,7 +238,7 @@ def run_summary(
     p90_cols: Mapping[str, str] | None = None,
     order: Sequence[str] | None = None,
     labels: Mapping[str, str] | None = None,
-    method: str = "sort",
+    method: str = "auto",
 ) -> DataFrame:
     """Per-run summary: means of quality scores, medians of throughput and
     resources, p90 latencies as whole numbers (half-even, like pandas)."""

@@ -5,9 +5,14 @@
   ``<out>/_batch=<id>`` (overwrite, so a retried batch rewrites the same
   folder) and ``latest`` reads the last row per key.  This is the
   exactly-once pattern without a table format.
-* ``assemble_traces`` - spans of one trace arrive separately; per-trace state
-  (names seen) in ``applyInPandasWithState``; a trace is emitted when its
-  three spans are in, or as incomplete when the event-time timeout fires.
+* ``assemble_traces`` - spans of one trace arrive separately; a JVM
+  session-window aggregate per trace (``groupBy(trace_id,
+  session_window(event_time, gap))``, append mode) emits each trace once its
+  session closes under the watermark, flagged complete when all span names
+  were seen.  State is evicted by the watermark, so it stays bounded.
+* ``assemble_traces_custom`` - the same with per-trace Python state
+  (``applyInPandasWithState``, event-time timeout) for rules a built-in
+  aggregate cannot state; it pays one Python call per trace.
 * ``dedup_spans`` - idempotent re-delivery: one span per (trace, name)
   within the watermark (``dropDuplicatesWithinWatermark``).
 * ``stage_files`` / ``read_stream`` - replay a table as time-ordered files.
@@ -115,8 +120,20 @@ def _assembler(expected: Sequence[str], timeout_ms: int):
     return fn
 
 
-def assemble_traces(spans: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 600_000,
+def assemble_traces(spans: DataFrame, watermark: str = "10 minutes", gap: str = "5 minutes",
                     expected: Sequence[str] = SPAN_NAMES, event_time: str = "event_time") -> DataFrame:
+    """``trace_id, n_spans, complete, names`` per trace session."""
+    need = F.array(*[F.lit(n) for n in sorted(expected)])
+    agg = (spans.withWatermark(event_time, watermark)
+           .groupBy("trace_id", F.session_window(event_time, gap))
+           .agg(F.count(F.lit(1)).cast("int").alias("n_spans"), F.array_sort(F.collect_set("name")).alias("_names")))
+    return agg.select("trace_id", "n_spans",
+                      (F.size(F.array_intersect("_names", need)) == F.size(need)).alias("complete"),
+                      F.array_join("_names", ",").alias("names"))
+
+
+def assemble_traces_custom(spans: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 600_000,
+                           expected: Sequence[str] = SPAN_NAMES, event_time: str = "event_time") -> DataFrame:
     """One output row per trace: complete when all expected span names were
     seen, or incomplete when no span arrived within the timeout (event time)."""
     return (spans.withWatermark(event_time, watermark).select("trace_id", "name", event_time)

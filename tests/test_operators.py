@@ -24,7 +24,7 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).select("g", F.nanvl("v", F.lit(None)).alias("v"), "w")
 
 
-@pytest.mark.parametrize("method", ["sort", "hash"])
+@pytest.mark.parametrize("method", ["sort", "hash", "window", "auto"])
 def test_quantiles_match_pandas(skewed, method):
     pdf, df = skewed
     got = quantiles(df, ["v", "w"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], by=["g"], method=method).toPandas()
@@ -107,3 +107,11 @@ def test_scifact_transforms(spark):
                                                           "SUPPORT"]
     assert t["3"]["evidence"][1]["doc_id"] == "12"
     assert t["1"]["evidence"][0]["sentences"][0]["sentence_indices"] == [0, 1]
+
+
+def test_auto_quantiles_split_hot_groups(skewed):
+    pdf, df = skewed
+    got = quantiles(df, ["v"], [0.25, 0.9], by=["g"], method="auto", hot_rows=500).toPandas()
+    assert len(got) == 8
+    for _, r in got.iterrows():
+        assert r["q"] == pytest.approx(pdf.loc[pdf.g == r["g"], "v"].quantile(r["p"]), rel=1e-12)
