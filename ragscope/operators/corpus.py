@@ -128,3 +128,25 @@ def normalize_truth(df: DataFrame) -> DataFrame:
             "array<struct<doc_id:string,doc_title:string,sentences:array<struct<"
             "sentence_indices:array<int>,sentence_texts:array<string>,label:string>>>>"))
     return out
+
+
+def _ragbench(raw_long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    truth = supporting_lists(ragbench_truth_long(raw_long))
+    return ragbench_corpus(raw_long).select(F.col("doc_id").alias("id"), "text"), truth
+
+
+def _scifact(raw: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    corpus, claims = raw
+    return scifact_corpus(corpus), scifact_truth(claims)
+
+
+# Dataset loaders by name: raw input -> (corpus, ground truth).
+DATASET_LOADERS = {"ragbench": _ragbench, "scifact": _scifact}
+
+
+def load_dataset(name: str, raw):
+    try:
+        loader = DATASET_LOADERS[name]
+    except KeyError:
+        raise ValueError(f"Unknown dataset '{name}'. Known: {sorted(DATASET_LOADERS)}") from None
+    return loader(raw)

@@ -191,3 +191,8 @@ def label_relevance_quality(topk: DataFrame, labels: DataFrame, k: int, id_col:
                .otherwise(0.0)).alias("precision_at_k"),
         F.when(has_rel, F.coalesce(1.0 / F.col("_first_hit"), F.lit(0.0))).alias("mrr"),
     )
+
+
+def hit_doc_id(metadata_col: str = "metadata", chunk_id_col: str = "chunk_id"):
+    """Document id of a hit: the ``doc_id`` metadata entry, else the chunk id."""
+    return F.coalesce(F.element_at(F.col(metadata_col), F.lit("doc_id")), F.col(chunk_id_col))

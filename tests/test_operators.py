@@ -115,3 +115,30 @@ def test_auto_quantiles_split_hot_groups(skewed):
     assert len(got) == 8
     for _, r in got.iterrows():
         assert r["q"] == pytest.approx(pdf.loc[pdf.g == r["g"], "v"].quantile(r["p"]), rel=1e-12)
+
+
+def test_evidence_helpers_and_loader_registry(spark):
+    from ragscope.operators.corpus import evidence_for, evidence_sentences, load_dataset
+
+    ev = ("array<struct<doc_id:string,doc_title:string,sentences:array<struct<sentence_indices:array<int>,"
+          "sentence_texts:array<string>,label:string>>>>")
+    df = spark.createDataFrame([([("d1", None, [([0], ["s1", "s2"], "SUPPORT")]),
+                                  ("d2", "T", [([1], ["s3"], "SUPPORT"), ([2], ["s4"], "SUPPORT")])],)],
+                               f"evidence {ev}")
+    r = df.select(evidence_sentences("evidence").alias("s"), evidence_for("evidence", "d2").alias("e"),
+                  evidence_for("evidence", "zz").alias("none")).first()
+    assert r["s"] == ["s1", "s2", "s3", "s4"] and r["e"]["doc_title"] == "T" and r["none"] is None
+    with pytest.raises(ValueError):
+        load_dataset("nope", None)
+
+
+def test_select_traces_and_lookup(spark):
+    from ragscope.sources.files import iter_batches, lookup, select_traces
+
+    spans = spark.createDataFrame([("t1", "rag.evaluation", 10), ("t1", "rag.retrieval", 10),
+                                   ("t2", "rag.evaluation", 50)], "trace_id string, name string, start_time_unix_nano long")
+    got = select_traces(spans, spark.createDataFrame([("t1",)], "trace_id string"), start_ns=0, end_ns=20).collect()
+    assert [r["trace_id"] for r in got] == ["t1"]
+    docs = spark.createDataFrame([(str(i), f"t{i}") for i in range(10)], "id string, text string")
+    assert sorted(r["id"] for r in lookup(docs, ["3", "7", "x"]).collect()) == ["3", "7"]
+    assert sum(len(b) for b in iter_batches(docs, 4)) == 10
