@@ -140,3 +140,28 @@ def assemble_traces_custom(spans: DataFrame, watermark: str = "10 minutes", time
             .groupBy("trace_id")
             .applyInPandasWithState(_assembler(expected, timeout_ms), _OUT, _STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
+
+
+def route_by_type(stream: DataFrame, type_col: str, payload_col: str | None = None,
+                  payload_schema: str | None = None) -> DataFrame:
+    """Typed parse of event records: the JSON payload parsed with a fixed
+    schema (no inference on a stream) next to the routing column."""
+    if payload_col and payload_schema:
+        stream = stream.withColumn("payload", F.from_json(F.col(payload_col), payload_schema))
+    return stream.where(F.col(type_col).isNotNull())
+
+
+def run_routed(stream: DataFrame, type_col: str, out: str, checkpoint: str, timeout_s: int = 600) -> None:
+    """Append each micro-batch into one folder per event type (idempotent per
+    batch id: a retried batch overwrites its own sub-folder)."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy(type_col).parquet(f"{out}/_batch={batch_id}")
+
+    q = (stream.writeStream.outputMode("append").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("streaming query did not finish")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
