@@ -66,12 +66,20 @@ def _bounds_scalar(df: DataFrame, cols, method, threshold, qmethod) -> _Bounds:
     return _Bounds(row.asDict() if row is not None else {})
 
 
-def _is_out(c: str, b: _Bounds) -> Column:
+def _out_pred(c: str, b: _Bounds) -> Column | None:
+    """``x < lower OR (x > upper AND x <= +inf)``: plain comparisons with
+    literals (Parquet can take them when ``c`` is a scan column), and NaN -
+    which Spark orders above +inf - is never an outlier, as in pandas."""
     lo, hi = b.row.get(f"{c}__lower"), b.row.get(f"{c}__upper")
     if lo is None or hi is None:  # zero spread: the rule is off for this column
-        return F.lit(False)
-    x = F.col(c).cast("double")
-    return F.coalesce((x < F.lit(lo)) | (x > F.lit(hi)), F.lit(False))
+        return None
+    x = F.col(c)
+    return (x < F.lit(lo)) | ((x > F.lit(hi)) & (x <= F.lit(float("inf"))))
+
+
+def _is_out(c: str, b: _Bounds) -> Column:
+    p = _out_pred(c, b)
+    return F.lit(False) if p is None else F.coalesce(p, F.lit(False))
 
 
 def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
@@ -97,9 +105,12 @@ def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str
         ]),
         lambda s: s["_hit"],
     )
-    any_hit = F.lit(False)
-    for c in cols:
-        any_hit = any_hit | _is_out(c, b)
+    preds = [p for p in (_out_pred(c, b) for c in cols) if p is not None]
+    if not preds:
+        return df.select(F.lit(None).cast("string").alias("outlier_col")).limit(0)
+    any_hit = preds[0]
+    for p in preds[1:]:
+        any_hit = any_hit | p
     flagged = df.where(any_hit).select(*ids, *[c for c in cols if c not in ids], F.explode(hits).alias("_h"))
     front = ["_h.outlier_col", "_h.value", "_h.lower", "_h.upper"]
     out = flagged.select(*front, *ids, *[c for c in cols if c not in ids])

@@ -23,8 +23,11 @@ EVENT_IDS = ["event_id", "user_id", "event_type"]
 
 
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a small metric table: the value and the parsed ``props.k``."""
-    ev = events(spark, sf_dir)
+    """Events as a small metric table: the value and the parsed ``props.k``.
+    ``value`` stays a plain scan column (no NaN rewrite), so bound filters on it
+    reach the Parquet scan; the operators treat NaN like pandas on their own
+    (quantile inputs drop it, outlier predicates exclude it)."""
+    ev = read_table(spark, sf_dir, "events")
     return ev.select(
         "event_id", "user_id", "event_type", "ts",
         F.col("value").alias("event_value"),
