@@ -71,6 +71,10 @@ def quantiles(
     if method != "auto":
         raise ValueError(f"unknown quantile method {method!r}")
     keys = by + ["metric"]
+    # A frame of at most hot_rows rows cannot hold a hot group: skip the
+    # grouped count (a bare count() is answered cheaply, often from footers).
+    if df.count() <= hot_rows:
+        return _window_quantiles(long, probs, by)
     hot = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
            .select(*keys).collect())  # bounded: at most (#values / hot_rows) rows
     if not hot:
