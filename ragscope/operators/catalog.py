@@ -31,10 +31,12 @@ def resolve_collections(configs: DataFrame, catalog: DataFrame, model: str = "mo
     """``configs + collection, is_new``; ``catalog`` has ``collection, fingerprint``."""
     base = collection_name(model, quant, dims)
     cfg = configs.withColumn("_base", base)
-    cat = catalog.select(F.col("collection"), F.col(fingerprint).alias("_fp"))
+    # Catalog and config tables hold one row per collection / configuration
+    # (hand-written lists, bounded by construction): broadcast them.
+    cat = F.broadcast(catalog.select(F.col("collection"), F.col(fingerprint).alias("_fp")))
     j = cfg.join(cat, cfg[fingerprint] == cat["_fp"], "left").drop("_fp")
     idx = F.regexp_extract(F.col("collection"), r"_(\d+)$", 1)
-    existing = (catalog.select(F.col("collection"))
+    existing = F.broadcast(catalog.select(F.col("collection"))
                 .select(F.regexp_replace("collection", r"_\d+$", "").alias("_base"),
                         F.when(idx != "", idx.cast("int")).alias("_i"))
                 .groupBy("_base").agg(F.max("_i").alias("_max")))
@@ -44,14 +46,14 @@ def resolve_collections(configs: DataFrame, catalog: DataFrame, model: str = "mo
            .select("_base", fingerprint,
                    F.concat(F.col("_base"), F.lit("_"), (F.coalesce("_max", F.lit(0)) + F.col("_n")).cast("string"))
                    .alias("_new")))
-    out = j.join(new, ["_base", fingerprint], "left")
+    out = j.join(F.broadcast(new), ["_base", fingerprint], "left")
     return out.select(*configs.columns, F.coalesce("collection", "_new").alias("collection"),
                       F.col("collection").isNull().alias("is_new"))
 
 
 def build_plan(resolved: DataFrame, index_counts: DataFrame) -> DataFrame:
     """``index_counts``: ``collection, chunk_count`` of collections that exist."""
-    j = resolved.join(index_counts, "collection", "left")
+    j = resolved.join(F.broadcast(index_counts), "collection", "left")
     exists = F.col("chunk_count").isNotNull()
     return j.select("*", exists.alias("exists"), (exists & (F.col("chunk_count") > 0)).alias("populated"),
                     (exists & (F.col("chunk_count") > 0)).alias("skip_build"))
