@@ -65,7 +65,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder for written intermediates."""
+def _session_scratch(spark: SparkSession) -> str:
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/ragscope/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/ragscope/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder for written intermediates, under this application's
+    own folder inside the checkpoint folder."""
+    return f"{_session_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediates (only its own sub-folder).
+    Call once the DataFrames that read them are no longer needed."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(_session_scratch(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    if fs.exists(path):
+        fs.delete(path, True)
