@@ -142,3 +142,31 @@ def test_select_traces_and_lookup(spark):
     docs = spark.createDataFrame([(str(i), f"t{i}") for i in range(10)], "id string, text string")
     assert sorted(r["id"] for r in lookup(docs, ["3", "7", "x"]).collect()) == ["3", "7"]
     assert sum(len(b) for b in iter_batches(docs, 4)) == 10
+
+
+def test_topk_hits_feed_array_metrics(spark):
+    from ragscope.operators.retrieval import hits_arrays
+    from ragscope.operators.scoring import score_runs
+
+    rnd = np.random.default_rng(11)
+    m = rnd.normal(size=(60, 6)).astype(np.float32)
+    lab = rnd.integers(0, 4, 60)
+    df = spark.createDataFrame([(i, m[i].tolist(), int(lab[i])) for i in range(60)],
+                               "id long, embedding array<float>, label int")
+    hits = hits_arrays(top_k(df, df, k=5, query_id="id", doc_id="id", exclude_self=True))
+    rel = df.groupBy("label").agg(F.collect_list("id").alias("members"))
+    q = (df.select(F.col("id").alias("query_id"), "label").join(rel, "label")
+         .join(hits, "query_id").withColumn("relevant", F.array_remove("members", F.col("query_id")))
+         .withColumn("output", F.lit("answer")))
+    got = {r["query_id"]: r for r in score_runs(q, k=5).collect()}
+    for qid, r in got.items():
+        ret, relevant = list(r["retrieved"]), set(r["relevant"])
+        top = list(dict.fromkeys(ret))[:5]
+        hits_n = sum(1 for d in top if d in relevant)
+        if not relevant:
+            assert r["recall_at_k"] is None
+            continue
+        assert r["recall_at_k"] == pytest.approx(hits_n / len(relevant))
+        assert r["precision_at_k"] == pytest.approx(hits_n / len(top))
+        first = next((i for i, d in enumerate(ret, 1) if d in relevant), None)
+        assert r["mrr"] == pytest.approx(1 / first if first else 0.0)
