@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.llm import quality_rules
+from ragscope.llm import decontaminate, packing, quality_rules, secret_scan
 from ragscope.llm.jobs import read
 
 
@@ -22,5 +22,40 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.col(p + c).alias(c) for c in [*quality_rules.BASE, "n_lines", "n_listed", "base_failed", "rule", "kept"]])
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window of a benchmark item covers."""
+    found = decontaminate.find(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    words, items = F.col(decontaminate.P + "words"), F.col(decontaminate.P + "items")
+    return found.select(
+        "doc_id", words.alias("n_words"), decontaminate.n_hit().alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (decontaminate.n_hit() > 0).alias("contaminated"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in every document: the base kinds and further known formats."""
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secret_scan.scan(_docs(spark, sf_dir)).select(
+        "doc_id", *[count(k) for k in base],
+        F.sha2(secret_scan.spans_text(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
+def _word_bpe() -> str:
+    from public_tokenizers import path
+
+    return path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(_docs(spark, sf_dir), _word_bpe())
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_packing": op7_packing,
+}
 ORACLES: dict[str, str] = {}
