@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.llm import decontaminate, packing, quality_rules, secret_scan
+from ragscope.llm import chat, decontaminate, line_dedup, packing, quality_rules, secret_scan, url_filters
 from ragscope.llm.jobs import read
 
 
@@ -13,6 +13,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeated chunks take from every document, and what is left."""
+    p = line_dedup.P
+    return line_dedup.remove_repeats(_docs(spark, sf_dir)).select(
+        "doc_id", F.col(p + "lines").alias("n_lines"), F.col(p + "removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document, by rules learned from ``labels``."""
     docs = _docs(spark, sf_dir)
@@ -41,6 +49,24 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.collapse_and_render(read(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+upto AS (
+  SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    string_agg(role || chr(1) || text, chr(2)) OVER w AS whole,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER w AS rendered
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+uniq AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, n, whole, min(rendered) AS rendered FROM upto WHERE pos = n GROUP BY n, whole)
+SELECT conv_id, n AS n_turns, n_copies, rendered FROM uniq
+WHERE NOT EXISTS (SELECT 1 FROM upto u WHERE u.pos = uniq.n AND u.pos < u.n AND u.whole = uniq.whole)
+"""
+
+
 def _word_bpe() -> str:
     from public_tokenizers import path
 
@@ -52,10 +78,61 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), _word_bpe())
 
 
+# The tables hold no list and no fetch times: both are derived from `pages` by
+# these expressions, which read the same in Spark and DuckDB.
+_HOST_SQL = "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:@]+)', 1)"
+_LISTED = [("block", 3, 0, 0, 700), ("remove", 3, 0, 701, 300), ("block", 6, 0, 1002, 200), ("allow", 5, 1, 0, 900)]
+_DAY_0 = "DATE '2020-01-01'"
+
+
+def _list_events(hosts: DataFrame) -> DataFrame:
+    """Dated entries for hosts and their parent domains: an md5 of the pattern gives actions and days."""
+    patterns = hosts.select(F.explode(F.array("host", F.regexp_replace("host", r"^[^.]*\.", ""))).alias("pattern")).distinct()
+    k = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("long")
+    parts = [F.when(k % mod == rest, F.struct(F.lit(action).alias("action"), F.date_add(F.expr(_DAY_0), (first + k % days).cast("int")).alias("listed_on")))
+             for action, mod, rest, first, days in _LISTED]
+    return patterns.select("pattern", F.explode(F.array_compact(F.array(*parts))).alias("e")).select("pattern", "e.action", "e.listed_on")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page capture against the list entries active on its fetch day."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.expr(_DAY_0), F.pmod(F.col("page_id") * 37, F.lit(1461)).cast("int")))
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    return url_filters.filter_captures(captures, _list_events(hosts)).select(
+        "page_id", F.col("_u_host").alias("host"), "fetched_on", F.col("_u_active").alias("n_active"),
+        F.col("_u_decided_by").alias("decided_by"), F.col("_u_blocked").alias("blocked"))
+
+
+OP8_SQL = f"""
+WITH captures AS (
+  SELECT page_id, nullif({_HOST_SQL}, '') AS host, {_DAY_0} + CAST((page_id * 37) % 1461 AS INTEGER) AS fetched_on FROM pages),
+patterns AS (
+  SELECT DISTINCT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS k FROM (
+    SELECT host AS pattern FROM captures WHERE host IS NOT NULL
+    UNION ALL SELECT regexp_replace(host, '^[^.]*[.]', '') FROM captures WHERE host IS NOT NULL)),
+events AS ({" UNION ALL ".join(
+    f"SELECT pattern, '{a}' AS action, {i} AS rank, {_DAY_0} + CAST({f} + k % {d} AS INTEGER) AS day FROM patterns WHERE k % {m} = {r}"
+    for (a, m, r, f, d), i in zip(_LISTED, (3, 1, 3, 2), strict=True))}),
+daily AS (SELECT pattern, day, max(rank) AS rank FROM events GROUP BY pattern, day),
+spans AS (SELECT pattern, rank, day AS a, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS b FROM daily),
+asked AS (SELECT page_id, fetched_on, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
+    lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) AS pattern FROM captures WHERE host IS NOT NULL),
+hits AS (SELECT page_id, s.pattern, s.rank, row_number() OVER (PARTITION BY page_id ORDER BY length(s.pattern) DESC) AS place,
+    count(*) OVER (PARTITION BY page_id) AS n
+  FROM asked JOIN spans s ON asked.pattern = s.pattern AND s.rank > 1 AND fetched_on >= a AND (b IS NULL OR fetched_on < b))
+SELECT c.page_id, c.host, c.fetched_on, coalesce(h.n, 0) AS n_active, h.pattern AS decided_by, coalesce(h.rank = 3, false) AS blocked
+FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.place = 1
+"""
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_secret_scan": op5_secret_scan,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_packing": op7_packing,
+    "op8_url_filters": op8_url_filters,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op8_url_filters": OP8_SQL}
