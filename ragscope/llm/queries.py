@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.llm import chat, decontaminate, line_dedup, packing, quality_rules, secret_scan, url_filters
+from ragscope.llm import chat, decontaminate, line_dedup, packing, quality_rules, secret_scan, substring_dedup, url_filters
 from ragscope.llm.jobs import read
 
 
@@ -30,6 +30,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.col(p + c).alias(c) for c in [*quality_rules.BASE, "n_lines", "n_listed", "base_failed", "rule", "kept"]])
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a 13-word window of an earlier document covers."""
+    p = substring_dedup.P
+    return substring_dedup.parse(_docs(spark, sf_dir)).select(
+        "doc_id", F.col(p + "words").alias("n_words"), F.col(p + "removed").alias("n_removed"),
+        F.sha2(F.col(p + "kept").cast("binary"), 256).alias("kept_sha256"), F.size(p + "factors").cast("long").alias("n_factors"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a window of a benchmark item covers."""
     found = decontaminate.find(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark"))
@@ -129,6 +137,7 @@ FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.place = 1
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_formatting": op6_chat_formatting,
