@@ -34,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragscope.llm.blobs import pack_arrays, ranges, split_by, unpack_arrays
 from ragscope.llm.jobs import row_id, saved, shard_count
 from ragscope.llm.words import Words, covered, find_words, mix, ngram_hashes, slices
 
@@ -53,24 +53,6 @@ FACTORS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Stru
 _FACTORS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref", pa.int64())]))
 
 
-# -- packed arrays ------------------------------------------------------------------
-
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *[x for a in arrays for x in (a.dtype.itemsize, len(a))]], dtype="<i4")
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def unpack_arrays(blob: bytes, *dtypes: str) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    count = int(np.frombuffer(data, "<i4", 1)[0])
-    sizes = np.frombuffer(data, "<i4", 2 * count, 4).reshape(-1, 2)
-    at, out = 4 * (1 + 2 * count), []
-    for (_, n), d in zip(sizes.tolist(), dtypes, strict=True):
-        out.append(np.frombuffer(data, d, n, at))
-        at += n * np.dtype(d).itemsize
-    return out
-
-
 # -- windows and their minimizers -------------------------------------------------------
 
 def window_runs(w: Words, n: int = WINDOW, k: int = SEED) -> tuple[np.ndarray, ...]:
@@ -97,20 +79,6 @@ def window_runs(w: Words, n: int = WINDOW, k: int = SEED) -> tuple[np.ndarray, .
     return seeds[where[head]], at[head], count, tails
 
 
-def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(shard[part[0]]), part
-
-
-def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[0], .., start[0] + count[0] - 1, start[1], .."""
-    before = np.cumsum(count) - count
-    return np.arange(int(count.sum())) - np.repeat(before - start, count)
-
-
 def _entries(part: pa.RecordBatch, shards: int, hot: int, details: bool) -> Iterator[tuple[int, bytes]]:
     """(block, blob) of a slice: its index entries, or with ``details`` the runs of its hot seeds."""
     w = find_words(part.column("_text"))
@@ -128,24 +96,24 @@ def _entries(part: pa.RecordBatch, shards: int, hot: int, details: bool) -> Iter
     def blob(pick: np.ndarray) -> bytes:
         docs, local = np.unique(doc[pick], return_inverse=True)
         return pack_arrays(
-            seed[pick], np.diff(local, prepend=0).astype("<i4"), start[pick].astype("<u4"), count[pick].astype("u1"), tails[_ranges(at[pick], count[pick])],
+            seed[pick], np.diff(local, prepend=0).astype("<i4"), start[pick].astype("<u4"), count[pick].astype("u1"), tails[ranges(at[pick], count[pick])],
             np.diff(ids[docs], prepend=0), rows[docs])
 
     if details:
-        for b, pick in _split(block[is_hot]):
+        for b, pick in split_by(block[is_hot]):
             yield b, blob(np.flatnonzero(is_hot)[pick])
         return
     summary: dict[int, tuple] = {}
     if is_hot.any():
         chosen = np.flatnonzero(is_hot)
         own = np.repeat(chosen, count[chosen])
-        s, t, d = seed[own], tails[_ranges(at[chosen], count[chosen])], ids[doc[own]]
+        s, t, d = seed[own], tails[ranges(at[chosen], count[chosen])], ids[doc[own]]
         order = np.lexsort((d, t, s))
         s, t, d = s[order], t[order], d[order]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])])
         s, t, d = s[new], t[new], d[new]
-        summary = {b: (s[p], t[p], d[p]) for b, p in _split((s >> np.uint64(33)).astype(np.int64) % shards)}
-    normal = {b: np.flatnonzero(~is_hot)[p] for b, p in _split(block[~is_hot])}
+        summary = {b: (s[p], t[p], d[p]) for b, p in split_by((s >> np.uint64(33)).astype(np.int64) % shards)}
+    normal = {b: np.flatnonzero(~is_hot)[p] for b, p in split_by(block[~is_hot])}
     none = (np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.zeros(0, np.int64))
     for b in normal.keys() | summary.keys():
         yield b, pack_arrays(*[np.frombuffer(blob(normal.get(b, np.zeros(0, np.int64))), "u1")], *summary.get(b, none))
@@ -215,7 +183,7 @@ def _solve_block(block: int, blobs: list[bytes]) -> tuple[np.ndarray, list[bytes
     keep[len(r.seed):] = True
     run = np.flatnonzero(keep[: len(r.seed)])
     own = np.repeat(run, r.count[run])
-    place = _ranges(r.at[run], r.count[run])
+    place = ranges(r.at[run], r.count[run])
     key = np.concatenate([rank[own], rank[len(r.seed):]]).astype(np.int64) << 32 | np.concatenate([r.tails[place], hot_tail]).astype(np.int64)
     ids = np.concatenate([r.ids[r.doc[own]], hot_id])
     windows, which = np.unique(key, return_inverse=True)

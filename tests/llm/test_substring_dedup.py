@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ragscope.llm.substring_dedup import P, factors_of, pack_arrays, parse, unpack_arrays, window_runs, _RUN
+from ragscope.llm.blobs import pack_arrays, unpack_arrays
+from ragscope.llm.substring_dedup import _RUN, P, factors_of, parse, window_runs
 from ragscope.llm.words import find_words
 
 
