@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.llm import chat, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, substring_dedup, url_filters
+from ragscope.llm import chat, decontaminate, hmm, line_dedup, ngram_join, packing, quality_rules, secret_scan, substring_dedup, url_filters
 from ragscope.llm.jobs import read
 
 
@@ -112,6 +112,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_u_decided_by").alias("decided_by"), F.col("_u_blocked").alias("blocked"))
 
 
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov scores of every document, learned from nine tenths of them."""
+    return hmm.score(_docs(spark, sf_dir))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of Jaccard similarity 0.85 on four-word shingles."""
     return ngram_join.join(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
@@ -148,6 +153,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
+    "op9_hmm_scoring": op9_hmm_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op8_url_filters": OP8_SQL}

@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from ragscope.llm.packing import Packer, Piece, pack, word_tokenizer
+from ragscope.llm.packing import Packer, Piece, WordTokenizer, pack
 
 
 def test_level_is_the_least_growth_of_squares():
@@ -53,13 +54,15 @@ def test_every_id_once_and_little_padding(most_open):
 
 def test_ids_of_words_are_ids_of_the_text():
     model = Tokenizer.from_file(path("word_bpe_49k.json"))
-    tok = word_tokenizer(path("word_bpe_49k.json"))
     rng = random.Random(2)
-    for t in ["", "It's Über ΣΑΣ ς\x0bx\x1cy", "<|endoftext|> a", "é ́x 日本語　x \xa0 y\x85z", "İ   'll"]:
-        assert tok.ids(t.encode()).tolist() == model.encode(t, add_special_tokens=False).ids
-    for _ in range(200):
-        t = "".join(rng.choice(" \n\t'sé́Σσ9日!<|>endoftextÅK‍") for _ in range(30))
-        assert tok.ids(t.encode()).tolist() == model.encode(t, add_special_tokens=False).ids
+    texts = ["", None, "It's Über ΣΑΣ ς\x0bx\x1cy", "<|endoftext|> a", "<|ENDOFTEXT|> b", "é ́x 日本語　x \xa0 y\x85z", "İ   'll", "...", "a. b,' c'. d.\u0301 ,"]
+    pieces = [*" \n\t'sé́Σσ9日!.,;<|>enDÅK‍İﬁ", "Word.", "x1,", " ", "a?!"]
+    texts += ["".join(rng.choice(pieces) for _ in range(30)) for _ in range(400)] + ["".join(rng.choice([*pieces, "<|endoftext|>"]) for _ in range(30)) for _ in range(50)]
+    want = [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for limit in (2_000_000, 50):
+        tok = WordTokenizer(path("word_bpe_49k.json"), limit)
+        got = [x for at in range(0, len(texts), 40) for x in tok.ids(pa.array(texts[at: at + 40]))]
+        assert [x.tolist() for x in got] == want
 
 
 def test_frame(spark):
