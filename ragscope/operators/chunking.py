@@ -10,8 +10,7 @@ plus any extra corpus columns (document metadata carried to each chunk).
   span is emitted when it holds a non-whitespace character (the index
   counts emitted chunks only); next ``start = end - overlap`` unless that
   does not advance, then ``end``; stop once ``end`` reaches ``n``.  Blank
-  documents give no chunks.  The loop runs in an Arrow UDF that returns only
-  the span offsets; the text slice is a JVM ``substring``.
+  documents give no chunks.  An Arrow UDF gives the chunks of each text.
 * ``char_split(sep)``: literal split, Python-style strip, empties dropped;
   the index is the part's position, so it counts the dropped empties.
 """
@@ -25,47 +24,36 @@ from pyspark.sql import types as T
 
 from ragscope.functions.text import is_blank, py_strip
 
-_SPANS = T.StructType([
-    T.StructField("starts", T.ArrayType(T.IntegerType())),
-    T.StructField("ends", T.ArrayType(T.IntegerType())),
-])
-
-
-def fixed_spans(text: str, size: int, overlap: int) -> tuple[list[int], list[int]]:
-    """Span offsets of the fixed-size chunker for one text."""
-    starts: list[int] = []
-    ends: list[int] = []
-    if text is None or not text.strip():
-        return starts, ends
-    n = len(text)
-    start = 0
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            cut = text.rfind(" ", start, end)
-            if cut > start:
-                end = cut + 1
-        if text[start:end].strip():
-            starts.append(start)
-            ends.append(end)
-        nxt = end - overlap
-        start = end if nxt <= start else nxt
-        if end >= n:
-            break
-    return starts, ends
+_PIECES = T.ArrayType(T.StructType([
+    T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())]))
+
+
+def _stop(text: str, at: int, size: int) -> int:
+    """Where the span that begins at ``at`` ends: past its last space, if it has one after ``at``."""
+    if at + size >= len(text):
+        return len(text)
+    space = text.rfind(" ", at + 1, at + size)
+    return at + size if space < 0 else space + 1
+
+
+def fixed_spans(text: str | None, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the fixed-size chunks of one text."""
+    if not text or text.isspace():
+        return []
+    spans = [(0, _stop(text, 0, size))]
+    while (last := spans[-1])[1] < len(text):
+        back = last[1] - overlap
+        begin = back if back > last[0] else last[1]
+        spans.append((begin, _stop(text, begin, size)))
+    return [(a, b) for a, b in spans if not text[a:b].isspace()]
 
 
 def _fixed_udf(size: int, overlap: int):
-    @F.pandas_udf(_SPANS)
-    def spans(texts: pd.Series) -> pd.DataFrame:
-        s, e = [], []
-        for t in texts:
-            a, b = fixed_spans(t, size, overlap)
-            s.append(a)
-            e.append(b)
-        return pd.DataFrame({"starts": s, "ends": e})
+    @F.pandas_udf(_PIECES)
+    def pieces(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"s": a, "e": b, "t": t[a:b]} for a, b in fixed_spans(t, size, overlap)] for t in texts])
 
-    return spans
+    return pieces
 
 
 def java_quote(s: str) -> str:
@@ -85,15 +73,12 @@ def chunk(corpus: DataFrame, strategy: str | None = None, size: int = 500, overl
     if strategy == "fixed":
         if size <= 0:
             raise ValueError("chunk_size must be > 0")
-        sp = corpus.select("*", _fixed_udf(int(size), int(overlap))(F.col(text_col)).alias("_sp"))
-        ex = sp.select("*", F.posexplode(F.arrays_zip(F.col("_sp.starts").alias("s"), F.col("_sp.ends").alias("e")))
-                       .alias("chunk_index", "_span"))
+        # the chunks leave with their own text; the document's is not copied to their rows
+        ex = corpus.select(doc.alias("_doc"), *meta, F.posexplode(_fixed_udf(int(size), int(overlap))(F.col(text_col))).alias("chunk_index", "_p"))
         return ex.select(
-            doc.alias("doc_id"), "chunk_index",
-            F.concat(doc, F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
-            F.col("_span.s").alias("start_char"), F.col("_span.e").alias("end_char"),
-            F.substring(F.col(text_col), F.col("_span.s") + 1, F.col("_span.e") - F.col("_span.s")).alias("text"),
-            *meta)
+            F.col("_doc").alias("doc_id"), "chunk_index",
+            F.concat("_doc", F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
+            F.col("_p.s").alias("start_char"), F.col("_p.e").alias("end_char"), F.col("_p.t").alias("text"), *meta)
     if strategy == "char_split":
         if not sep:
             raise ValueError("split_sequence must not be empty")

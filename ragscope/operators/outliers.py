@@ -21,12 +21,11 @@ from ragscope.operators.stats import numeric_metric_cols, present
 ID_COLS = ("session_id", "run_id", "claim_id", "trace_id")
 
 
-def outlier_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 3.0,
-                   qmethod: str = "auto") -> DataFrame:
+def outlier_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 3.0) -> DataFrame:
     """One row: ``<col>__lower``, ``<col>__upper`` per column; both null when
     the spread (IQR or std) is zero, which disables the rule for it."""
     if method == "iqr":
-        qs = quantile_wide(df, cols, [0.25, 0.75], method=qmethod)
+        qs = quantile_wide(df, cols, [0.25, 0.75])
         sel = []
         for c in cols:
             q1, q3 = F.col(f"{c}__q25"), F.col(f"{c}__q75")
@@ -61,8 +60,8 @@ class _Bounds:
         return F.lit(self.row.get(f"{c}__upper")).cast("double")
 
 
-def _bounds_scalar(df: DataFrame, cols, method, threshold, qmethod) -> _Bounds:
-    row = outlier_bounds(df, cols, method, threshold, qmethod).first()
+def _bounds_scalar(df: DataFrame, cols, method, threshold) -> _Bounds:
+    row = outlier_bounds(df, cols, method, threshold).first()
     return _Bounds(row.asDict() if row is not None else {})
 
 
@@ -83,15 +82,15 @@ def _is_out(c: str, b: _Bounds) -> Column:
 
 
 def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
-                  threshold: float = 3.0, id_cols: Sequence[str] = ID_COLS,
-                  qmethod: str = "auto") -> DataFrame:
+                  threshold: float = 3.0, id_cols: Sequence[str] = ID_COLS) -> DataFrame:
     """One row per (input row, outlying column): ``outlier_col, value,
     lower, upper`` (bounds rounded to 4 places), the id columns and the
     inspected metric columns.  Strict ``<``/``>``; zero spread skips a column.
     Ordered by ``outlier_col`` asc, ``value`` desc."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
     ids = present(df, id_cols)
-    b = _bounds_scalar(df, cols, method, threshold, qmethod)
+    b = _bounds_scalar(df, cols, method, threshold)
+    kind = "array<struct<outlier_col:string,value:double,lower:double,upper:double,_hit:boolean>>"
     hits = F.filter(
         F.array(*[
             F.struct(
@@ -102,15 +101,13 @@ def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str
                 _is_out(c, b).alias("_hit"),
             )
             for c in cols
-        ]),
+        ]).cast(kind),
         lambda s: s["_hit"],
     )
-    preds = [p for p in (_out_pred(c, b) for c in cols) if p is not None]
-    if not preds:
-        return df.select(F.lit(None).cast("string").alias("outlier_col")).limit(0)
-    any_hit = preds[0]
-    for p in preds[1:]:
-        any_hit = any_hit | p
+    any_hit = F.lit(False)  # no column with spread: no rows, the same columns
+    for p in (_out_pred(c, b) for c in cols):
+        if p is not None:
+            any_hit = any_hit | p
     flagged = df.where(any_hit).select(*ids, *[c for c in cols if c not in ids], F.explode(hits).alias("_h"))
     front = ["_h.outlier_col", "_h.value", "_h.lower", "_h.upper"]
     out = flagged.select(*front, *ids, *[c for c in cols if c not in ids])
@@ -118,13 +115,13 @@ def find_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str
 
 
 def exclude_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
-                     threshold: float = 3.0, qmethod: str = "auto") -> DataFrame:
+                     threshold: float = 3.0) -> DataFrame:
     """Rows of ``df`` not outlying in any column (nulls kept).  All bounds
     come from the unfiltered frame."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
     if not cols:
         return df
-    b = _bounds_scalar(df, cols, method, threshold, qmethod)
+    b = _bounds_scalar(df, cols, method, threshold)
     any_hit = F.lit(False)
     for c in cols:
         any_hit = any_hit | _is_out(c, b)
@@ -132,11 +129,11 @@ def exclude_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: s
 
 
 def exclusion_report(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
-                     threshold: float = 3.0, qmethod: str = "auto") -> DataFrame:
+                     threshold: float = 3.0) -> DataFrame:
     """``n, dropped, pct`` of ``exclude_outliers`` in one pass (pct null on
     empty input instead of a division error)."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
-    b = _bounds_scalar(df, cols, method, threshold, qmethod)
+    b = _bounds_scalar(df, cols, method, threshold)
     any_hit = F.lit(False)
     for c in cols:
         any_hit = any_hit | _is_out(c, b)
@@ -145,10 +142,10 @@ def exclusion_report(df: DataFrame, cols: Sequence[str] | None = None, method: s
 
 
 def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr",
-                    threshold: float = 3.0, qmethod: str = "auto") -> DataFrame:
+                    threshold: float = 3.0) -> DataFrame:
     """Per column: outlier count and % of its non-null values, pct desc."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
-    b = _bounds_scalar(df, cols, method, threshold, qmethod)
+    b = _bounds_scalar(df, cols, method, threshold)
     agg = df.agg(*[F.count_if(_is_out(c, b)).alias(f"{c}__n") for c in cols],
                  *[F.count(F.col(c)).alias(f"{c}__nn") for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"{c}__n").alias("n_outliers"),

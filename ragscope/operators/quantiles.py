@@ -1,28 +1,17 @@
 """Exact grouped quantiles (pandas / DuckDB ``quantile_cont`` linear rule).
 
-Two physical strategies, same answer:
-
-* ``method="sort"`` (default): rank selection over a range-partitioned
-  sort.  Rows are range-partitioned on ``(keys, value)``, so a group that
-  holds a third of the table is spread over many tasks instead of one.
-  Per-partition segment counts give each row its global rank inside its
-  group; only the (at most two per probability) rows at the interpolation
-  ranks are kept and interpolated.  Memory per task is bounded by the
-  partition size whatever the group sizes are.
-* ``method="hash"``: Spark's exact ``percentile`` aggregate (map-side
-  partial maps value -> count).  Cheaper for many small, bounded groups;
-  its final merge holds all distinct values of one group in one task, so
-  it is not used when groups can be hot.
-* ``method="window"``: a per-group sort (``row_number`` and ``count`` over
-  ``partition by group order by value``), keeping only the interpolation
-  rows.  Tungsten sort, spillable, but one task per group.
-* ``method="auto"`` (default): one cheap count per (group, metric) first;
-  the groups above ``hot_rows`` values (at most total / hot_rows of them, so
-  the list fetched to the driver is bounded) go through the sort path, all
-  other groups - each bounded by ``hot_rows`` - through the window path, and
-  the two results are unioned.
-
-Output is long form: ``by..., metric, p, q``.
+One method for every size:
+
+1. equal values of a group are counted, combined before the shuffle, so a
+   value that most rows have is one row from here on;
+2. the distinct values are laid out in value order over range partitions (a
+   written table, each row with its partition's number), so a group with many
+   values is spread over many tasks;
+3. the counts per (partition, group) say which partition holds the rows at the
+   interpolation ranks; only those are sorted and summed up.
+
+Null group keys are a group like any other.  Output is long form:
+``by..., metric, p, q``.
 """
 
 from __future__ import annotations
@@ -32,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row
+from ragscope.operators.ordering import null_safe, written
 
 
 def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -45,141 +34,45 @@ def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
     )
 
 
-HOT_ROWS = 1_000_000  # values per group above which the hash buffer is not used
-
-
-def quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    method: str = "auto",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    by = list(by)
-    probs = [float(p) for p in probs]
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    by, probs = list(by), [float(p) for p in probs]
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"quantile probability must be in [0, 1], got {p}")
-    long = to_long(df, cols, by)
-    if method == "hash":
-        return _hash_quantiles(long, probs, by)
-    if method == "sort":
-        return _sort_quantiles(long, probs, by)
-    if method == "window":
-        return _window_quantiles(long, probs, by)
-    if method != "auto":
-        raise ValueError(f"unknown quantile method {method!r}")
-    keys = by + ["metric"]
-    # A frame of at most hot_rows rows cannot hold a hot group: skip the
-    # grouped count (a bare count() is answered cheaply, often from footers).
-    if df.count() <= hot_rows:
-        return _window_quantiles(long, probs, by)
-    hot = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-           .select(*keys).collect())  # bounded: at most (#values / hot_rows) rows
-    if not hot:
-        return _window_quantiles(long, probs, by)
-    hot_df = long.sparkSession.createDataFrame([tuple(r) for r in hot], long.select(*keys).schema)
-    hot_long = long.join(F.broadcast(hot_df), keys, "left_semi")
-    cold_long = long.join(F.broadcast(hot_df), keys, "left_anti")
-    return _sort_quantiles(hot_long, probs, by).unionByName(_window_quantiles(cold_long, probs, by))
-
-
-def _window_quantiles(long: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
-    keys = by + ["metric"]
-    ranked = long.select(
-        *keys, "v",
-        (F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1).alias("_r"),
-        F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
-    targets = F.array(*[F.struct(F.lit(p).alias("p"), ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs])
-    hit = (ranked.select("*", F.explode(targets).alias("_t"))
-           .select(*keys, "v", "_r", F.col("_t.p").alias("p"), F.col("_t.h").alias("h"))
-           .where((F.col("_r") == F.floor("h")) | (F.col("_r") == F.ceil("h"))))
-    out = hit.groupBy(*keys, "p", "h").agg(
-        F.max(F.when(F.col("_r") == F.floor("h"), F.col("v"))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == F.ceil("h"), F.col("v"))).alias("_vhi"))
-    frac = F.col("h") - F.floor("h")
-    return out.select(*keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q"))
-
-
-def _hash_quantiles(long: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
-    keys = by + ["metric"]
-    agg = long.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("_qs"))
-    return agg.select(
-        *keys,
-        F.posexplode(F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("_qs").alias("q"))).alias(
-            "_i", "_pq"
-        ),
-    ).select(*keys, F.col("_pq.p").alias("p"), F.col("_pq.q").alias("q"))
-
-
-def _sort_quantiles(long: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
-    keys = by + ["metric"]
-    ranked = (
-        long.repartitionByRange(*keys, "v")
-        .sortWithinPartitions(*keys, "v")
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-        .withColumn("_li", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-        .drop("_mid")
-    )
-    # One row per (partition, group segment): tiny compared with the data.
-    seg = ranked.groupBy("_pid", *keys).agg(F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w_before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*keys)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w_before), F.lit(0))).withColumn(
-        "_total", F.sum("_n").over(w_all)
-    )
-    # Interpolation ranks per probability: h = (N-1) p, rows floor(h), ceil(h).
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("pi"),
-                F.lit(p).alias("p"),
-                ((F.col("_total") - 1) * F.lit(p)).alias("h"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    need = (
-        seg.select("_pid", *keys, "_first", "_n", "_off", "_total", F.explode(targets).alias("_t"))
-        .select(
-            "_pid", *keys, "_first", "_n", "_off", "_total", "_t.pi", "_t.p", "_t.h",
-        )
-        .withColumn("_lo", F.floor("h").cast("long"))
-        .withColumn("_hi", F.ceil("h").cast("long"))
-        .select(
-            "*",
-            F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_lo").alias("g")),
-                              F.struct(F.lit(1).alias("side"), F.col("_hi").alias("g")))).alias("_s"),
-        )
-        .where((F.col("_s.g") >= F.col("_off")) & (F.col("_s.g") < F.col("_off") + F.col("_n")))
-        .select(
-            "_pid", *keys, "pi", "p", "h", F.col("_s.side").alias("side"),
-            (F.col("_s.g") - F.col("_off") + F.col("_first")).alias("_li"),
-        )
-    )
-    picked = ranked.join(need, on=["_pid", *keys, "_li"], how="inner")
-    out = picked.groupBy(*keys, "pi", "p", "h").agg(
-        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("_vlo"),
-        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("_vhi"),
+    keys = [*by, "metric"]
+    counted = to_long(df, cols, by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
+    laid = written(counted.repartitionByRange(*keys, "v").withColumn("_pid", F.spark_partition_id()), "values")
+
+    seg = laid.groupBy(*keys, "_pid").agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    targets = F.array(*[F.struct(F.lit(p).alias("p"), ((F.col("_total") - 1) * F.lit(p)).alias("h")) for p in probs])
+    sides = F.array(F.floor("h").cast("long"), F.ceil("h").cast("long"))
+    wanted = (
+        seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+        .select("*", F.explode(targets).alias("_t")).select("*", "_t.p", "_t.h")
+        .select("*", F.posexplode(sides).alias("_side", "_rank"))
+        .where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_n")))
+        .groupBy(*keys, "_pid", "_off").agg(F.collect_list(F.struct("p", "h", "_side", "_rank")).alias("_asks"))  # two per probability
     )
-    frac = F.col("h") - F.floor("h")
-    return out.select(
-        *keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q")
+    wanted = wanted.toDF(*[f"_w_{c}" for c in wanted.columns])
+    part = laid.join(wanted, null_safe(laid, wanted, [(c, f"_w_{c}") for c in [*keys, "_pid"]]))
+    upto = Window.partitionBy(*keys, "_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = part.withColumn("_end", F.col("_w__off") + F.sum("_n").over(upto))
+    hit = (
+        placed.select(*keys, "v", "_n", "_end", F.explode("_w__asks").alias("_a"))
+        .where((F.col("_a._rank") < F.col("_end")) & (F.col("_a._rank") >= F.col("_end") - F.col("_n")))
     )
+    out = hit.groupBy(*keys, F.col("_a.p").alias("p"), F.col("_a.h").alias("h")).agg(
+        F.max(F.when(F.col("_a._side") == 0, F.col("v"))).alias("_lo"),
+        F.max(F.when(F.col("_a._side") == 1, F.col("v"))).alias("_hi"))
+    return out.select(*keys, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("h") - F.floor("h"))).alias("q"))
 
 
-def quantile_wide(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    method: str = "auto",
-    name=lambda c, p: f"{c}__q{round(p * 100):g}",
-) -> DataFrame:
+def quantile_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                  name=lambda c, p: f"{c}__q{round(p * 100):g}") -> DataFrame:
     """``quantiles`` pivoted to one row per group: ``by..., <name(c,p)>``."""
-    long = quantiles(df, cols, probs, by, method)
+    long = quantiles(df, cols, probs, by)
     aggs = [
         F.max(F.when((F.col("metric") == c) & (F.col("p") == float(p)), F.col("q"))).alias(name(c, p))
         for c in cols

@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 from ragscope.operators.quantiles import quantiles, to_long
 
 
-def box_stats(df: DataFrame, cols: Sequence[str], group_by: str, whis: float = 1.5,
-              method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str], group_by: str, whis: float = 1.5) -> DataFrame:
     """``group, metric, n, q1, median, q3, whisker_lo, whisker_hi, n_fliers``.
     Whiskers are the furthest data points inside ``q1 - whis*IQR`` and
     ``q3 + whis*IQR``; fliers are the points outside."""
     base = df.where(F.col(group_by).isNotNull())
     long = to_long(base, cols, [group_by])
-    q = quantiles(base, cols, [0.25, 0.5, 0.75], by=[group_by], method=method)
+    q = quantiles(base, cols, [0.25, 0.5, 0.75], by=[group_by])
     qw = q.groupBy(group_by, "metric").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),

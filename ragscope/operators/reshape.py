@@ -35,7 +35,7 @@ def _agg(kind: str, c: str) -> Column:
 
 
 def regime_table(df: DataFrame, run_col: str, regime_col: str, metrics: Mapping[str, tuple[str, str]],
-                 regimes: Sequence[str] = ("low", "high"), method: str = "auto") -> DataFrame:
+                 regimes: Sequence[str] = ("low", "high")) -> DataFrame:
     """Per run, each metric per regime side by side, metric-major:
     ``<name>_<regime>`` for ``metrics = {name: (column, agg)}``."""
     base = df.where(F.col(regime_col).isNotNull() & F.col(run_col).isNotNull())
@@ -44,7 +44,7 @@ def regime_table(df: DataFrame, run_col: str, regime_col: str, metrics: Mapping[
     med = {n: c for n, (c, a) in metrics.items() if a == "median"}
     long = base.groupBy(*keys).agg(*[_agg(a, c).alias(n) for n, (c, a) in plain.items()]) if plain else None
     if med:
-        qs = quantile_wide(base, sorted(set(med.values())), [0.5], by=keys, method=method)
+        qs = quantile_wide(base, sorted(set(med.values())), [0.5], by=keys)
         qs = qs.select(*keys, *[F.col(f"{c}__q50").alias(n) for n, c in med.items()])
         long = qs if long is None else long.join(qs, keys, "full_outer")
     out = long.groupBy(run_col).agg(*[
@@ -54,17 +54,17 @@ def regime_table(df: DataFrame, run_col: str, regime_col: str, metrics: Mapping[
 
 
 def cell_pivot(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mean",
-               var1_order: Sequence | None = None, method: str = "auto") -> DataFrame:
+               var1_order: Sequence | None = None) -> DataFrame:
     """Heatmap matrix: one row per ``var2`` value, one column per ``var1``
     value (requested order intersected with what is present, else sorted),
     cell = ``agg`` of ``metric``.  Unknown ``agg`` -> ValueError."""
     if agg not in AGGS:
-        raise ValueError(f"Unknown agg '{agg}'. Choose from: {', '.join(AGGS)}.")
+        raise ValueError(f"{agg!r} is not an aggregate of a cell (have {AGGS})")
     base = df.where(F.col(var1).isNotNull() & F.col(var2).isNotNull())
     present_vals = [r[0] for r in base.select(var1).distinct().collect()]  # one value per column
     cols = [v for v in var1_order if v in set(present_vals)] if var1_order else sorted(present_vals)
     if agg == "median":
-        cells = quantile_wide(base, [metric], [0.5], by=[var1, var2], method=method).select(
+        cells = quantile_wide(base, [metric], [0.5], by=[var1, var2]).select(
             var1, var2, F.col(f"{metric}__q50").alias("_v"))
     else:
         cells = base.groupBy(var1, var2).agg(_agg(agg, metric).alias("_v"))
@@ -72,14 +72,14 @@ def cell_pivot(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mea
 
 
 def profiles(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mean",
-             var1_order: Sequence | None = None, show_std: bool = True, method: str = "auto") -> DataFrame:
+             var1_order: Sequence | None = None, show_std: bool = True) -> DataFrame:
     """Long ``var2, var1, _ord, value[, std]`` for every (var2 value, var1 in
     order) cell; cells without data are kept as nulls."""
     if agg not in ("mean", "median", "min", "max"):
-        raise ValueError(f"Unknown agg '{agg}'. Choose from: ['mean', 'median', 'min', 'max']")
+        raise ValueError(f"{agg!r} is not an aggregate of a profile (have mean, median, min, max)")
     base = df.where(F.col(var1).isNotNull() & F.col(var2).isNotNull())
     if agg == "median":
-        cells = quantile_wide(base, [metric], [0.5], by=[var1, var2], method=method).select(
+        cells = quantile_wide(base, [metric], [0.5], by=[var1, var2]).select(
             var1, var2, F.col(f"{metric}__q50").alias("value"))
         if show_std:
             cells = cells.join(base.groupBy(var1, var2).agg(_agg("std", metric).alias("std")), [var1, var2], "left")

@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +20,12 @@ from ragscope.functions import irmetrics as M
 from ragscope.functions.text import is_abstention
 from ragscope.operators.ordering import with_ordinal
 
-MAX_CONFIGS = 10_000  # run configurations are a hand-written list, never data-sized
+CONFIG_BLOCK = 1_000  # run configurations set against all entries at a time
 
 
 def abstention_rate(df: DataFrame, output_col: str, keys: Sequence[str] = ()) -> DataFrame:
     """Share of abstaining outputs per key (0.0 for a key with no outputs)."""
-    flag = F.when(F.col(output_col).isNotNull() | F.lit(True), is_abstention(output_col).cast("double"))
+    flag = is_abstention(output_col).cast("double")
     agg = [F.count(F.col(output_col)).alias("n_outputs"),
            F.count_if(is_abstention(output_col) & F.col(output_col).isNotNull()).alias("n_abstentions"),
            F.coalesce(F.avg(F.when(F.col(output_col).isNotNull(), flag)), F.lit(0.0)).alias("abstention_rate")]
@@ -67,44 +67,49 @@ def run_quality(results: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
     return results.groupBy(*keys).agg(*aggs) if keys else results.agg(*aggs)
 
 
-def _config_rows(configs: DataFrame) -> list:
-    rows = configs.limit(MAX_CONFIGS + 1).collect()
-    if len(rows) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} run configurations")
-    return rows
+def _config_blocks(configs: DataFrame, size: int) -> Iterator[list]:
+    block = []
+    for row in configs.toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def eval_grid(configs: DataFrame, entries: DataFrame, order: Sequence[str], run_col: str = "run_id",
-              repeat_col: str = "repeat", limit_col: str = "limit") -> DataFrame:
+              repeat_col: str = "repeat", limit_col: str = "limit",
+              block_size: int = CONFIG_BLOCK) -> DataFrame:
     """One row per (config, repetition, entry) to evaluate.
 
     ``repeat`` null -> 1; ``limit`` keeps the first N entries in ``order``
     (null -> all).  Session id ``run_<8 hex>`` is derived from the run id and
-    repetition, so a retried task produces the same ids.  The config list is
-    checked to be small, then inlined as a literal array and exploded on the
-    entry side: the entries are scanned once and never shuffled or joined.
+    repetition, so a retried task produces the same ids.  The entries are ranked
+    once, into a written table; the configurations meet them block by block, as
+    literal arrays exploded on the entry side, so no entry is shuffled or joined
+    however many configurations there are.
     """
-    rows = _config_rows(configs.select(run_col, repeat_col, limit_col))
-    cfg = F.array(*[
-        F.struct(F.lit(r[0]).cast("string").alias("run_id"),
-                 F.lit(1 if r[1] is None else int(r[1])).alias("repeat"),
-                 F.lit(r[2]).cast("long").alias("limit"))
-        for r in rows
-    ]) if rows else F.array().cast("array<struct<run_id:string,repeat:int,limit:bigint>>")
+    kind = "array<struct<run_id:string,repeat:int,limit:bigint>>"
     ent = with_ordinal(entries, list(order), "entry_index")
-    grid = (
-        ent.select("*", F.explode(cfg).alias("_c"))
-        .where(F.col("_c.limit").isNull() | (F.col("entry_index") < F.col("_c.limit")))
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("_c.repeat"))).alias("rep"))
-    )
-    return grid.select(
-        F.col("_c.run_id").alias("run_id"),
-        "rep",
-        F.concat(F.lit("run_"), F.substring(F.sha2(F.concat_ws(":", F.col("_c.run_id"), F.col("rep").cast("string")), 256),
-                                              1, 8)).alias("session_id"),
-        "entry_index",
-        *[c for c in entries.columns],
-    )
+    session = F.concat(F.lit("run_"), F.substring(F.sha2(F.concat_ws(":", F.col("_c.run_id"), F.col("rep").cast("string")), 256), 1, 8))
+    grids = []
+    for block in [*_config_blocks(configs.select(run_col, repeat_col, limit_col), block_size)] or [[]]:
+        cfg = F.array(*[
+            F.struct(F.lit(r[0]).cast("string").alias("run_id"),
+                     F.lit(1 if r[1] is None else int(r[1])).alias("repeat"),
+                     F.lit(r[2]).cast("long").alias("limit"))
+            for r in block
+        ]).cast(kind)
+        grids.append(
+            ent.select("*", F.explode(cfg).alias("_c"))
+            .where(F.col("_c.limit").isNull() | (F.col("entry_index") < F.col("_c.limit")))
+            .select("*", F.explode(F.sequence(F.lit(1), F.col("_c.repeat"))).alias("rep"))
+            .select(F.col("_c.run_id").alias("run_id"), "rep", session.alias("session_id"), "entry_index", *entries.columns))
+    out = grids[0]
+    for g in grids[1:]:
+        out = out.unionByName(g)
+    return out
 
 
 def dry_run(configs: DataFrame, entries: DataFrame, run_col: str = "run_id", repeat_col: str = "repeat",

@@ -101,14 +101,13 @@ def _moment_aggs(cols: Sequence[str]) -> list:
     return out
 
 
-def group_describe(df: DataFrame, cols: Sequence[str] | None = None, group_by: str = "session_id",
-                   method: str = "auto") -> DataFrame:
+def group_describe(df: DataFrame, cols: Sequence[str] | None = None, group_by: str = "session_id") -> DataFrame:
     """pandas ``groupby().describe()`` in long form:
     ``group, metric, count, mean, std, min, p25, p50, p75, max``."""
     cols = present(df, cols) if cols is not None else numeric_metric_cols(df)
     base = df.where(F.col(group_by).isNotNull())
     moments = base.groupBy(group_by).agg(*_moment_aggs(cols))
-    qs = quantile_wide(base, cols, [0.25, 0.5, 0.75], by=[group_by], method=method)
+    qs = quantile_wide(base, cols, [0.25, 0.5, 0.75], by=[group_by])
     wide = moments.join(qs, on=group_by, how="left")
     rows = F.array(
         *[
@@ -137,7 +136,6 @@ def stat_by_group(
     stat: str = "mean",
     std: bool = False,
     band: tuple[float, float] | None = None,
-    method: str = "auto",
 ) -> DataFrame:
     """One statistic per (group, metric), optional ±std and percentile band.
 
@@ -171,7 +169,7 @@ def stat_by_group(
     if aggs:
         grouped = base.groupBy(group_by).agg(*aggs)
     if probs:
-        qs = quantile_wide(base, cols, probs, by=[group_by], method=method)
+        qs = quantile_wide(base, cols, probs, by=[group_by])
         grouped = qs if grouped is None else grouped.join(qs, on=group_by, how="full_outer")
 
     def q(c, p):
@@ -238,7 +236,6 @@ def run_summary(
     p90_cols: Mapping[str, str] | None = None,
     order: Sequence[str] | None = None,
     labels: Mapping[str, str] | None = None,
-    method: str = "auto",
 ) -> DataFrame:
     """Per-run summary: means of quality scores, medians of throughput and
     resources, p90 latencies as whole numbers (half-even, like pandas)."""
@@ -256,7 +253,7 @@ def run_summary(
     probs = ([0.5] if median_cols else []) + ([0.9] if p90_cols else [])
     out = means
     if qcols:
-        qs = quantile_wide(base, qcols, probs, by=[run_col], method=method)
+        qs = quantile_wide(base, qcols, probs, by=[run_col])
         sel = [run_col]
         sel += [F.col(f"{c}__q50").alias(a) for c, a in median_cols.items()]
         sel += [F.bround(F.col(f"{c}__q90"), 0).cast("long").alias(a) for c, a in p90_cols.items()]

@@ -152,10 +152,8 @@ select recall_regime, _obs, {pv} from r group by recall_regime, _obs"""
 
 
 def _heatmap() -> str:
-    # PIVOT yields one column per run present (the requested order is the sorted run list).
-    return (f"with {EVALS_CTE} select * from (pivot (select claim_id, run_id, latency_ttft_ms from evals "
-            f"where run_id is not null and claim_id is not null) on run_id "
-            f"using round(avg(latency_ttft_ms), 6) group by claim_id)")
+    cells = ", ".join(f"round(avg(case when run_id = '{r}' then latency_ttft_ms end), 6) as {r}" for r in RUN_ORDER)
+    return f"with {EVALS_CTE} select claim_id, {cells} from evals where run_id is not null and claim_id is not null group by claim_id"
 
 
 def _box() -> str:

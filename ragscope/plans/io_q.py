@@ -28,8 +28,10 @@ def incremental_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = evals(spark, sf_dir)
     path = scratch_path(spark, "metric-export-inc")
     IO.export_metrics(ev.where(F.col("session_id").endswith("_s0")), path)
-    new = IO.export_metrics(ev, path, skip_existing=True)
-    return spark.createDataFrame([(s,) for s in new], "session_id string")
+    new = IO.export_metrics(ev, path, skip_existing=True).withColumn("added", F.lit(True))
+    back = IO.read_exported(spark, path).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("latency_e2e_latency_ms").alias("latency"), F.count_distinct("claim_id").alias("n_claims"))
+    return r6(back.join(new, "session_id", "left").withColumn("added", F.coalesce("added", F.lit(False))))
 
 
 def session_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +48,14 @@ def dataset_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = CP.supporting_lists(CP.ragbench_truth_long(rows))
     truth = conv.select(F.col("conv_id").cast("string").alias("id")).distinct().join(lists, "id", "left")
     base = scratch_path(spark, "datasets")
-    meta = IO.export_dataset(corpus, truth, base, "conversations")
-    back = IO.read_corpus(spark, base, "conversations")
-    return spark.createDataFrame(
-        [(meta["corpus_count"], meta["ground_truth_count"], IO.corpus_count(back),
-          IO.dataset_ready(spark, base, "conversations"))],
-        "corpus_count long, ground_truth_count long, corpus_rows_read long, ready boolean")
+    IO.export_dataset(corpus, truth, base, "conversations")
+    # what a reader of the export finds: rows, and the counts its metadata claims
+    back = IO.read_corpus(spark, base, "conversations").select(F.lit("corpus").alias("part"), "id", F.md5("text").alias("value"))
+    lists = spark.read.parquet(IO.dataset_path(base, "conversations", "ground_truth")).select(
+        F.lit("truth").alias("part"), "id", F.array_join("supporting_documents", ",").alias("value"))
+    meta = IO.read_metadata(spark, base, "conversations")
+    claimed = F.when(F.col("part") == "corpus", meta["corpus_count"]).otherwise(meta["ground_truth_count"])
+    return back.unionByName(lists).withColumn("claimed", claimed.cast("long"))
 
 
 QUERIES = {
@@ -65,14 +69,19 @@ ORACLES = {
     "export_roundtrip": f"with {EVALS_CTE} select run_id, session_id, claim_id, "
     + ", ".join(f"round({c}, 6) as {c}" for c in EVALS_COLUMNS[3:]) + " from evals where session_id is not null",
     "incremental_export": f"""with {EVALS_CTE}
-select distinct session_id from evals where session_id is not null and not ends_with(session_id, '_s0')""",
+select session_id, count(*) as n, round(sum(latency_e2e_latency_ms), 6) as latency, count(distinct claim_id) as n_claims,
+       not ends_with(session_id, '_s0') as added from evals where session_id is not null group by session_id""",
     "session_select": f"""with {EVALS_CTE}
 select distinct session_id, 'glob' as spec from evals where session_id glob '{GLOB_SPEC}'
 union all
 select distinct session_id, 'list' as spec from evals where session_id in ('run_00_s0', 'run_03_s1', 'run_99_s9')""",
     "dataset_export": """
-select (select count(distinct md5(text)) from conversations where text is not null and text <> '') as corpus_count,
-       (select count(distinct conv_id) from conversations) as ground_truth_count,
-       (select count(distinct md5(text)) from conversations where text is not null and text <> '') as corpus_rows_read,
-       true as ready""",
+with t as (select cast(conv_id as varchar) as id, turn, 'doc_' || substr(md5(text), 1, 12) as doc, md5(text) as m
+           from conversations where text is not null and text <> ''),
+c as (select distinct doc, m from t),
+l as (select id, string_agg(doc, ',' order by turn) as value from t group by id),
+g as (select distinct cast(conv_id as varchar) as id from conversations)
+select 'corpus' as part, doc as id, m as value, (select count(*) from c) as claimed from c
+union all
+select 'truth', g.id, l.value, (select count(*) from g) from g left join l on g.id = l.id""",
 }

@@ -48,17 +48,24 @@ def tune(spark: SparkSession) -> None:
             pass
 
 
+_OWN: dict = {}  # folders of local sessions that name none
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read here.
-    When it is unset (a bare test session) a private folder is created and
-    registered so ``DataFrame.checkpoint()`` works the same way.
+    On a cluster the setting names shared storage and is only read here; without
+    it there is no folder that all executors see, so that is an error.  Only a
+    session inside one process (``local[...]``) gets a folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="ragscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        if spark not in _OWN:
+            _OWN[spark] = tempfile.mkdtemp(prefix="ragscope-ckpt-")
+        path = _OWN[spark]
     jsc = spark.sparkContext._jsc  # noqa: SLF001
     if jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)

@@ -32,22 +32,23 @@ from ragscope.operators.spans import GENERATION, RETRIEVAL, ROOT
 SPAN_NAMES = (ROOT, RETRIEVAL, GENERATION)
 
 
-def stage_files(df: DataFrame, path: str, n_files: int, order_col: str, fmt: str = "parquet") -> str:
-    """Write ``df`` as ``n_files`` files, each a contiguous ``order_col`` range
-    (file names sort in time order, like an arriving log)."""
-    df.repartitionByRange(n_files, order_col).sortWithinPartitions(order_col).write.mode("overwrite").format(fmt).save(path)
+def stage_files(df: DataFrame, path: str, order_col: str, fmt: str = "parquet") -> str:
+    """Write ``df`` as files, each a contiguous ``order_col`` range (file names
+    sort in time order, like an arriving log); as many as the data asks for."""
+    df.repartitionByRange(order_col).sortWithinPartitions(order_col).write.mode("overwrite").format(fmt).save(path)
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
+def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
 def running_summary(stream: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     return stream.groupBy(*keys).agg(*aggs)
 
 
-def run_upsert(agg_stream: DataFrame, out: str, checkpoint: str, timeout_s: int = 600) -> None:
+def run_upsert(agg_stream: DataFrame, out: str, checkpoint: str) -> None:
     """Run an update-mode aggregate to completion over the available input
     (``availableNow``) into the upsert log at ``out``."""
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -55,12 +56,7 @@ def run_upsert(agg_stream: DataFrame, out: str, checkpoint: str, timeout_s: int
 
     q = (agg_stream.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q.awaitTermination()  # ends by itself when all available input is read; raises what the query raised
 
 
 def latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
@@ -71,15 +67,10 @@ def latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, "_v.*")
 
 
-def run_append(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parquet", timeout_s: int = 600) -> None:
+def run_append(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> None:
     q = (stream.writeStream.outputMode("append").format(fmt).option("path", out)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q.awaitTermination()  # ends by itself when all available input is read; raises what the query raised
 
 
 def with_event_time(spans: DataFrame, col: str = "end_time_unix_nano", name: str = "event_time") -> DataFrame:
@@ -151,7 +142,7 @@ def route_by_type(stream: DataFrame, type_col: str, payload_col: str | None = No
     return stream.where(F.col(type_col).isNotNull())
 
 
-def run_routed(stream: DataFrame, type_col: str, out: str, checkpoint: str, timeout_s: int = 600) -> None:
+def run_routed(stream: DataFrame, type_col: str, out: str, checkpoint: str) -> None:
     """Append each micro-batch into one folder per event type (idempotent per
     batch id: a retried batch overwrites its own sub-folder)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -159,9 +150,4 @@ def run_routed(stream: DataFrame, type_col: str, out: str, checkpoint: str, time
 
     q = (stream.writeStream.outputMode("append").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q.awaitTermination()  # ends by itself when all available input is read; raises what the query raised

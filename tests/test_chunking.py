@@ -7,26 +7,24 @@ from ragscope.operators.chunking import chunk, fixed_spans
 
 def test_fixed_digits():
     text = "0123456789" * 5
-    s, e = fixed_spans(text, 20, 5)
-    assert len(s) == 3
-    assert list(zip(s, e)) == [(0, 20), (15, 35), (30, 50)]
+    assert fixed_spans(text, 20, 5) == [(0, 20), (15, 35), (30, 50)]
 
 
 def test_fixed_blank_and_space_snap():
-    assert fixed_spans("   \n ", 10, 2) == ([], [])
-    s, e = fixed_spans("aaaa bbbb cccc dddd", 10, 0)
-    assert (s[0], e[0]) == (0, 10)  # cut just past the last space in [0, 10)
-    assert "".join("aaaa bbbb cccc dddd"[a:b] for a, b in zip(s, e)) == "aaaa bbbb cccc dddd"
+    assert fixed_spans("   \n ", 10, 2) == [] == fixed_spans(None, 10, 2)
+    spans = fixed_spans("aaaa bbbb cccc dddd", 10, 0)
+    assert spans[0] == (0, 10)  # cut just past the last space in [0, 10)
+    assert "".join("aaaa bbbb cccc dddd"[a:b] for a, b in spans) == "aaaa bbbb cccc dddd"
 
 
 def test_fixed_covers_text_without_overlap():
     rnd = random.Random(7)
     for _ in range(50):
         text = "".join(rnd.choice("ab  c\n") for _ in range(rnd.randint(1, 300)))
-        s, e = fixed_spans(text, 17, 0)
-        covered = "".join(text[a:b] for a, b in zip(s, e))
-        assert covered.strip() == "" or set(covered) <= set(text)
-        assert all(b > a for a, b in zip(s, e))
+        spans = fixed_spans(text, 17, 0)
+        inside = {i for a, b in spans for i in range(a, b)}
+        assert len(inside) == sum(b - a for a, b in spans) and all(0 < b - a <= 17 for a, b in spans)
+        assert "".join(c for i, c in enumerate(text) if i not in inside).strip() == ""
 
 
 def test_char_split_counts_empties(spark):
@@ -45,8 +43,7 @@ def test_fixed_in_spark_matches_python(spark):
     rows = chunk(df, "fixed", 500, 64).collect()
     exp = []
     for d, t in texts:
-        s, e = fixed_spans(t, 500, 64)
-        exp += [(d, i, a, b, t[a:b]) for i, (a, b) in enumerate(zip(s, e))]
+        exp += [(d, i, a, b, t[a:b]) for i, (a, b) in enumerate(fixed_spans(t, 500, 64))]
     got = sorted((r["doc_id"], r["chunk_index"], r["start_char"], r["end_char"], r["text"]) for r in rows)
     assert got == sorted(exp)
 

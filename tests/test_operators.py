@@ -24,10 +24,9 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).select("g", F.nanvl("v", F.lit(None)).alias("v"), "w")
 
 
-@pytest.mark.parametrize("method", ["sort", "hash", "window", "auto"])
-def test_quantiles_match_pandas(skewed, method):
+def test_quantiles_match_pandas(skewed):
     pdf, df = skewed
-    got = quantiles(df, ["v", "w"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], by=["g"], method=method).toPandas()
+    got = quantiles(df, ["v", "w"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], by=["g"]).toPandas()
     for _, r in got.iterrows():
         exp = pdf.loc[pdf.g == r["g"], r["metric"]].quantile(r["p"])
         assert r["q"] == pytest.approx(exp, rel=1e-12, abs=1e-9)
@@ -109,12 +108,38 @@ def test_scifact_transforms(spark):
     assert t["1"]["evidence"][0]["sentences"][0]["sentence_indices"] == [0, 1]
 
 
-def test_auto_quantiles_split_hot_groups(skewed):
-    pdf, df = skewed
-    got = quantiles(df, ["v"], [0.25, 0.9], by=["g"], method="auto", hot_rows=500).toPandas()
-    assert len(got) == 8
-    for _, r in got.iterrows():
-        assert r["q"] == pytest.approx(pdf.loc[pdf.g == r["g"], "v"].quantile(r["p"]), rel=1e-12)
+def test_quantiles_of_ties_and_null_groups(spark):
+    """Nine tenths of all rows are one value; null is a group."""
+    n = 40_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("a")).alias("g"),
+        F.when(F.col("id") % 10 != 1, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    ids = np.arange(n)
+    v = np.where(ids % 10 != 1, 7.0, ids)
+    got = {(r.g, r.p): r.q for r in quantiles(df, ["v"], [0.0, 0.5, 0.9, 0.95, 0.999, 1.0], by=["g"]).collect()}
+    assert len(got) == 12
+    for (g, p), q in got.items():
+        assert q == pytest.approx(np.quantile(v[(ids % 3 == 0) == (g is None)], p), rel=1e-12)
+
+
+@pytest.mark.parametrize("advisory", ["1m", "64m"])
+def test_ranks_at_a_million_rows(spark, advisory):
+    """A wide extra column, a hot key and ties: every row once, ranks without gaps."""
+    n, key = 1_000_000, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, advisory)
+    try:
+        df = spark.range(n).select(
+            "id", F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 7 == 0, F.lit(None)).otherwise("b").alias("g"),
+            (F.col("id") % 11).alias("w"), F.repeat(F.md5(F.col("id").cast("string")), 3).alias("text"))
+        r = group_rank(df, ["g"], ["w"], "rk")
+        own = r.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rk").alias("d"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).collect()
+        assert sum(x.n for x in own) == n and all(x.n == x.d == x.hi + 1 and x.lo == 0 for x in own) and len(own) == 3
+        o = with_ordinal(df.select("id", "text"), ["id"], "o").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") == F.col("o")).alias("same")).first()
+        assert o.n == o.same == n
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_evidence_helpers_and_loader_registry(spark):

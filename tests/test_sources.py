@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ragscope.operators.corpus import normalize_truth
 from ragscope.session import scratch_path
-from ragscope.sources.files import export_metrics, exported_sessions, load_metrics
+from ragscope.sources.files import export_metrics, exported_sessions, load_metrics, read_exported
 from ragscope.sources.tables import nan_to_null
 
 
@@ -39,10 +39,13 @@ def test_load_metrics_widens_and_fills(spark):
 
 def test_incremental_export(spark):
     path = scratch_path(spark, "t-export")
-    df = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "session_id string, v double")
-    assert export_metrics(df.where("session_id = 's1'"), path) == ["s1"]
-    assert export_metrics(df, path, skip_existing=True) == ["s2"]
-    assert sorted(r[0] for r in exported_sessions(spark, path).collect()) == ["s1", "s2"]
+    odd = "run:1 a=b%"  # needs escaping in a folder name
+    df = spark.createDataFrame([("s1", 1.0), ("s2", 2.0), (odd, 3.0)], "session_id string, v double")
+    names = lambda f: sorted(r[0] for r in f.collect())
+    assert names(export_metrics(df.where("session_id <> 's2'"), path)) == [odd, "s1"]
+    assert names(export_metrics(df, path, skip_existing=True)) == ["s2"]
+    assert names(exported_sessions(spark, path)) == [odd, "s1", "s2"]
+    assert names(read_exported(spark, path).select("session_id")) == [odd, "s1", "s2"]
 
 
 def test_all_null_columns_and_nan(spark):
