@@ -73,7 +73,9 @@ def hard_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(RS.cell_pivot(evals(spark, sf_dir), "latency_ttft_ms", "run_id", "claim_id", "mean", RUN_ORDER))
+    cells = r6(RS.cell_pivot(evals(spark, sf_dir), "latency_ttft_ms", "run_id", "claim_id", "mean", RUN_ORDER))
+    # one column per run of the report, empty for runs without rows
+    return cells.select("claim_id", *[(F.col(r) if r in cells.columns else F.lit(None).cast("double")).alias(r) for r in RUN_ORDER])
 
 
 def dot_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
