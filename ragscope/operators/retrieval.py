@@ -13,9 +13,10 @@ Physical plan:
    partial + final WindowGroupLimit) keeps the global top-k, ties broken by
    the smaller document id.
 
-With more than one block, every block's partial result is written to the
-shared checkpoint folder and read back, so only one broadcast is alive at a
-time and an executor loss re-runs one block, not the whole job.
+Every block's partial result is written to the shared checkpoint folder and
+read back, so only one broadcast is alive at a time and an executor loss re-runs
+one block, not the whole job.  Rows without a vector are neither queries nor
+hits; the cosine of a zero vector is 0.
 """
 
 from __future__ import annotations
@@ -36,11 +37,8 @@ def _scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     """Higher is better for every metric (l2 returns the negated squared distance)."""
     s = q @ d.T
     if metric == "cosine":
-        qn = np.linalg.norm(q, axis=1)
-        dn = np.linalg.norm(d, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = s / np.outer(qn, dn)
-        s[~np.isfinite(s)] = -np.inf
+        size = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1))
+        s = np.divide(s, size, out=np.zeros_like(s), where=size > 0)  # a zero vector is similar to nothing: 0
     elif metric == "l2":
         s = 2 * s - (q * q).sum(1)[:, None] - (d * d).sum(1)[None, :]
     return s
@@ -113,12 +111,12 @@ def top_k(
     spark = queries.sparkSession
     sc = spark.sparkContext
     q = queries.select(F.col(query_id).cast("long").alias("query_id"),
-                       F.col(query_vec).cast("array<double>").alias("v"))
-    idx = index.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_vec).alias("embedding"))
+                       F.col(query_vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    idx = index.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_vec).alias("embedding")).where("embedding IS NOT NULL")
     schema = "query_id long, doc_id long, score double"
 
     # Block size from the vector width (one row fetched) and the query count.
-    first = q.where(F.col("v").isNotNull()).select(F.size("v").alias("d")).first()
+    first = q.select(F.size("v").alias("d")).first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     dims = int(first["d"])
@@ -133,16 +131,13 @@ def top_k(
         bc = sc.broadcast((qids, qmat))
         return idx.mapInPandas(_scorer(bc, k, metric, exclude_self, "doc_id", "embedding"), schema), bc
 
-    if n_blocks == 1:
-        partial, _ = score_block(q)
-    else:
-        out = scratch_path(spark, "topk-blocks")
-        blocked = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-        for b in range(n_blocks):
-            part, bc = score_block(blocked.where(F.col("_b") == b).drop("_b"))
-            part.write.mode("append").parquet(out)
-            bc.unpersist()
-        partial = spark.read.parquet(out)
+    out = scratch_path(spark, "topk-blocks")
+    blocked = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    for b in range(n_blocks):
+        part, bc = score_block(blocked.where(F.col("_b") == b).drop("_b"))
+        part.write.mode("append").parquet(out)
+        bc.unpersist()
+    partial = spark.read.schema(schema).parquet(out)
 
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (
@@ -192,7 +187,3 @@ def label_relevance_quality(topk: DataFrame, labels: DataFrame, k: int, id_col:
         F.when(has_rel, F.coalesce(1.0 / F.col("_first_hit"), F.lit(0.0))).alias("mrr"),
     )
 
-
-def hit_doc_id(metadata_col: str = "metadata", chunk_id_col: str = "chunk_id"):
-    """Document id of a hit: the ``doc_id`` metadata entry, else the chunk id."""
-    return F.coalesce(F.element_at(F.col(metadata_col), F.lit("doc_id")), F.col(chunk_id_col))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragscope.functions import irmetrics as M
@@ -51,6 +51,43 @@ def score_runs(evals: DataFrame, retrieved: str = "retrieved", relevant: str = "
     return out
 
 
+def score_grid(grid: DataFrame, hits: DataFrame, truth: DataFrame, outputs: DataFrame, claim: str = "claim_id",
+               k: str = "k") -> DataFrame:
+    """Score a grid of evaluations against hits, truth and outputs, joined by claim.
+
+    ``grid``: run_id, rep, claim, k.  ``hits``: claim, rank (1 is best), doc_id, and
+    run_id if runs retrieve differently.  ``truth``: claim, doc_id of every
+    relevant document.  ``outputs``: claim, output, and run_id if there is one.
+    Per evaluation: recall@k and precision@k over the first k distinct documents,
+    MRR over all hits (all null where nothing is relevant), hits returned,
+    and whether the output abstains.  Everything is a join or an aggregate over
+    one row per hit, so no evaluation is a list in one task.
+    """
+    keys = ["run_id", "rep", claim]
+    shared = [c for c in ("run_id", claim) if c in hits.columns]
+    relevant = truth.select(claim, F.col("doc_id").alias("_doc")).where(F.col("_doc").isNotNull()).distinct()
+    # the first rank of each document, and its place among distinct documents
+    ranked = hits.groupBy(*shared, "doc_id").agg(F.min("rank").alias("_rank"), F.count(F.lit(1)).alias("_times"))
+    ranked = ranked.withColumn("_place", F.row_number().over(Window.partitionBy(*shared).orderBy("_rank", "doc_id")))
+    marked = ranked.join(relevant, (ranked[claim] == relevant[claim]) & (ranked["doc_id"] == relevant["_doc"]), "left").select(
+        *[ranked[c] for c in shared], "_rank", "_place", "_times", F.col("_doc").isNotNull().alias("_hit"))
+    # evaluations of one claim with one k score alike: hits meet distinct pairs, not every run
+    asked = grid.select(*shared, F.col(k).alias("_k")).distinct()
+    per = asked.join(marked, shared, "left").groupBy(*shared, "_k").agg(
+        F.count_if(F.col("_place") <= F.col("_k")).alias("_top"),
+        F.count_if((F.col("_place") <= F.col("_k")) & F.col("_hit")).alias("_found"),
+        F.min(F.when(F.col("_hit"), F.col("_rank"))).alias("_first"),
+        F.coalesce(F.sum("_times"), F.lit(0)).alias("retrieval_k"))
+    per = grid.select(*keys, F.col(k).alias("_k")).join(per, [*shared, "_k"]).join(relevant.groupBy(claim).agg(F.count(F.lit(1)).alias("_relevant")), claim, "left").join(
+        outputs, [c for c in ("run_id", claim) if c in outputs.columns], "left")
+    scored = F.col("_relevant") > 0
+    return per.select(
+        *keys, F.when(scored, F.col("_found") / F.col("_relevant")).alias("recall_at_k"),
+        F.when(scored, F.when(F.col("_top") > 0, F.col("_found") / F.col("_top")).otherwise(0.0)).alias("precision_at_k"),
+        F.when(scored, F.coalesce(1.0 / F.col("_first"), F.lit(0.0))).alias("mrr"),
+        "retrieval_k", is_abstention("output").alias("is_abstention"))
+
+
 def run_quality(results: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Run summary: ``n_results, n_scored, recall_at_k, precision_at_k, mrr
     [, abstentions]`` per key."""

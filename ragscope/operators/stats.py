@@ -228,6 +228,16 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def dataset_info(df: DataFrame) -> DataFrame:
+    """One row per column: position, name, type, rows, and rows that have a
+    value.  One pass, whatever the number of columns."""
+    fields = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c, _ in fields])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"_c{i}").alias("non_null"))
+                     for i, c, t in fields])
+    return counts.select(F.col("_n").alias("n_rows"), F.explode(rows).alias("_r")).select("_r.*", "n_rows")
+
+
 def run_summary(
     df: DataFrame,
     run_col: str = "run_id",

@@ -1,6 +1,7 @@
-"""Folding raw samples into per-request measurements (hash aggregates with
-map-side partial aggregation: a request with a third of all samples is
-combined per task before the shuffle).
+"""Folding raw samples into per-request measurements (aggregates with map-side
+partial aggregation: a request with a third of all samples is combined per
+task before the shuffle; first and last values by struct order make Spark sort
+within tasks).
 
 * ``request_timing`` - streamed-response timing: TTFT = first non-empty
   delta - request start (no delta: last chunk - start); tail = max(0, last
@@ -50,7 +51,7 @@ def hardware_fold(samples: DataFrame, keys: Sequence[str], order: Sequence[str],
     o = F.struct(*order)
 
     def delta(c):
-        return F.greatest(F.lit(0.0), F.max_by(c, o) - F.min_by(c, o)).cast("long")
+        return F.greatest(F.lit(0), F.max_by(c, o) - F.min_by(c, o)).cast("long")  # integers stay integers
 
     aggs = [
         F.coalesce(F.max(ram), F.lit(0.0)).cast("double").alias("max_ram_usage_mb"),

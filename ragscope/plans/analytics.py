@@ -43,6 +43,10 @@ def normalised_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(S.normalize(agg, value_cols=("value", "band_lo", "band_hi"), scale_only=("std",)))
 
 
+def dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dataset_info(evals(spark, sf_dir))
+
+
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(S.null_profile(evals(spark, sf_dir), EVALS_METRICS))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "group_band": group_band,
     "normalised_trend": normalised_trend,
     "null_profile": null_profile,
+    "dataset_info": dataset_info,
     "find_outliers": find_outliers,
     "find_outliers_z": find_outliers_z,
     "exclude_outliers": exclude_outliers,

@@ -33,8 +33,7 @@ PROMPT_K = 3
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read_table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    return spark.sql(CONFIG_SQL)
+    return spark.sql(CONFIG_SQL.replace("from nation", "from {nation}"), nation=read_table(spark, sf_dir, "nation"))
 
 
 def eval_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +66,21 @@ def eval_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "cited_doc_ids"))
 
 
+def scored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run configuration against every conversation: hits are its turns in
+    order, relevant are its user turns, the output is its last assistant turn."""
+    conv = read_table(spark, sf_dir, "conversations").withColumn("claim_id", F.col("conv_id"))
+    texts = conv.where("text IS NOT NULL AND text <> ''").withColumn("doc_id", doc_id(F.col("text")))
+    hits = texts.select("claim_id", (F.col("turn") + 1).alias("rank"), "doc_id")
+    truth = texts.where("role = 'user'").select("claim_id", "doc_id")
+    asst = F.col("role") == "assistant"
+    outputs = conv.groupBy("claim_id").agg(F.max_by(F.when(asst, F.col("text")), F.when(asst, F.col("turn"))).alias("output"))
+    cfg = configs(spark, sf_dir)
+    grid = SC.eval_grid(cfg, conv.select("claim_id").distinct(), ["claim_id"], limit_col="entry_limit")
+    grid = grid.join(cfg.select("run_id", F.greatest("k", F.lit(1)).alias("k")), "run_id")
+    return r6(SC.score_grid(grid, hits, truth, outputs))
+
+
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = SC.score_runs(_conv_evals(spark, sf_dir), k=SCORE_K)
     return r6(SC.run_quality(scored, keys=()))
@@ -112,17 +126,22 @@ def config_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.violations(configs(spark, sf_dir), ["run_id"], Q.config_rules())
 
 
+MEASURE_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def measure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the data breaks, next to rules that it keeps."""
     li = read_table(spark, sf_dir, "lineitem")
-    rules = {**Q.non_negative(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
-             "l_linenumber_positive": F.col("l_linenumber") > 0}
-    return Q.violations(li, ["l_orderkey", "l_linenumber"], rules)
+    rules = {**Q.non_negative(["l_quantity", "l_tax"]), "l_linenumber_at_most_5": F.col("l_linenumber") <= 5,
+             "l_discount_below_10pct": F.col("l_discount") < 0.1}
+    return Q.violations(li, MEASURE_IDS, rules).groupBy(*MEASURE_IDS, "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
     "eval_grid": eval_grid,
     "dry_run": dry_run,
     "eval_scoring": eval_scoring,
+    "scored_grid": scored_grid,
     "eval_summary": eval_summary,
     "abstention": abstention,
     "request_timing": request_timing,
@@ -235,10 +254,27 @@ union all select run_id, 'dimensions_positive' from cfg where not coalesce(dimen
 union all select run_id, 'fixed_needs_chunk_size' from cfg where strategy = 'fixed' and chunk_size is null
 union all select run_id, 'char_split_needs_sequence' from cfg where strategy = 'char_split' and split_sequence is null""",
     "measure_violations": """
-select l_orderkey, l_linenumber, rule from (
-  select l_orderkey, l_linenumber, 'l_quantity_non_negative' as rule from lineitem where l_quantity < 0
-  union all select l_orderkey, l_linenumber, 'l_extendedprice_non_negative' from lineitem where l_extendedprice < 0
-  union all select l_orderkey, l_linenumber, 'l_discount_non_negative' from lineitem where l_discount < 0
-  union all select l_orderkey, l_linenumber, 'l_tax_non_negative' from lineitem where l_tax < 0
-  union all select l_orderkey, l_linenumber, 'l_linenumber_positive' from lineitem where l_linenumber <= 0)""",
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, rule, count(*) as n from (
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_linenumber_at_most_5' as rule from lineitem where l_linenumber > 5
+  union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_discount_below_10pct' from lineitem where l_discount >= 0.1
+  union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_quantity_non_negative' from lineitem where l_quantity < 0
+  union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_tax_non_negative' from lineitem where l_tax < 0) group by all""",
+    "scored_grid": f"""
+with cfg as ({CONFIG_SQL}), {_CONV.replace("dr <= 3", "dr <= 99")},
+e as (select conv_id, row_number() over (order by conv_id) - 1 as idx from (select distinct conv_id from conversations)),
+g as (select c.run_id, cast(r.rep as integer) as rep, e.conv_id, greatest(c.k, 1) as k
+      from cfg c cross join e join (select unnest(generate_series(1, 3)) as rep) r on r.rep <= coalesce(c.repeat, 1)
+      where c.entry_limit is null or e.idx < c.entry_limit),
+m as (select rk.conv_id, dr, rel.doc is not null as hit from rk left join rel on rel.conv_id = rk.conv_id and rel.doc = rk.doc),
+kk as (select distinct k from g),
+tk as (select conv_id, k, count(*) as n_k, count_if(hit) as h_k from m join kk on dr <= k group by conv_id, k)
+select g.run_id, g.rep, g.conv_id as claim_id,
+       case when n_rel > 0 then round(coalesce(h_k, 0) / n_rel, 6) end as recall_at_k,
+       case when n_rel > 0 then round(case when coalesce(n_k, 0) = 0 then 0.0 else h_k / n_k end, 6) end as precision_at_k,
+       case when n_rel > 0 then round(coalesce(1.0 / first_turn, 0.0), 6) end as mrr,
+       cast(coalesce(s.retrieval_k, 0) as bigint) as retrieval_k, s.is_abstention
+from g join s on s.conv_id = g.conv_id left join nrel on nrel.conv_id = g.conv_id
+left join tk on tk.conv_id = g.conv_id and tk.k = g.k
+left join (select ret.conv_id, min(ret.turn + 1) as first_turn from ret join rel on rel.conv_id = ret.conv_id and rel.doc = ret.doc group by ret.conv_id) f
+  on f.conv_id = g.conv_id""",
 }

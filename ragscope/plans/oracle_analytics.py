@@ -7,7 +7,7 @@ from ragscope.plans.analytics import (
     BAND_COLS, BAND_ORDER, SUMMARY_MEANS, SUMMARY_MEDIANS, SUMMARY_P90, TREND_COLS,
 )
 from ragscope.plans.common import EVALS_METRICS, EVENT_IDS, EVENT_METRICS, RUN_ORDER
-from ragscope.sources.tables import EVALS_SQL
+from ragscope.sources.tables import EVALS_COLUMNS, EVALS_SQL
 
 EVALS_CTE = f"evals as ({EVALS_SQL})"
 EVENTS_CTE = (
@@ -97,6 +97,14 @@ from s
 """
 
 
+def dataset_info() -> str:
+    kinds = {"run_id": "string", "session_id": "string", "claim_id": "string", "generation_completion_tokens": "bigint",
+             "generation_prompt_tokens": "bigint"}
+    return f"with {EVALS_CTE} " + " union all ".join(
+        f"select {i} as position, '{c}' as \"column\", '{kinds.get(c, 'double')}' as type, count({c}) as non_null, count(*) as n_rows from evals"
+        for i, c in enumerate(EVALS_COLUMNS))
+
+
 def null_profile() -> str:
     parts = " union all ".join(
         f"select '{c}' as metric, count_if({c} is null) as null_count, "
@@ -154,6 +162,7 @@ ORACLES = {
     "group_band": group_band(),
     "normalised_trend": normalised_trend(),
     "null_profile": null_profile(),
+    "dataset_info": dataset_info(),
     "find_outliers": find_outliers(),
     "find_outliers_z": find_outliers_z(),
     "exclude_outliers": exclude_outliers(),

@@ -60,10 +60,7 @@ EVALS_COLUMNS = [
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide evaluation table (one row per evaluation)."""
-    read_table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    df = nan_to_null(spark.sql(EVALS_SQL))
-    df.createOrReplaceTempView("evals")
-    return df
+    return nan_to_null(spark.sql(EVALS_SQL.replace("from lineitem", "from {lineitem}"), lineitem=read_table(spark, sf_dir, "lineitem")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
