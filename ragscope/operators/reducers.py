@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragscope.operators.quantiles import quantiles, to_long
+from ragscope.operators.stats import GENERATION_COLS, GENERATION_QUALITY_COLS, HARDWARE_COLS, LATENCY_COLS, RETRIEVAL_COLS
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], group_by: str, whis: float = 1.5) -> DataFrame:
@@ -68,6 +69,26 @@ def histograms(df: DataFrame, cols: Sequence[str], group_by: str, bins: int = 30
     )
 
 
+#: Named sets of histograms: the metric table's column groups with their labels.
+HISTOGRAM_SETS = {
+    "latency": LATENCY_COLS, "generation": GENERATION_COLS, "retrieval": RETRIEVAL_COLS,
+    "hardware": HARDWARE_COLS, "generation_quality": GENERATION_QUALITY_COLS,
+}
+
+
+def histogram_sets(df: DataFrame, group_by: str, bins: int = 30, sets=HISTOGRAM_SETS) -> DataFrame:
+    """``histograms`` of every named set whose columns the table has: ``hist_set, label``
+    and the columns of ``histograms``.  A column in several sets is counted once."""
+    members = [(s, c, label) for s, cols in sets.items() for c, label in cols.items() if c in df.columns]
+    cols = list(dict.fromkeys(c for _, c, _ in members))
+    if not cols:
+        raise ValueError("the table has no column of these histogram sets")
+    of = F.array(*[F.struct(F.lit(s).alias("hist_set"), F.lit(c).alias("c"), F.lit(label).alias("label")) for s, c, label in members])
+    own = F.filter(of, lambda m: m["c"] == F.col("metric"))
+    h = histograms(df, cols, group_by, bins)
+    return h.select("*", F.explode(own).alias("_m")).select("_m.hist_set", "_m.label", *h.columns)
+
+
 def scatter(df: DataFrame, x: str, y: str, group_by: str) -> DataFrame:
     """Scatter projection: the (group, x, y) points with both coordinates present."""
     return df.where(F.col(group_by).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(group_by, x, y)

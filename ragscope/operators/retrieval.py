@@ -187,3 +187,15 @@ def label_relevance_quality(topk: DataFrame, labels: DataFrame, k: int, id_col:
         F.when(has_rel, F.coalesce(1.0 / F.col("_first_hit"), F.lit(0.0))).alias("mrr"),
     )
 
+
+def hit_doc_id(metadata_col: str = "metadata", chunk_id_col: str = "chunk_id"):
+    """Document id of a hit: the ``doc_id`` metadata entry, else the chunk id."""
+    return F.coalesce(F.element_at(F.col(metadata_col), F.lit("doc_id")), F.col(chunk_id_col).cast("string"))
+
+
+def with_documents(topk: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
+    """Hits with what the index holds of them: ``chunk_id, text, metadata`` (a map of
+    strings), and ``doc_id``, the document they belong to.  Hits without a chunk
+    keep their id, with null text."""
+    hits = topk.withColumnRenamed("doc_id", chunk_id)
+    return hits.join(chunks, chunk_id, "left").withColumn("doc_id", hit_doc_id("metadata", chunk_id))
