@@ -13,7 +13,7 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def unpack_arrays(blob: bytes, *dtypes: str) -> list[np.ndarray]:
+def unpack_arrays(blob: bytes, *dtypes) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
     count = int(np.frombuffer(data, "<i4", 1)[0])
     sizes = np.frombuffer(data, "<i4", 2 * count, 4).reshape(-1, 2)

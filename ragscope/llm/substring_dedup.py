@@ -149,25 +149,40 @@ class Runs:
         self.at = np.cumsum(self.count) - self.count
 
 
-def _answers(run: np.ndarray, offset: np.ndarray, ref: np.ndarray, r: Runs) -> tuple[np.ndarray, list[bytes]]:
-    """Answers per document row: windows (run number, place in the run) whose first
-    occurrence is in ``ref``, as (start, length, ref) records."""
-    if not len(run):
-        return np.zeros(0, np.int64), []
+def _answers(run: np.ndarray, offset: np.ndarray, ref: np.ndarray, r: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Document rows, and (start, length, ref) records of windows (run number, place in
+    the run) whose first occurrence is in ``ref``."""
     start = r.start[run].astype(np.int64) + offset
-    head = np.concatenate([[True], (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1) | (ref[1:] != ref[:-1])])
+    head = np.ones(len(run), dtype=bool)
+    head[1:] = (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1) | (ref[1:] != ref[:-1])
     first = np.flatnonzero(head)
     rec = np.zeros(len(first), _RUN)
     rec["start"], rec["len"], rec["ref"] = start[first], np.diff(np.append(first, len(run))), ref[first]
-    row = r.rows[r.doc[run[first]]]
-    order = np.argsort(row, kind="stable")
-    row, rec = row[order], rec[order]
-    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    ends = np.append(cuts[1:], len(row))
-    return row[cuts], [rec[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    return r.rows[r.doc[run[first]]], rec
 
 
-def _solve_block(block: int, blobs: list[bytes]) -> tuple[np.ndarray, list[bytes], bytes | None]:
+def _by_bucket(rows: np.ndarray, records: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Answers packed by bucket of document rows."""
+    out = [(k, pack_arrays(rows[at], records[at])) for k, at in split_by(rows % buckets)]
+    return [k for k, _ in out], [b for _, b in out]
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One row per document of a bucket: all its records, each once."""
+    parts = [unpack_arrays(b, "<i8", _RUN) for b in table.column("answer").to_pylist()]
+    rows, rec = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((rec["start"], rows))
+    rows, rec = rows[order], rec[order]
+    keep = np.ones(len(rows), dtype=bool)
+    keep[1:] = (rows[1:] != rows[:-1]) | (rec[1:] != rec[:-1])
+    rows, rec = rows[keep], rec[keep]
+    head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    ends = np.append(head[1:], len(rows)).tolist()
+    return pa.table([pa.array(rows[head], pa.int64()), pa.array([rec[a:b].tobytes() for a, b in zip(head.tolist(), ends, strict=True)], pa.binary())],
+                    names=["row", "records"])
+
+
+def _solve_block(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | None]:
     """Answers of a block, and its results for windows of hot seeds."""
     inner, sums = [], []
     for blob in blobs:
@@ -199,21 +214,21 @@ def _solve_block(block: int, blobs: list[bytes]) -> tuple[np.ndarray, list[bytes
     return rows, records, result
 
 
-def _solve(index: DataFrame) -> DataFrame:
-    """(hot, key, answer): answers by row identity, or results for hot windows by block."""
+def _solve(index: DataFrame, buckets: int) -> DataFrame:
+    """(hot, key, answer): answers by bucket of documents, or results for hot windows by block."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        rows, records, result = _solve_block(block, table.column("entries").to_pylist())
-        hot, key = [False] * len(rows), rows.tolist()
+        rows, records, result = _solve_block(table.column("entries").to_pylist())
+        key, answer = _by_bucket(rows, records, buckets)
+        hot = [False] * len(key)
         if result is not None:
-            hot, key, records = [*hot, True], [*key, block], [*records, result]
-        return pa.table([pa.array(hot, pa.bool_()), pa.array(key, pa.int64()), pa.array(records, pa.binary())], names=["hot", "key", "answer"])
+            hot, key, answer = [*hot, True], [*key, table.column("block")[0].as_py()], [*answer, result]
+        return pa.table([pa.array(hot, pa.bool_()), pa.array(key, pa.int64()), pa.array(answer, pa.binary())], names=["hot", "key", "answer"])
 
     return index.groupBy("block").applyInArrow(run, "hot boolean, key long, answer binary")
 
 
-def _look_up(details: DataFrame, results: DataFrame) -> DataFrame:
+def _look_up(details: DataFrame, results: DataFrame, buckets: int) -> DataFrame:
     """Answers for the documents of hot seeds: their runs join the results of their block."""
 
     def run(batches):
@@ -228,8 +243,8 @@ def _look_up(details: DataFrame, results: DataFrame) -> DataFrame:
                 order = np.argsort(key)
                 found = ref[order][np.searchsorted(key[order], asked)]  # every window of a hot seed has a result
                 later = np.flatnonzero(r.ids[r.doc[own]] > found)
-                rows, records = _answers(own[later], later - r.at[own[later]], found[later], r)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(records, pa.binary())], names=["key", "answer"])
+                bucket, answer = _by_bucket(*_answers(own[later], later - r.at[own[later]], found[later], r), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(answer, pa.binary())], names=["key", "answer"])
 
     joined = details.join(results.select(F.col("key").cast("int").alias("block"), "answer"), "block")
     return joined.select("entries", "answer").mapInArrow(run, "key long, answer binary")
@@ -237,10 +252,9 @@ def _look_up(details: DataFrame, results: DataFrame) -> DataFrame:
 
 # -- parsing ---------------------------------------------------------------------------
 
-def factors_of(answers: list[bytes]) -> np.ndarray:
-    """Greedy factors (start, len in words, ref) of a document from its windows' answers."""
-    rec = np.frombuffer(b"".join(answers), _RUN)
-    rec = rec[np.argsort(rec["start"])]
+def factors_of(records: bytes) -> np.ndarray:
+    """Greedy factors (start, len in words, ref) of a document from its windows' records, sorted by start."""
+    rec = np.frombuffer(records, _RUN)
     end = rec["start"].astype(np.int64) + rec["len"]
     head = np.flatnonzero(np.concatenate([[True], (rec["start"][1:] != end[:-1]) | (rec["ref"][1:] != rec["ref"][:-1])]))
     out = np.zeros(len(head), _RUN)
@@ -256,12 +270,12 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     spark = docs.sparkSession
     rows = docs.select(row_id(F.col(key), F.col(text)).alias("_row"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     shards = shards or shard_count(spark, 1)
-    solved = saved(_solve(_index(rows, shards, hot, False)), "blocks")
+    solved = saved(_solve(_index(rows, shards, hot, False), shards), "blocks")
     answers = solved.where("NOT hot").select("key", "answer")
     results = solved.where("hot")
     if not results.isEmpty():
-        answers = answers.unionByName(_look_up(_index(rows, shards, hot, True), results))
-    by_row = answers.distinct().groupBy("key").agg(F.collect_list("answer").alias("_s_answers")).withColumnRenamed("key", "_s_row")
+        answers = answers.unionByName(_look_up(_index(rows, shards, hot, True), results, shards))
+    by_row = answers.groupBy("key").applyInArrow(_merged, "row long, records binary").select(F.col("row").alias("_s_row"), F.col("records").alias("_s_answers"))
     joined = docs.withColumn("_s_own", row_id(F.col(key), F.col(text))).join(by_row, F.col("_s_own") == F.col("_s_row"), "left")
     names = docs.columns
     added = [T.StructField(P + "words", T.LongType()), T.StructField(P + "removed", T.LongType()), T.StructField(P + "factors", FACTORS), T.StructField(P + "kept", T.StringType())]
