@@ -1,5 +1,6 @@
-"""Physical-plan summary of every registered query (run after execution, so
-AQE's final plan is shown): exchanges, join strategies, aggregate kinds,
+"""Physical-plan summary of every query of the registry (each plan is executed
+first, so the optimiser's final plan is shown; work that a query does while it
+is built - written tables - is not in it): exchanges, join strategies, aggregate kinds,
 windows, generators, and whether filters were pushed to a Parquet scan.
 
 ``python -m ragscope.plans.plan_report [sf_dir] > PLANS.md``
@@ -23,7 +24,7 @@ def summarize(plan: str) -> dict:
         if n:
             out[k] = n
     pushed = [m for m in re.findall(r"PushedFilters: \[([^\]]*)\]", plan) if m]
-    out["scans"] = plan.count("FileScan") + plan.count("Scan parquet")
+    out["scans"] = len(re.findall(r"FileScan|Scan parquet", plan))
     out["pushed_filter_scans"] = len(pushed)
     return out
 
@@ -31,7 +32,7 @@ def summarize(plan: str) -> dict:
 def main(argv):
     sys.path.insert(0, ".")
     from ragscope.session import checkpoint_dir, get_spark
-    import __spark_entry__ as E
+    from ragscope.plans.registry import all_queries
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = get_spark()
@@ -39,11 +40,12 @@ def main(argv):
     print(f"# Physical plans (final AQE plans, {sf_dir})\n")
     print("| query | operators |")
     print("|---|---|")
-    for name, q in E.queries().items():
+    for name, q in all_queries().items():
         try:
             df = q(spark, sf_dir)
-            df.write.format("noop").mode("overwrite").save()
-            plan = df._jdf.queryExecution().executedPlan().toString()
+            execution = df._jdf.queryExecution()
+            execution.toRdd().count()  # runs this very plan
+            plan = execution.executedPlan().toString().split("== Initial Plan ==")[0]
             s = summarize(plan)
             ops = ", ".join(f"{k} x{v}" for k, v in s.items() if v)
         except Exception as e:  # noqa: BLE001

@@ -82,31 +82,30 @@ def dedup_spans(spans: DataFrame, watermark: str = "10 minutes", event_time: str
 
 
 _OUT = "trace_id string, n_spans int, complete boolean, names string"
-_STATE = "names array<string>"
+_STATE = "names array<string>, done boolean"
 
 
 def _assembler(expected: Sequence[str], timeout_ms: int):
     need = set(expected)
 
+    def row(trace_id, seen, complete):
+        return pd.DataFrame({"trace_id": [trace_id], "n_spans": [len(seen)], "complete": [complete], "names": [",".join(sorted(seen))]})
+
     def fn(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        trace_id = key[0]
+        names, done = state.get if state.exists else ([], False)
         if state.hasTimedOut:
-            seen = set(state.get[0]) if state.exists else set()
             state.remove()
-            yield pd.DataFrame({"trace_id": [trace_id], "n_spans": [len(seen)], "complete": [False],
-                                "names": [",".join(sorted(seen))]})
+            if not done:
+                yield row(key[0], set(names), False)
             return
-        seen = set(state.get[0]) if state.exists else set()
+        seen = set(names)
         for pdf in frames:
             seen.update(pdf["name"].tolist())
-        if need <= seen:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"trace_id": [trace_id], "n_spans": [len(seen)], "complete": [True],
-                                "names": [",".join(sorted(seen))]})
-        else:
-            state.update((sorted(seen),))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
+        if need <= seen and not done:
+            yield row(key[0], seen, True)
+        # a complete trace is remembered until the timeout, so late copies of its spans open no new one
+        state.update((sorted(seen), bool(done or need <= seen)))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
 
     return fn
 
@@ -117,7 +116,7 @@ def assemble_traces(spans: DataFrame, watermark: str = "10 minutes", gap: str =
     need = F.array(*[F.lit(n) for n in sorted(expected)])
     agg = (spans.withWatermark(event_time, watermark)
            .groupBy("trace_id", F.session_window(event_time, gap))
-           .agg(F.count(F.lit(1)).cast("int").alias("n_spans"), F.array_sort(F.collect_set("name")).alias("_names")))
+           .agg(F.size(F.collect_set("span_id" if "span_id" in spans.columns else "name")).alias("n_spans"), F.array_sort(F.collect_set("name")).alias("_names")))  # a span delivered twice counts once
     return agg.select("trace_id", "n_spans",
                       (F.size(F.array_intersect("_names", need)) == F.size(need)).alias("complete"),
                       F.array_join("_names", ",").alias("names"))
