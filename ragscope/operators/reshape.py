@@ -53,11 +53,20 @@ def regime_table(df: DataFrame, run_col: str, regime_col: str, metrics: Mapping[
     return out
 
 
+def _in_order(df: DataFrame, var: str, order: Sequence | None) -> DataFrame:
+    """Rows whose ``var`` is in ``order``, with its place there (``_row``); all rows, as they are, without an order."""
+    if order is None:
+        return df
+    place = F.array_position(F.array(*[F.lit(v).cast(df.schema[var].dataType) for v in order]), F.col(var))
+    return df.withColumn("_row", (place - 1).cast("int")).where(F.col("_row") >= 0)
+
+
 def cell_pivot(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mean",
-               var1_order: Sequence | None = None) -> DataFrame:
+               var1_order: Sequence | None = None, var2_order: Sequence | None = None) -> DataFrame:
     """Heatmap matrix: one row per ``var2`` value, one column per ``var1``
     value (requested order intersected with what is present, else sorted),
-    cell = ``agg`` of ``metric``.  Unknown ``agg`` -> ValueError."""
+    cell = ``agg`` of ``metric``.  With ``var2_order`` only its values, and their
+    place in ``_row``.  Unknown ``agg`` -> ValueError."""
     if agg not in AGGS:
         raise ValueError(f"{agg!r} is not an aggregate of a cell (have {AGGS})")
     base = df.where(F.col(var1).isNotNull() & F.col(var2).isNotNull())
@@ -68,13 +77,14 @@ def cell_pivot(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mea
             var1, var2, F.col(f"{metric}__q50").alias("_v"))
     else:
         cells = base.groupBy(var1, var2).agg(_agg(agg, metric).alias("_v"))
-    return cells.groupBy(var2).pivot(var1, cols).agg(F.first("_v"))
+    return _in_order(cells.groupBy(var2).pivot(var1, cols).agg(F.first("_v")), var2, var2_order)
 
 
 def profiles(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mean",
-             var1_order: Sequence | None = None, show_std: bool = True) -> DataFrame:
+             var1_order: Sequence | None = None, show_std: bool = True, var2_order: Sequence | None = None) -> DataFrame:
     """Long ``var2, var1, _ord, value[, std]`` for every (var2 value, var1 in
-    order) cell; cells without data are kept as nulls."""
+    order) cell; cells without data are kept as nulls.  With ``var2_order`` only
+    its values, and their place in ``_row``."""
     if agg not in ("mean", "median", "min", "max"):
         raise ValueError(f"{agg!r} is not an aggregate of a profile (have mean, median, min, max)")
     base = df.where(F.col(var1).isNotNull() & F.col(var2).isNotNull())
@@ -93,7 +103,7 @@ def profiles(df: DataFrame, metric: str, var1: str, var2: str, agg: str = "mean"
     order = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(i).alias("o")) for i, v in enumerate(var1_order)])
     grid = base.select(var2).distinct().select(var2, F.explode(order).alias("_g")).select(
         var2, F.col("_g.v").cast(base.schema[var1].dataType).alias(var1), F.col("_g.o").alias("_ord"))
-    return grid.join(cells, [var1, var2], "left")
+    return _in_order(grid.join(cells, [var1, var2], "left"), var2, var2_order)
 
 
 def regime_reshape(df: DataFrame, metric: str, run_col: str, regime_col: str, order: Sequence[str],

@@ -195,3 +195,26 @@ def test_topk_hits_feed_array_metrics(spark):
         assert r["precision_at_k"] == pytest.approx(hits_n / len(top))
         first = next((i for i, d in enumerate(ret, 1) if d in relevant), None)
         assert r["mrr"] == pytest.approx(1 / first if first else 0.0)
+
+
+def test_heatmap_and_profiles_in_requested_order(spark):
+    from ragscope.operators.reshape import cell_pivot, profiles
+
+    df = spark.createDataFrame([("r1", "c1", 1.0), ("r1", "c2", 3.0), ("r2", "c2", 5.0), ("r2", "c2", 7.0), ("r3", "c3", 9.0)], "run string, claim string, x double")
+    got = cell_pivot(df, "x", "run", "claim", "mean", ["r2", "r9", "r1"], ["c3", "c9", "c2"])
+    assert got.columns == ["claim", "r2", "r1", "_row"]
+    assert [tuple(r) for r in got.orderBy("_row").collect()] == [("c3", None, None, 0), ("c2", 6.0, 3.0, 2)]
+    long = profiles(df, "x", "run", "claim", "max", ["r1", "r2"], False, ["c2"]).orderBy("_ord").collect()
+    assert [(r.claim, r.run, r.value, r._row) for r in long] == [("c2", "r1", 3.0, 0), ("c2", "r2", 7.0, 0)]
+    with pytest.raises(ValueError):
+        cell_pivot(df, "x", "run", "claim", "mode")
+
+
+def test_eval_grid_is_the_same_in_any_block_size(spark):
+    from ragscope.operators.scoring import eval_grid
+
+    cfg = spark.createDataFrame([(f"r{i}", i % 3 + 1 if i else None, i * 2 if i % 2 else None) for i in range(7)], "run_id string, repeat int, limit long")
+    entries = spark.range(9).withColumnRenamed("id", "claim")
+    rows = lambda n: sorted(map(tuple, eval_grid(cfg, entries, ["claim"], block_size=n).collect()))
+    assert rows(2) == rows(100) and len(rows(100)) == sum(((i % 3 + 1) if i else 1) * (min(9, i * 2) if i % 2 else 9) for i in range(7))
+    assert eval_grid(cfg.limit(0), entries, ["claim"]).count() == 0
