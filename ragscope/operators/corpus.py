@@ -48,6 +48,23 @@ def ragbench_truth_long(raw_long: DataFrame, row_col: str = "row_id", pos_col: s
         content_id(F.col(text_col)).alias("doc_id"))
 
 
+EVIDENCE = ("array<struct<doc_id:string,doc_title:string,sentences:array<struct<"
+            "sentence_indices:array<int>,sentence_texts:array<string>,label:string>>>>")
+
+
+def ragbench_truth(raw: DataFrame, id_col: str = "id", question: str = "question", response: str = "response",
+                   documents: str = "documents") -> DataFrame:
+    """Raw rows -> ground truth: the question as input, the response as expected response,
+    the content ids of the row's non-empty documents in order, no label and no
+    evidence.  One row in, one row out; other columns follow as they are."""
+    rest = [c for c in raw.columns if c not in (id_col, question, response, documents)]
+    texts = F.filter(F.coalesce(F.col(documents), F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
+    return raw.select(
+        F.col(id_col).cast("string").alias("id"), F.col(question).alias("input"), F.lit(None).cast("string").alias("expected_label"),
+        F.col(response).alias("expected_response"), F.transform(texts, content_id).alias("supporting_documents"),
+        F.array().cast(EVIDENCE).alias("evidence"), *rest)
+
+
 def supporting_lists(truth_long: DataFrame) -> DataFrame:
     """``id, supporting_documents`` (ordered array) from the long form.  The
     list length is the number of documents of one raw row."""
@@ -118,16 +135,17 @@ def evidence_for(evidence_col: str, doc):
 
 
 def normalize_truth(df: DataFrame) -> DataFrame:
-    """Replace all-null columns read from Parquet (typed ``null`` /
-    ``list<null>``, which Spark reads as int / array<int>) by typed empties."""
+    """Ground truth with the columns and types every reader expects.  Columns that
+    were all null when written (Spark reads them as int or array<int>) become
+    typed nulls or empty lists, missing ones are added, and extra columns stay."""
     out = df
-    if "expected_label" in df.columns:
-        out = out.withColumn("expected_label", F.col("expected_label").cast("string"))
-    if "evidence" in df.columns and "struct" not in df.schema["evidence"].dataType.simpleString():
-        out = out.withColumn("evidence", F.array().cast(
-            "array<struct<doc_id:string,doc_title:string,sentences:array<struct<"
-            "sentence_indices:array<int>,sentence_texts:array<string>,label:string>>>>"))
-    return out
+    for c in ("input", "expected_label", "expected_response"):
+        out = out.withColumn(c, F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string"))
+    supporting = F.col("supporting_documents").cast("array<string>") if "supporting_documents" in df.columns else F.lit(None)
+    out = out.withColumn("supporting_documents", F.coalesce(supporting, F.array().cast("array<string>")))
+    if "evidence" not in df.columns or "struct" not in df.schema["evidence"].dataType.simpleString():
+        out = out.withColumn("evidence", F.array().cast(EVIDENCE))
+    return out.withColumn("id", F.col("id").cast("string"))
 
 
 def _ragbench(raw_long: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,5 +166,5 @@ def load_dataset(name: str, raw):
     try:
         loader = DATASET_LOADERS[name]
     except KeyError:
-        raise ValueError(f"Unknown dataset '{name}'. Known: {sorted(DATASET_LOADERS)}") from None
+        raise ValueError(f"no loader is called {name!r} (have {sorted(DATASET_LOADERS)})") from None
     return loader(raw)

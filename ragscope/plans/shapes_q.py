@@ -18,6 +18,7 @@ from ragscope.plans.common import EVENT_METRICS, event_metrics, r6
 from ragscope.plans.oracle_analytics import EVALS_CTE, EVENTS_CTE, iqr_bounds, iqr_flag, unpivot_long
 from ragscope.plans.retrieval_q import K, _TOPK_SQL
 from ragscope.plans.spans_q import _keyed
+from ragscope.session import scratch_path
 from ragscope.sources import files as IO
 from ragscope.sources.tables import events, evals, read_table
 
@@ -81,6 +82,22 @@ def claim_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size(CP.evidence_sentences("evidence")).alias("n_sentences"), F.get(first["sentences"], 0)["label"].alias("label_of_1"))
 
 
+def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as question-answer rows: their ground truth, written and read back."""
+    conv = read_table(spark, sf_dir, "conversations")
+    user, asst = F.col("role") == "user", F.col("role") == "assistant"
+    raw = conv.groupBy("conv_id").agg(
+        F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("question"),
+        F.max_by(F.when(asst, F.col("text")), F.when(asst, F.col("turn"))).alias("response"),
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("documents"),  # a raw row holds its documents
+        F.count(F.lit(1)).alias("n_turns")).withColumnRenamed("conv_id", "id")
+    base = scratch_path(spark, "truth")
+    CP.ragbench_truth(raw).write.parquet(IO.dataset_path(base, "conversations", "ground_truth"))
+    t = IO.read_truth(spark, base, "conversations")
+    return t.select("id", F.md5("input").alias("input"), F.md5("expected_response").alias("expected_response"), "expected_label",
+                    F.array_join("supporting_documents", ",").alias("supporting"), F.size("evidence").alias("n_evidence"), "n_turns")
+
+
 def hit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits in rank order with text, metadata and the id of their document."""
     emb = read_table(spark, sf_dir, "embeddings")
@@ -118,6 +135,7 @@ QUERIES = {
     "scrape_counters": scrape_counters,
     "sentence_corpus": sentence_corpus,
     "claim_truth": claim_truth,
+    "truth_rows": truth_rows,
     "hit_documents": hit_documents,
     "trace_select": trace_select,
     "document_lookup": document_lookup,
@@ -174,6 +192,11 @@ e as (select conv_id, count_if(role = 'user') as n, count_if(role = 'user' and l
 select cast(conv_id as varchar) as id, 'claim ' || conv_id as input,
        case when c > 0 then 'CONTRADICT' when n > 0 or cited > 0 then 'SUPPORT' else 'NOT_ENOUGH_INFO' end as expected_label,
        cast(cited as integer) as n_cited, cast(n as integer) as n_evidence, 0 as n_sentences, one as label_of_1 from e""",
+    "truth_rows": """
+select cast(conv_id as varchar) as id, md5(arg_min(text, turn) filter (where role = 'user')) as input,
+       md5(arg_max(text, turn) filter (where role = 'assistant')) as expected_response, cast(null as varchar) as expected_label,
+       coalesce(string_agg(case when text <> '' then 'doc_' || substr(md5(text), 1, 12) end, ',' order by turn), '') as supporting,
+       0 as n_evidence, count(*) as n_turns from conversations group by conv_id""",
     "hit_documents": f"""
 with {_TOPK_SQL}
 select query_id, cast(rank as integer) as rank, r.doc_id as chunk_id,

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.functions.text import glob_to_regex
+from ragscope.operators.corpus import normalize_truth
 from ragscope.sources.tables import nan_to_null
 
 
@@ -107,10 +108,18 @@ def dataset_path(base: str, dataset_id: str, name: str) -> str:
 def read_corpus(spark: SparkSession, base: str, dataset_id: str | None = None) -> DataFrame:
     path = dataset_path(base, dataset_id, "corpus") if dataset_id else base
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"corpus not found: {path}")
+        raise FileNotFoundError(f"no corpus at {path}")
     return spark.read.parquet(path)
 
 
+def read_truth(spark: SparkSession, base: str, dataset_id: str | None = None) -> DataFrame:
+    """A written ground truth with its columns and types made uniform; extra columns stay."""
+    path = dataset_path(base, dataset_id, "ground_truth") if dataset_id else base
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no ground truth at {path}")
+    return normalize_truth(spark.read.parquet(path))
+
+
 def dataset_ready(spark: SparkSession, base: str, dataset_id: str) -> bool:
     return all(path_exists(spark, dataset_path(base, dataset_id, n)) for n in ("corpus", "ground_truth"))
 
