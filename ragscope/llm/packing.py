@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragscope.llm.blobs import ranges
+from ragscope.llm.words import NON_SPACE, Words, find_words, hash_spans, slices
+
 WINDOW = 2048
 END_ID = 1
 MOST_OPEN = 8192  # open windows a packer may hold, 16M ids at the most
-_CACHE_WORDS = 1_000_000
 
 PIECE_COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -47,39 +49,99 @@ PIECE_COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "o
 # -- tokens -----------------------------------------------------------------------
 
 class WordTokenizer:
-    """Token ids of a text, one white-space separated word at a time.
+    """Token ids of texts, one word at a time.
 
-    For a tokenizer that drops white space and never joins across it, the ids
-    of a text are those of its words one after the other, and the ids of a
-    word need to be found once.  ``cuts`` are the ASCII white-space bytes.
+    For a lower-casing tokenizer that drops white space and never joins across
+    it, the ids of a text are those of its words one after the other (closing
+    punctuation after an ASCII letter or digit counts as a word of its own), so
+    a word has to be tokenised once.  Up to ``most`` words are kept, by 64-bit
+    hash, as sorted arrays.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words, known = text.split(), self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at: at + 10_000]
-                for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
-
-
+        self.model, self.most = Tokenizer.from_file(path), most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.at = np.zeros(1, np.int64)  # of the word in ``flat``
+        self.count = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a slice."""
+        w = find_words(texts, NON_SPACE, lower=True)
+        start, end = self._units(w)
+        distinct, first, which = np.unique(hash_spans(w.data, start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        if len(self.hash):
+            known = self.hash[np.minimum(place, len(self.hash) - 1)] == distinct
+        if not known.all():
+            if len(self.hash) > self.most:
+                self._forget()
+                known[:] = False
+            new = first[~known]
+            self._learn(distinct[~known], [w.data[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            place = np.searchsorted(self.hash, distinct)
+        at, count = self.at[place][which], self.count[place][which]
+        flat = self.flat[ranges(at, count)]
+        total = np.concatenate([[0], np.cumsum(count)])
+        cut = total[np.searchsorted(start, w.offsets)].tolist()
+        out = [flat[cut[i]: cut[i + 1]] for i in range(w.n_docs)]
+        if b"<|" in w.data.tobytes():  # may begin a special token, which is matched before lower-casing
+            for i, text in enumerate(texts.to_pylist()):
+                if text and "<|" in text:
+                    out[i] = np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return out
+
+    @staticmethod
+    def _units(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Words with closing punctuation cut off, and that punctuation, in order."""
+        if not len(w.start):
+            return w.start, w.end
+        core = w.end.copy()
+        live = np.arange(len(core))
+        while len(live):
+            live = live[(core[live] > w.start[live]) & _CLOSING[w.data[core[live] - 1]]]
+            core[live] -= 1
+        cut = (core < w.end) & (core > w.start)
+        cut &= _ASCII_ALNUM[w.data[np.maximum(core, 1) - 1]]
+        start = np.concatenate([w.start, core[cut]])
+        end = np.concatenate([np.where(cut, core, w.end), w.end[cut]])
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order]
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Tokenise words joined by spaces; a token's offset tells its word."""
+        flats, counts = [], []
+        for at in range(0, len(words), 1000):
+            part = [w.decode() for w in words[at: at + 1000]]
+            e = self.model.encode(" ".join(part), add_special_tokens=False)
+            offsets = np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e.ids))
+            cut = np.searchsorted(offsets, np.cumsum([0, *[len(w) + 1 for w in part]]))
+            flats.append(np.array(e.ids, dtype="<u4"))
+            counts.append(np.diff(cut))
+        count = np.concatenate(counts)
+        all_hashes = np.concatenate([self.hash, hashes])
+        all_counts = np.concatenate([self.count[: len(self.hash)], count])
+        all_at = np.concatenate([self.at[: len(self.hash)], len(self.flat) + np.cumsum(count) - count])
+        order = np.argsort(all_hashes, kind="stable")
+        self.hash, self.count, self.at = all_hashes[order], all_counts[order], all_at[order]
+        self.flat = np.concatenate([self.flat, *flats])
+
+
+_CLOSING, _ASCII_ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_CLOSING[list(b".,;:!?")] = True
+_ASCII_ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker, so its word cache serves all tasks of the worker."""
+    """One per Python worker, so the words it has kept serve all tasks of the worker."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
@@ -221,14 +283,12 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             buffer.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in batches:
-            key_type = batch.schema.field("_key").type
-            texts = batch.column("_text")
-            for i, k in enumerate(batch.column("_key").to_pylist()):
-                value = texts[i].as_py()
-                ids = tok.ids(value.encode()) if value else np.zeros(0, "<u4")
+        end = np.array([end_id], "<u4")
+        for part in (p for batch in batches for p in slices(batch, "_text")):
+            key_type = part.schema.field("_key").type
+            for k, ids in zip(part.column("_key").to_pylist(), tok.ids(part.column("_text")), strict=True):
                 keys[n] = k
-                take(packer.add(n, np.append(ids, np.array([end_id], "<u4")).astype("<u4")))
+                take(packer.add(n, np.concatenate([ids, end])))
                 n += 1
                 if len(buffer) >= (256 if with_ids else 8192):
                     yield out()
