@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragscope.operators.ann import top_k_approx
 from ragscope.operators.retrieval import label_relevance_quality, top_k
 from ragscope.operators.scoring import run_quality
 from ragscope.plans.common import r6
@@ -36,7 +37,15 @@ def quality_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(run_quality(_quality(spark, sf_dir), ["label"]))
 
 
+def topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of every query in the cells it visits (rows only: cells come from k-means)."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    near = top_k_approx(emb, emb, k=K, query_id="vec_id", doc_id="vec_id", exclude_self=True)
+    return r6(near)
+
+
 QUERIES = {
+    "topk_approx": topk_approx,
     "topk_retrieval": topk_retrieval,
     "retrieval_quality": retrieval_quality,
     "quality_by_label": quality_by_label,

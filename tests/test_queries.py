@@ -10,8 +10,8 @@ import __spark_entry__ as E
 from ragscope.plans.registry import all_oracles, all_queries
 
 NAMES = sorted(all_queries())
-# No SQL counterpart (hashing embedder, sha256-of-JSON fingerprints): row checks only.
-ROWS_ONLY = {"bench_retrieval", "index_catalog"}
+# No SQL counterpart (hashing embedder, sha256-of-JSON fingerprints, k-means cells): row checks only.
+ROWS_ONLY = {"bench_retrieval", "index_catalog", "topk_approx"}
 
 
 @pytest.fixture(scope="module")
