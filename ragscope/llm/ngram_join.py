@@ -11,7 +11,8 @@ a query only to groups with sets it is not connected with yet, so components
 come out exact without all pairs of a large group of copies.
 
 Prefix tokens: of a set of n tokens in one global order, the first
-n - ceil(t n) + 1; two linked sets share one of them.  The order puts tokens of
+p + k with p = n - ceil(t n) + 1 and k = p / 2; two linked sets share at least
+k + 1 of them (for the k of the smaller one).  The order puts tokens of
 high document frequency last, by a count sketch of fixed size (2**18 counters);
 the sketch decides only the order, not the result.
 
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.llm.blobs import pack_arrays, ranges, split_by, unpack_arrays
+from ragscope.llm.bloom import bloom_of
 from ragscope.llm.components import components
 from ragscope.llm.jobs import row_id, saved, shard_count
 from ragscope.llm.words import find_words, ngram_hashes, slices
@@ -60,6 +62,16 @@ def prefix_length(n: int, t: int = THRESHOLD) -> int:
     return n - -(-t * n // 100) + 1
 
 
+def extra(n: int, t: int = THRESHOLD) -> int:
+    """Prefix tokens beyond the p that must share one; with them k + 1 must be shared."""
+    return prefix_length(n, t) // 2
+
+
+def least_shared(n: int, t: int = THRESHOLD) -> int:
+    """Prefix tokens that a set of n tokens shares with any set it links with."""
+    return extra(-(-t * n // 100), t) + 1
+
+
 def token_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     w = find_words(texts, lower=True)
@@ -127,7 +139,8 @@ def _sketch(found: DataFrame) -> np.ndarray:
 # -- job 2: sets that share a prefix token -------------------------------------------------
 
 def prefix_of(tokens: np.ndarray, sketch: np.ndarray, t: int = THRESHOLD) -> np.ndarray:
-    return tokens[np.lexsort((tokens, sketch[_bucket(tokens)]))[: prefix_length(len(tokens), t)]]
+    n = len(tokens)
+    return tokens[np.lexsort((tokens, sketch[_bucket(tokens)]))[: prefix_length(n, t) + extra(n, t)]]
 
 
 def _shard(tokens: np.ndarray, shards: int) -> np.ndarray:
@@ -195,8 +208,8 @@ def _meet(blobs: list[bytes], t: int) -> tuple[np.ndarray, ...]:
 
 
 def _sharing(rows: DataFrame, sketch, n: int, t: int, shards: int, hot: int) -> DataFrame:
-    """(sid, n, leader, tokens) of sets that share a prefix token with another; ``tokens``
-    are lists of such tokens, 8 bytes each."""
+    """(sid, n, leader, tokens) of sets that share enough prefix tokens with others; ``tokens``
+    are those, 8 bytes each."""
 
     def entries(batches):
         for batch in batches:
@@ -217,8 +230,16 @@ def _sharing(rows: DataFrame, sketch, n: int, t: int, shards: int, hot: int) ->
             pa.array([token[a:b].astype("<u8").tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)] if len(s) else [], pa.binary())],
             names=["sid", "n", "leader", "tokens"])
 
-    found = rows.select("_text").mapInArrow(entries, "shard int, entries binary")
-    return found.groupBy("shard").applyInArrow(solve, "sid long, n long, leader long, tokens binary")
+    def gather(batches):
+        for batch in batches:
+            tokens = [np.unique(np.frombuffer(b"".join(x), "<u8")) for x in batch.column("tokens").to_pylist()]
+            keep = pa.array([len(x) >= least_shared(n, t) for x, n in zip(tokens, batch.column("n").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("sid", "n", "leader")], pa.array([x.tobytes() for x in tokens], pa.binary())],
+                                             names=["sid", "n", "leader", "tokens"]).filter(keep)
+
+    schema = "sid long, n long, leader long, tokens binary"
+    found = rows.select("_text").mapInArrow(entries, "shard int, entries binary").groupBy("shard").applyInArrow(solve, schema)
+    return found.groupBy("sid").agg(F.first("n").alias("n"), F.min("leader").alias("leader"), F.collect_list("tokens").alias("tokens")).mapInArrow(gather, schema)
 
 
 # -- job 3: groups -------------------------------------------------------------------------
@@ -296,15 +317,16 @@ def _groups(rows: DataFrame, found: DataFrame, placed: DataFrame, n: int, t: int
     """(block, members, a, b): packed groups, and links inside them."""
     blocks = placed.groupBy("sid").agg(F.collect_list("block").alias("blocks"))
     wanted = found.where("slot IS NULL").groupBy("sid").agg(F.min("_row").alias("_want")).join(blocks, "sid")
-    texts = rows.select("_row", "_text").join(wanted.select("_want", "blocks"), F.col("_row") == F.col("_want"))
+    wanted = saved(wanted, "wanted")
+    filter_ = rows.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("_want")))
 
     def sets(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            some = batch.filter(pa.array(filter_.value.may_have(batch.column("_row").to_numpy(zero_copy_only=False))))
+            for part in slices(some, "_text"):
                 own = token_sets(part.column("_text"), n)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("blocks"), pa.array([set_id(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
-                    names=["blocks", "sid", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array([set_id(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
+                                                 names=["_row", "sid", "set"])
 
     def pack(table: pa.Table) -> pa.Table:
         g = Group.of(list(zip(table.column("sid").to_pylist(), table.column("set").to_pylist(), strict=True)))
@@ -315,14 +337,15 @@ def _groups(rows: DataFrame, found: DataFrame, placed: DataFrame, n: int, t: int
             pa.array([None, *[a for a, _ in links]], pa.int64()), pa.array([None, *[b for _, b in links]], pa.int64())],
             names=["block", "members", "a", "b"])
 
-    members = texts.select("blocks", "_text").mapInArrow(sets, "blocks array<bigint>, sid long, set binary")
+    members = rows.select("_row", "_text").mapInArrow(sets, "_row long, sid long, set binary").join(
+        wanted.select("_want", "blocks"), F.col("_row") == F.col("_want"))
     return members.select(F.explode("blocks").alias("block"), "sid", "set").groupBy("block").applyInArrow(pack, "block long, members binary, a long, b long")
 
 
 # -- job 4: queries to groups ---------------------------------------------------------------
 
-def _ask(blobs: list[bytes], t: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, block): for each token, sets against blocks with a set of a larger component and a linkable size."""
+def _ask(blobs: list[bytes], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, its size, block, tokens): tokens for which the block has a set of a larger component and a linkable size."""
     token, sid, size, comp, weight, block = (np.concatenate(c) for c in zip(*[
         unpack_arrays(b, "<u8", "<i8", "<i8", "<i8", "<i8", "<i8") for b in blobs], strict=True))
     order = np.lexsort((comp, weight))
@@ -337,23 +360,25 @@ def _ask(blobs: list[bytes], t: int) -> tuple[np.ndarray, np.ndarray]:
         for b, own in split_by(block[at]):
             own = at[own]
             other = one[~np.isin(sid[one], sid[own]) & (place[one] < place[own].max()) & (size[one] * 100 >= t * size[own].min()) & (size[one] * t <= 100 * size[own].max())]
-            asks.append(sid[other])
+            asks.append(other)
             blocks.append(np.full(len(other), b, np.int64))
+    none = np.zeros((4, 0), np.int64)
     if not asks:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate(asks), np.concatenate(blocks)]), axis=1)
-    return pairs[0], pairs[1]
+        return tuple(none)
+    at = np.concatenate(asks)
+    pairs, count = np.unique(np.stack([sid[at], size[at], np.concatenate(blocks)]), axis=1, return_counts=True)
+    return (*pairs, count)
 
 
 def _questions(placed: DataFrame, comps: DataFrame, t: int, shards: int) -> DataFrame:
-    """Distinct (sid, block): sets and groups that share a prefix token and are not all connected yet."""
+    """(sid, block): sets and groups that share enough prefix tokens and are not all connected yet."""
     labelled = placed.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
     labelled = labelled.join(sizes, "component").select("sid", "n", "component", "weight", "block", "tokens")
 
     def entries(batches):
         for batch in batches:
-            tokens = [np.unique(np.frombuffer(b"".join(lists), "<u8")) for lists in batch.column("tokens").to_pylist()]
+            tokens = [np.frombuffer(b, "<u8") for b in batch.column("tokens").to_pylist()]
             if not tokens:
                 continue
             token = np.concatenate(tokens)
@@ -362,25 +387,37 @@ def _questions(placed: DataFrame, comps: DataFrame, t: int, shards: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["shard", "entries"])
 
     def ask(table: pa.Table) -> pa.Table:
-        a, b = _ask(table.column("entries").to_pylist(), t)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["sid", "block"])
+        return pa.table([pa.array(x, pa.int64()) for x in _ask(table.column("entries").to_pylist(), t)], names=["sid", "n", "block", "count"])
 
-    return labelled.mapInArrow(entries, "shard int, entries binary").groupBy("shard").applyInArrow(ask, "sid long, block long").distinct()
+    asked = labelled.mapInArrow(entries, "shard int, entries binary").groupBy("shard").applyInArrow(ask, "sid long, n long, block long, count long")
+    smallest = F.ceil(F.col("n") * t / 100)  # as in ``least_shared``
+    least = F.floor((smallest - F.ceil(smallest * t / 100) + 1) / 2) + 1
+    return asked.groupBy("sid", "n", "block").agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("sid", "block")
 
 
 def _answers(questions: DataFrame, groups: DataFrame, comps: DataFrame, t: int) -> DataFrame:
     """Links (a, b) between query sets and members of the groups they were sent to."""
-    blocks = groups.where("block IS NOT NULL").select("block", "members")
+    questions = saved(questions, "questions")
+    share = questions.sparkSession.sparkContext.broadcast
+    asking, asked_of = share(bloom_of(questions.select("sid"))), share(bloom_of(questions.select("block")))
+    all_blocks = groups.where("block IS NOT NULL").select("block", "members")
 
     def sets(batches):
         for batch in batches:
             for blob in batch.column("members").to_pylist():
-                s, tokens = zip(*Group.unpack(blob).sets(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array([x.tobytes() for x in tokens], pa.binary())], names=["sid", "set"])
+                g = Group.unpack(blob)
+                may = asking.value.may_have(g.sids)
+                own = [x for x, m in zip(g.sets(), may.tolist(), strict=True) if m]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([x.tobytes() for _, x in own], pa.binary())], names=["sid", "set"])
+
+    def targeted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(asked_of.value.may_have(batch.column("block").to_numpy(zero_copy_only=False))))
 
+    blocks = all_blocks.mapInArrow(targeted, "block long, members binary")
     parts = questions.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
     asked = questions.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).select("sid", "block", "part")
-    tokens = blocks.select("members").mapInArrow(sets, "sid long, set binary").dropDuplicates(["sid"])
+    tokens = all_blocks.select("members").mapInArrow(sets, "sid long, set binary").dropDuplicates(["sid"])
     queries = asked.join(tokens, "sid")
     targets = blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "members")
 
@@ -407,8 +444,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHIN
     shards = shard_count(spark, 1)
     found = saved(_identities(rows, n), "sets")
     sketch = spark.sparkContext.broadcast(_sketch(found))
-    sharing = saved(_sharing(rows, sketch, n, t, shards, hot).groupBy("sid").agg(
-        F.first("n").alias("n"), F.min("leader").alias("leader"), F.collect_list("tokens").alias("tokens")), "sharing")
+    sharing = saved(_sharing(rows, sketch, n, t, shards, hot), "sharing")
     placed = saved(_placed(sharing, group), "placed")
     groups = saved(_groups(rows, found, placed, n, t), "groups")
     links = groups.where("a IS NOT NULL").select("a", "b")

@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 
+from ragscope.llm.bloom import Bloom, bloom_of
 from ragscope.llm.components import components
-from ragscope.llm.ngram_join import Group, join, keep_one, needed, prefix_length
+from ragscope.llm.ngram_join import Group, extra, join, keep_one, least_shared, needed, prefix_length, prefix_of
 
 
 def shingles(t, n=4):
@@ -115,3 +116,29 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {i: top(i) for i in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_sets_share_enough_prefix_tokens():
+    rng, sketch = np.random.default_rng(9), np.zeros(1 << 18, np.int64)
+    found = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 80))
+        x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        y = np.unique(np.concatenate([rng.choice(x, max(1, len(x) - int(rng.integers(0, 1 + n // 8))), replace=False), rng.integers(0, 1 << 60, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)]))
+        i = len(np.intersect1d(x, y))
+        if 100 * i >= 85 * (len(x) + len(y) - i):
+            found += 1
+            shared = len(np.intersect1d(prefix_of(x, sketch), prefix_of(y, sketch)))
+            assert shared >= min(extra(len(x)), extra(len(y))) + 1
+            assert shared >= max(least_shared(len(x)), least_shared(len(y)))
+    assert found > 500
+
+
+def test_bloom(spark):
+    keys = np.random.default_rng(1).integers(-1 << 62, 1 << 62, 5000)
+    b = bloom_of(spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(3))
+    assert b.may_have(keys).all() and b.may_have(keys + 1).mean() < 0.01
+    own = Bloom()
+    own.add(keys)
+    assert (own.data == b.data).all()
+    assert not bloom_of(spark.createDataFrame([], "k long")).data.any()
