@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.functions.text import is_blank, py_strip
+from ragscope.operators.quantiles import quantile_wide
 
 _PIECES = T.ArrayType(T.StructType([
     T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())]))
@@ -95,15 +96,17 @@ def chunk(corpus: DataFrame, strategy: str | None = None, size: int = 500, overl
 
 def chunk_profile(chunks: DataFrame) -> DataFrame:
     """Total chunks, documents split into more than one chunk, chunks that
-    start mid-document, and chunk-length summary (one row)."""
+    start mid-document, and chunk-length summary with quartiles (one row)."""
     ln = F.char_length("text").cast("double")
+    quartiles = quantile_wide(chunks.select(ln.alias("len")), ["len"], [0.25, 0.5, 0.75]).first()
     return chunks.agg(
         F.count(F.lit(1)).alias("total_chunks"),
         # fixed chunking numbers emitted chunks only: index > 0 <=> split
         F.count_distinct(F.when(F.col("chunk_index") > 0, F.col("doc_id"))).alias("split_docs"),
         F.count_if(F.col("chunk_index") > 0).alias("non_first_chunks"),
         F.avg(ln).alias("len_mean"), F.stddev_samp(ln).alias("len_std"),
-        F.min(ln).alias("len_min"), F.max(ln).alias("len_max"),
+        F.min(ln).alias("len_min"), *[F.lit(quartiles[f"len__q{q}"]).cast("double").alias(f"len_p{q}") for q in (25, 50, 75)],
+        F.max(ln).alias("len_max"),
     )
 
 

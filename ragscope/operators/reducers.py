@@ -19,21 +19,25 @@ from ragscope.operators.quantiles import quantiles, to_long
 from ragscope.operators.stats import GENERATION_COLS, GENERATION_QUALITY_COLS, HARDWARE_COLS, LATENCY_COLS, RETRIEVAL_COLS
 
 
+def _boxes(base: DataFrame, cols: Sequence[str], group_by: str) -> DataFrame:
+    """(group, metric, q1, median, q3), one row per box."""
+    q = quantiles(base, cols, [0.25, 0.5, 0.75], by=[group_by])
+    return q.groupBy(group_by, "metric").agg(*[
+        F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+
+
+def _fences(whis: float):
+    iqr = F.col("q3") - F.col("q1")
+    return F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
+
+
 def box_stats(df: DataFrame, cols: Sequence[str], group_by: str, whis: float = 1.5) -> DataFrame:
     """``group, metric, n, q1, median, q3, whisker_lo, whisker_hi, n_fliers``.
     Whiskers are the furthest data points inside ``q1 - whis*IQR`` and
     ``q3 + whis*IQR``; fliers are the points outside."""
     base = df.where(F.col(group_by).isNotNull())
-    long = to_long(base, cols, [group_by])
-    q = quantiles(base, cols, [0.25, 0.5, 0.75], by=[group_by])
-    qw = q.groupBy(group_by, "metric").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"),
-    )
-    iqr = F.col("q3") - F.col("q1")
-    lo, hi = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
-    j = long.join(qw, [group_by, "metric"], "inner")
+    lo, hi = _fences(whis)
+    j = to_long(base, cols, [group_by]).join(_boxes(base, cols, group_by), [group_by, "metric"], "inner")
     return j.groupBy(group_by, "metric", "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("whisker_lo"),
@@ -42,6 +46,14 @@ def box_stats(df: DataFrame, cols: Sequence[str], group_by: str, whis: float = 1
     )
 
 
+def fliers(df: DataFrame, cols: Sequence[str], group_by: str, whis: float = 1.5) -> DataFrame:
+    """``group, metric, v`` of every point beyond its box's fences."""
+    base = df.where(F.col(group_by).isNotNull())
+    lo, hi = _fences(whis)
+    j = to_long(base, cols, [group_by]).join(_boxes(base, cols, group_by), [group_by, "metric"], "inner")
+    return j.where((F.col("v") < lo) | (F.col("v") > hi)).select(group_by, "metric", "v")
+
+
 def histograms(df: DataFrame, cols: Sequence[str], group_by: str, bins: int = 30) -> DataFrame:
     """Equal-width bins over each (group, metric)'s own min..max, last bin
     closed; a constant series uses min-0.5..max+0.5 like numpy.  Every bin

@@ -25,6 +25,7 @@ RESHAPE_ORDER = ["score_correctness"] + [c for c in EVALS_COLUMNS if c not in ("
 FAMILY = "run_0"              # substring family selection (FLT-2)
 PROMPT_P = 0.75
 HARD_THRESHOLD = 0.95         # (session, claim) groups whose best correctness stays below
+FLIER_COLS = ["latency_e2e_latency_ms", "score_hallucination"]
 BOX_COLS = ["latency_e2e_latency_ms", "generation_tokens_per_second"]
 PROFILE_ORDER = RUN_ORDER + ["run_99"]
 BINS = 30
@@ -87,6 +88,11 @@ def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(RD.box_stats(evals(spark, sf_dir), BOX_COLS, "run_id"))
 
 
+def box_fliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = RD.fliers(evals(spark, sf_dir), FLIER_COLS, "run_id", whis=0.5)
+    return r6(points.groupBy("run_id", "metric", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
 def histogram_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(RD.histograms(event_metrics(spark, sf_dir), EVENT_METRICS, "event_type", BINS))
 
@@ -118,6 +124,7 @@ QUERIES = {
     "metric_heatmap": metric_heatmap,
     "dot_profiles": dot_profiles,
     "box_stats": box_stats,
+    "box_fliers": box_fliers,
     "histogram_grid": histogram_grid,
     "session_timeline": session_timeline,
     "session_ids": session_ids,
@@ -215,6 +222,11 @@ select v2.claim_id, o.val as run_id, o._ord, round(c.value, 6) as value, round(c
 from v2 cross join o left join c on c.run_id = o.val and c.claim_id = v2.claim_id""",
     "box_stats": _box(),
     "histogram_grid": _hist(),
+    "box_fliers": f"""
+with {EVALS_CTE}, long as ({unpivot_long('evals', ['run_id'], FLIER_COLS)}),
+q as (select run_id, metric, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3 from long where run_id is not null group by run_id, metric)
+select l.run_id, l.metric, round(v, 6) as v, count(*) as n from long l join q using (run_id, metric)
+where v < q1 - 0.5 * (q3 - q1) or v > q3 + 0.5 * (q3 - q1) group by l.run_id, l.metric, v""",
     "session_timeline": """
 select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from events""",
     "session_ids": f"with {EVALS_CTE} select distinct session_id from evals where session_id is not null",

@@ -190,7 +190,9 @@ ORACLES = {
        count(distinct case when chunk_index > 0 then doc_id end) as split_docs,
        count_if(chunk_index > 0) as non_first_chunks,
        round(avg(cast(length(text) as double)), 6) as len_mean, round(stddev_samp(cast(length(text) as double)), 6) as len_std,
-       round(min(cast(length(text) as double)), 6) as len_min, round(max(cast(length(text) as double)), 6) as len_max
+       round(min(cast(length(text) as double)), 6) as len_min,
+       round(quantile_cont(cast(length(text) as double), 0.25), 6) as len_p25, round(quantile_cont(cast(length(text) as double), 0.5), 6) as len_p50,
+       round(quantile_cont(cast(length(text) as double), 0.75), 6) as len_p75, round(max(cast(length(text) as double)), 6) as len_max
 from chunks""",
     "split_report": _FIXED + """select c.doc_id, cast(length(d.text) as integer) as doc_len, c.chunk_index, c.start_char,
        c.end_char, c.text from chunks c join documents d on c.doc_id = cast(d.doc_id as varchar)

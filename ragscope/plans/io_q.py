@@ -48,7 +48,7 @@ def dataset_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = CP.supporting_lists(CP.ragbench_truth_long(rows))
     truth = conv.select(F.col("conv_id").cast("string").alias("id")).distinct().join(lists, "id", "left")
     base = scratch_path(spark, "datasets")
-    IO.export_dataset(corpus, truth, base, "conversations")
+    IO.export_dataset(corpus, truth, base, "conversations", about={"source": "tables", "split": "all"})
     # what a reader of the export finds: rows, and the counts its metadata claims
     back = IO.read_corpus(spark, base, "conversations").select(F.lit("corpus").alias("part"), "id", F.md5("text").alias("value"))
     lists = spark.read.parquet(IO.dataset_path(base, "conversations", "ground_truth")).select(

@@ -19,6 +19,7 @@ every row-level read and write is a Spark job.
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Iterator, Sequence
 
@@ -151,8 +152,9 @@ def lookup(df: DataFrame, ids: DataFrame | Sequence[str], id_col: str = "id") ->
 
 
 def export_dataset(corpus: DataFrame, truth: DataFrame, base: str, dataset_id: str,
-                   limit: int | None = None, order: Sequence[str] | None = None) -> dict:
-    """Write ``corpus.parquet``, ``ground_truth.parquet`` and ``metadata.json``.
+                   limit: int | None = None, order: Sequence[str] | None = None, about: dict | None = None) -> dict:
+    """Write ``corpus.parquet``, ``ground_truth.parquet`` and ``metadata.json``: the id, the
+    counts, the time of writing, and what ``about`` says (source, subset, split).
     ``limit`` keeps the first N rows in ``order`` (the columns that hold the source's order)."""
     spark = corpus.sparkSession
     if limit is not None:
@@ -164,7 +166,9 @@ def export_dataset(corpus: DataFrame, truth: DataFrame, base: str, dataset_id: s
         dataset_path(base, dataset_id, "corpus"))
     truth.observe(ot, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
         dataset_path(base, dataset_id, "ground_truth"))
-    meta = {"dataset_id": dataset_id, "corpus_count": int(oc.get["n"]), "ground_truth_count": int(ot.get["n"])}
+    now = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+    meta = {"dataset_id": dataset_id, **{k: (about or {}).get(k) for k in ("source", "subset", "split")}, **(about or {}),
+            "corpus_count": int(oc.get["n"]), "ground_truth_count": int(ot.get["n"]), "created_at": now}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{base.rstrip('/')}/{dataset_id}/metadata.json")
     return meta
