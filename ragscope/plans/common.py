@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.functions.numeric import round_binary
-from ragscope.sources.tables import events, nan_to_null, read_table
+from ragscope.sources.tables import nan_to_null, read_table
 
 # Run ids of the derived metric table, in report order (rule: run_00..run_15).
 RUN_ORDER = [f"run_{i:02d}" for i in range(16)]

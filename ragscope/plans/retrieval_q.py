@@ -4,7 +4,6 @@ rest of the table; relevant = same label)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ragscope.operators.ann import top_k_approx
 from ragscope.operators.retrieval import label_relevance_quality, top_k
