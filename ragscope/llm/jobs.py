@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragscope.session import scratch_path
 
-_C = "`{}`".format
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -36,14 +32,3 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def over_batches(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: pa.Schema):
-    """A function for mapInArrow from one that handles a batch; output columns take the given types."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
-
-    return run
