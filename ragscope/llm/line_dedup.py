@@ -7,7 +7,8 @@ occur more than once anywhere are removed except for the first occurrence (by
 document id, then position), after their bytes have been compared.
 
 Jobs: (1) count chunk hashes - small rows, combined before the shuffle; (2) the
-bytes of chunks with a repeated hash, joined by hash; (3) first occurrence of
+bytes of chunks with a repeated hash, joined by hash (a Bloom filter of fixed size
+keeps most others from being shuffled); (3) first occurrence of
 each distinct byte string, and a join on the bytes themselves; (4) documents
 joined with their removed lines.  Joins are plain equi-joins, so a hash that a
 third of all documents share is split by the optimiser's skew handling.
@@ -22,12 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragscope.llm.bloom import bloom_of
 from ragscope.llm.jobs import row_id, saved
 
 #: Lines the rolling hash looks at; one line in AVERAGE ends a chunk; least and most lines of a chunk.
@@ -55,14 +58,23 @@ def chunks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(lines) - start
 
 
-def _chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """(_row, _key, at, lines, hash[, bytes]) of every chunk of two lines or more that has a word."""
+def _chunk_rows(docs: DataFrame, wanted=None) -> DataFrame:
+    """(_row, _key, at, lines, hash) of every chunk of two lines or more that has a word; with
+    ``wanted``, a filter of hashes, the chunks that pass it, and their bytes."""
+    with_bytes = wanted is not None
     schema = T.StructType([
         T.StructField("_row", T.LongType()), T.StructField("_key", docs.schema["_key"].dataType),
         T.StructField("at", T.IntegerType()), T.StructField("lines", T.IntegerType()), T.StructField("hash", T.LongType()),
         *([T.StructField("bytes", T.BinaryType())] if with_bytes else [])])
     names = [f.name for f in schema.fields]
 
+    def out(rows, key_type):
+        if with_bytes:
+            may = wanted.value.may_have(np.array([r[4] for r in rows], np.int64))
+            rows = [r for r, m in zip(rows, may.tolist(), strict=True) if m]
+        kinds = [pa.int64(), key_type, pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
+
     def run(batches):
         for batch in batches:
             key_type, buffer, size = batch.schema.field("_key").type, [], 0
@@ -79,26 +91,23 @@ def _chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
                     buffer.append((row.as_py(), key.as_py(), at, n, h - (h >> 63 << 64), *([body] if with_bytes else [])))
                     size += len(body) if with_bytes else 40
                 if size > 4 << 20:
-                    yield _batch(buffer, names, key_type)
+                    yield out(buffer, key_type)
                     buffer, size = [], 0
             if buffer:
-                yield _batch(buffer, names, key_type)
+                yield out(buffer, key_type)
 
     return docs.mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], names: list[str], key_type: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64(), key_type, pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
-
-
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_row, spans) for documents with chunks to remove; a span is (at, lines)."""
     rows = docs.select(row_id(F.col(key), F.col(text)).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    often = _chunk_rows(rows, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    bodies = saved(_chunk_rows(rows, True).join(often, "hash", "left_semi"), "chunks")
+    # both small sides are written first: next to an aggregate the optimiser cannot split a hot hash
+    often = saved(_chunk_rows(rows).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(often))
+    bodies = saved(_chunk_rows(rows, wanted).join(often, "hash", "left_semi"), "chunks")
     place = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("key"), F.col("_row").alias("row"), F.col("at"))
-    first = bodies.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
+    first = saved(bodies.groupBy("hash", "bytes").agg(F.min(place).alias("first")), "first")
     gone = bodies.join(first, ["hash", "bytes"]).where(
         ~(F.col("_row").eqNullSafe(F.col("first.row")) & (F.col("at") == F.col("first.at"))))
     return gone.select("_row", F.struct("at", "lines").alias("span")).distinct().groupBy("_row").agg(F.collect_list("span").alias("spans"))
