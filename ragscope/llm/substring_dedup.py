@@ -10,8 +10,8 @@ The reference is indexed in blocks, one per shard of a hash space.  Every window
 is filed under its minimizer (the smallest hash of the ``SEED``-word seeds in it):
 equal windows have equal minimizers, so a window meets all its equals in one
 block, and neighbouring windows mostly share a minimizer, so a block entry is a
-run of windows: 8 bytes of seed, a start, and 4 bytes a window (equality is that
-of 96 bits: the seed's hash and the window's).
+run of windows: 8 bytes of seed, a start, and 6 bytes a window (equality is that
+of 112 bits: the seed's hash and the window's).
 
 Jobs: (1) index entries as packed arrays, one blob per task slice and block;
 (2) each block finds the smallest document of every window that has several and
@@ -34,15 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.llm.blobs import pack_arrays, ranges, split_by, unpack_arrays
 from ragscope.llm.jobs import row_id, saved, shard_count
-from ragscope.llm.words import Words, covered, find_words, mix, ngram_hashes, slices
+from ragscope.llm.words import SLICE_BYTES, Words, covered, find_words, mix, ngram_hashes, slices
 
-WINDOW, SEED = 13, 7
+WINDOW, SEED = 13, 5
 #: Runs of one seed in one slice from which the seed is sent pre-aggregated.
 HOT = 64
 P = "_s_"
@@ -57,11 +58,11 @@ _FACTORS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64(
 
 def window_runs(w: Words, n: int = WINDOW, k: int = SEED) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows with one minimizer: (seed hash, first word,
-    windows) of each run, and the 32-bit hashes of all windows in order."""
+    windows) of each run, and the 48-bit hashes of all windows in order."""
     at = w.room(n)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype("<u4")
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
     seeds = np.zeros(len(w.start), dtype=np.uint64)
     room = w.room(k)
     seeds[room] = ngram_hashes(w.hashes, room, k)
@@ -74,8 +75,7 @@ def window_runs(w: Words, n: int = WINDOW, k: int = SEED) -> tuple[np.ndarray, .
         where[less] = at[less] + d
     head = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
     count = np.diff(np.append(head, len(at)))
-    # the position of the seed within the window tells equal seeds at different places apart
-    tails = (ngram_hashes(w.hashes, at, n) >> np.uint64(32)).astype("<u4")
+    tails = ngram_hashes(w.hashes, at, n) >> np.uint64(16)
     return seeds[where[head]], at[head], count, tails
 
 
@@ -95,9 +95,10 @@ def _entries(part: pa.RecordBatch, shards: int, hot: int, details: bool) -> Iter
 
     def blob(pick: np.ndarray) -> bytes:
         docs, local = np.unique(doc[pick], return_inverse=True)
+        own = tails[ranges(at[pick], count[pick])]
         return pack_arrays(
-            seed[pick], np.diff(local, prepend=0).astype("<i4"), start[pick].astype("<u4"), count[pick].astype("u1"), tails[ranges(at[pick], count[pick])],
-            np.diff(ids[docs], prepend=0), rows[docs])
+            seed[pick], np.diff(local, prepend=0).astype("<i4"), start[pick].astype("<u4"), count[pick].astype("u1"),
+            own.astype("<u4"), (own >> np.uint64(32)).astype("<u2"), np.diff(ids[docs], prepend=0), rows[docs])
 
     if details:
         for b, pick in split_by(block[is_hot]):
@@ -114,7 +115,7 @@ def _entries(part: pa.RecordBatch, shards: int, hot: int, details: bool) -> Iter
         s, t, d = s[new], t[new], d[new]
         summary = {b: (s[p], t[p], d[p]) for b, p in split_by((s >> np.uint64(33)).astype(np.int64) % shards)}
     normal = {b: np.flatnonzero(~is_hot)[p] for b, p in split_by(block[~is_hot])}
-    none = (np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for b in normal.keys() | summary.keys():
         yield b, pack_arrays(*[np.frombuffer(blob(normal.get(b, np.zeros(0, np.int64))), "u1")], *summary.get(b, none))
 
@@ -139,10 +140,11 @@ class Runs:
     def __init__(self, blobs: list[bytes]):
         parts, n = [], 0
         for blob in blobs:
-            seed, step, start, count, tails, ids, rows = unpack_arrays(blob, "<u8", "<i4", "<u4", "u1", "<u4", "<i8", "<i8")
+            seed, step, start, count, low, high, ids, rows = unpack_arrays(blob, "<u8", "<i4", "<u4", "u1", "<u4", "<u2", "<i8", "<i8")
+            tails = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
             parts.append((seed, np.cumsum(step, dtype=np.int64) + n, start, count, tails, np.cumsum(ids), rows))
             n += len(rows)
-        empty = [np.zeros(0, d) for d in ("<u8", "<i8", "<u4", "u1", "<u4", "<i8", "<i8")]
+        empty = [np.zeros(0, d) for d in ("<u8", "<i8", "<u4", "u1", "<u8", "<i8", "<i8")]
         self.seed, self.doc, self.start, count, self.tails, self.ids, self.rows = (
             [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else empty)
         self.count = count.astype(np.int64)
@@ -186,7 +188,7 @@ def _solve_block(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | No
     """Answers of a block, and its results for windows of hot seeds."""
     inner, sums = [], []
     for blob in blobs:
-        runs, s, t, d = unpack_arrays(blob, "u1", "<u8", "<u4", "<i8")
+        runs, s, t, d = unpack_arrays(blob, "u1", "<u8", "<u8", "<i8")
         inner.append(runs.tobytes())
         sums.append((s, t, d))
     r = Runs(inner)
@@ -199,7 +201,8 @@ def _solve_block(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | No
     run = np.flatnonzero(keep[: len(r.seed)])
     own = np.repeat(run, r.count[run])
     place = ranges(r.at[run], r.count[run])
-    key = np.concatenate([rank[own], rank[len(r.seed):]]).astype(np.int64) << 32 | np.concatenate([r.tails[place], hot_tail]).astype(np.int64)
+    tail = np.unique(np.concatenate([r.tails[place], hot_tail]), return_inverse=True)[1]
+    key = np.concatenate([rank[own], rank[len(r.seed):]]).astype(np.int64) << 32 | tail.astype(np.int64)
     ids = np.concatenate([r.ids[r.doc[own]], hot_id])
     windows, which = np.unique(key, return_inverse=True)
     least = np.full(len(windows), _LAST, np.int64)
@@ -209,8 +212,8 @@ def _solve_block(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | No
     rows, records = _answers(own[later], place[later] - r.at[own[later]], ref[later], r)
     result = None
     if len(hot_seed):
-        pairs = np.unique(np.stack([hot_seed, hot_tail.astype(np.uint64), ref[len(own):].astype(np.uint64)]), axis=1)
-        result = pack_arrays(pairs[0], pairs[1].astype("<u4"), pairs[2].astype("<i8"))
+        pairs = np.unique(np.stack([hot_seed, hot_tail, ref[len(own):].view(np.uint64)]), axis=1)
+        result = pack_arrays(pairs[0], pairs[1], pairs[2].view(np.int64))
     return rows, records, result
 
 
@@ -235,10 +238,10 @@ def _look_up(details: DataFrame, results: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for entries, result in zip(batch.column("entries").to_pylist(), batch.column("answer").to_pylist(), strict=True):
                 r = Runs([entries])
-                seed, tail, ref = unpack_arrays(result, "<u8", "<u4", "<i8")
+                seed, tail, ref = unpack_arrays(result, "<u8", "<u8", "<i8")
                 own = np.repeat(np.arange(len(r.seed)), r.count)
-                seeds = np.unique(seed)
-                join = lambda s, t: np.searchsorted(seeds, s).astype(np.int64) << 32 | t.astype(np.int64)
+                seeds, tails = np.unique(seed), np.unique(tail)
+                join = lambda s, t: np.searchsorted(seeds, s) << 32 | np.searchsorted(tails, t)
                 key, asked = join(seed, tail), join(r.seed[own], r.tails)
                 order = np.argsort(key)
                 found = ref[order][np.searchsorted(key[order], asked)]  # every window of a hot seed has a result
@@ -276,14 +279,28 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     if not results.isEmpty():
         answers = answers.unionByName(_look_up(_index(rows, shards, hot, True), results, shards))
     by_row = answers.groupBy("key").applyInArrow(_merged, "row long, records binary").select(F.col("row").alias("_s_row"), F.col("records").alias("_s_answers"))
-    joined = docs.withColumn("_s_own", row_id(F.col(key), F.col(text))).join(by_row, F.col("_s_own") == F.col("_s_row"), "left")
     names = docs.columns
+    packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in docs.schema.fields] + [T.StructField("_s_own", T.LongType())])
+
+    def compress(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                small = zstandard.ZstdCompressor(level=1)
+                texts = pa.array([None if x is None else small.compress(x.encode()) for x in part.column(text).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([texts if c == text else part.column(c) for c in part.schema.names], names=part.schema.names)
+
+    # texts travel compressed: they are most of what the join shuffles
+    sent = docs.withColumn("_s_own", row_id(F.col(key), F.col(text))).mapInArrow(compress, packed)
+    joined = sent.join(by_row, F.col("_s_own") == F.col("_s_row"), "left")
+    text_type = pa.string()
     added = [T.StructField(P + "words", T.LongType()), T.StructField(P + "removed", T.LongType()), T.StructField(P + "factors", FACTORS), T.StructField(P + "kept", T.StringType())]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
-                texts, answers = part.column(text).to_pylist(), part.column("_s_answers").to_pylist()
+            for part in slices(batch, text, SLICE_BYTES // 4):
+                open_ = zstandard.ZstdDecompressor()
+                texts = [None if x is None else open_.decompress(x).decode() for x in part.column(text).to_pylist()]
+                answers = part.column("_s_answers").to_pylist()
                 count, removed, factors, kept = [], [], [], []
                 for value, own in zip(texts, answers, strict=True):
                     words = (value or "").encode().split()
@@ -294,7 +311,7 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
                     factors.append([{"start": int(a), "length": int(n), "ref": int(r)} for a, n, r in found.tolist()])
                     kept.append(b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g] if own else words).decode())
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in names], pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, _FACTORS_ARROW), pa.array(kept, pa.string())],
+                    [*[pa.array(texts, text_type) if c == text else part.column(c) for c in names], pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, _FACTORS_ARROW), pa.array(kept, pa.string())],
                     names=[*names, *[f.name for f in added]])
 
     return joined.select(*[F.col(f"`{c}`") for c in names], "_s_answers").mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

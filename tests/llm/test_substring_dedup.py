@@ -68,7 +68,7 @@ def test_runs_cover_all_windows_and_equal_windows_meet():
     w = find_words(pa.array([t for _, t in data()]))
     seed, first, count, tails = window_runs(w)
     starts = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
-    assert starts.tolist() == w.room(13).tolist() and len(tails) == len(starts) and count.max() <= 7
+    assert starts.tolist() == w.room(13).tolist() and len(tails) == len(starts) and count.max() <= 9
     seeds, seen = np.repeat(seed, count), {}
     for i, s, t in zip(starts.tolist(), seeds.tolist(), tails.tolist(), strict=True):
         k = tuple(w.word(j) for j in range(i, i + 13))
