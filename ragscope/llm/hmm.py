@@ -45,7 +45,7 @@ STATES, ROUNDS = 6, 3
 SHARE, ENDINGS = 2e-6, 1024
 SMOOTH = 0.1
 #: Text of a block; most frequent words used for the first states; counters sent as one row.
-BLOCK_BYTES, SEEDS, SLOT = 8 << 20, 256, 8192
+BLOCK_BYTES, SEEDS, SLOT = 6 << 20, 256, 8192
 END = np.uint64(1)  # the end token's hash
 
 
@@ -231,7 +231,7 @@ def forward(model: Model, symbol: np.ndarray, steps: Steps, keep: bool) -> tuple
     """Scale factors of every token in step order, and the scaled forward variables."""
     emit, move, at = model.emit, model.move, steps.at
     scale = np.empty(len(symbol))
-    alpha = np.empty((len(symbol), emit.shape[1])) if keep else None
+    alpha = np.empty((len(symbol), emit.shape[1]), np.float32) if keep else None  # for counts; half the memory
     now = None
     for t in range(len(at) - 1):
         a, b = at[t], at[t + 1]
