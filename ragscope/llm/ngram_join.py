@@ -58,16 +58,16 @@ def needed(x: np.ndarray | int, y: np.ndarray | int, t: int = THRESHOLD):
     return -((-t * (x + y)) // (100 + t))
 
 
-def prefix_length(n: int, t: int = THRESHOLD) -> int:
+def prefix_length(n, t: int = THRESHOLD):
     return n - -(-t * n // 100) + 1
 
 
-def extra(n: int, t: int = THRESHOLD) -> int:
+def extra(n, t: int = THRESHOLD):
     """Prefix tokens beyond the p that must share one; with them k + 1 must be shared."""
     return prefix_length(n, t) // 2
 
 
-def least_shared(n: int, t: int = THRESHOLD) -> int:
+def least_shared(n, t: int = THRESHOLD):
     """Prefix tokens that a set of n tokens shares with any set it links with."""
     return extra(-(-t * n // 100), t) + 1
 
@@ -219,36 +219,39 @@ def _sharing(rows: DataFrame, sketch, n: int, t: int, shards: int, hot: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([e for _, e in found], pa.binary())], names=["shard", "entries"])
 
     def solve(table: pa.Table) -> pa.Table:
-        s, size, lead, token = _meet(table.column("entries").to_pylist(), t)
+        s, *rest = _meet(table.column("entries").to_pylist(), t)
+        out = [(k, pack_arrays(s[at], *[x[at] for x in rest])) for k, at in split_by(s % shards)]
+        return pa.table([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["bucket", "found"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        parts = [unpack_arrays(b, "<i8", "<i8", "<i8", "<u8") for b in table.column("found").to_pylist()]
+        s, size, lead, token = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((lead, token, s))
-        order = order[np.concatenate([[True], (s[order][1:] != s[order][:-1]) | (token[order][1:] != token[order][:-1])])] if len(s) else order
         s, size, lead, token = s[order], size[order], lead[order], token[order]
-        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (token[1:] != token[:-1])])
+        s, size, lead, token = s[new], size[new], lead[new], token[new]
+        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         ends = np.append(head[1:], len(s))
-        return pa.table([
-            pa.array(s[head], pa.int64()), pa.array(size[head], pa.int64()), pa.array(np.minimum.reduceat(lead, head) if len(s) else lead, pa.int64()),
-            pa.array([token[a:b].astype("<u8").tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)] if len(s) else [], pa.binary())],
-            names=["sid", "n", "leader", "tokens"])
-
-    def gather(batches):
-        for batch in batches:
-            tokens = [np.unique(np.frombuffer(b"".join(x), "<u8")) for x in batch.column("tokens").to_pylist()]
-            keep = pa.array([len(x) >= least_shared(n, t) for x, n in zip(tokens, batch.column("n").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("sid", "n", "leader")], pa.array([x.tobytes() for x in tokens], pa.binary())],
-                                             names=["sid", "n", "leader", "tokens"]).filter(keep)
+        keep = np.array([m >= least_shared(n, t) for m, n in zip((ends - head).tolist(), size[head].tolist(), strict=True)], dtype=bool)
+        least = np.minimum.reduceat(lead, head)[keep]
+        head, ends = head[keep], ends[keep]
+        return pa.table([pa.array(s[head], pa.int64()), pa.array(size[head], pa.int64()), pa.array(least, pa.int64()),
+                         pa.array([token[a:b].astype("<u8").tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())],
+                        names=["sid", "n", "leader", "tokens"])
 
-    schema = "sid long, n long, leader long, tokens binary"
-    found = rows.select("_text").mapInArrow(entries, "shard int, entries binary").groupBy("shard").applyInArrow(solve, schema)
-    return found.groupBy("sid").agg(F.first("n").alias("n"), F.min("leader").alias("leader"), F.collect_list("tokens").alias("tokens")).mapInArrow(gather, schema)
+    found = rows.select("_text").mapInArrow(entries, "shard int, entries binary").groupBy("shard").applyInArrow(solve, "bucket int, found binary")
+    return found.groupBy("bucket").applyInArrow(gather, "sid long, n long, leader long, tokens binary")
 
 
 # -- job 3: groups -------------------------------------------------------------------------
 
 class Group:
-    """Member sets of a group: their tokens' union, and the members that have each token."""
+    """Member sets of a group: their tokens' union, the members that have each token, and
+    each member's root (a member that links inside the group connect it with)."""
 
-    def __init__(self, sids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray):
+    def __init__(self, sids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, root: np.ndarray | None = None):
         self.sids, self.sizes, self.tokens = sids, sizes, tokens
+        self.root = np.arange(len(sids)) if root is None else root
         member = np.repeat(np.arange(len(sids)), sizes)
         order = np.argsort(tokens, kind="stable")
         self.union, self.first = np.unique(tokens[order], return_index=True)
@@ -263,11 +266,11 @@ class Group:
         return Group(sids, np.array([len(p) for p in parts], np.int64), np.concatenate(parts))
 
     def pack(self) -> bytes:
-        return pack_arrays(self.sids, self.sizes, self.tokens)
+        return pack_arrays(self.sids, self.sizes, self.tokens, self.root.astype("<i8"))
 
     @staticmethod
     def unpack(blob: bytes) -> Group:
-        return Group(*unpack_arrays(blob, "<i8", "<i8", "<u8"))
+        return Group(*unpack_arrays(blob, "<i8", "<i8", "<u8", "<i8"))
 
     def linked(self, tokens: np.ndarray, t: int) -> np.ndarray:
         """Members that link with a query set; the group stays closed if the overlap
@@ -289,20 +292,35 @@ class Group:
             yield s, self.tokens[ends[i] - self.sizes[i]: ends[i]]
 
     def inner_links(self, t: int) -> list[tuple[int, int]]:
-        """Links that connect linked members, each component to its first member."""
-        root = list(range(len(self.sids)))
-
-        def top(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        """Links that connect linked members, each to its root; sets the roots."""
+        forest = Forest()
         for i, (_, tokens) in enumerate(self.sets()):
             for j in self.linked(tokens, t).tolist():
-                a, b = top(i), top(j)
-                root[max(a, b)] = min(a, b)
-        return [(int(self.sids[i]), int(self.sids[top(i)])) for i in range(len(root)) if top(i) != i]
+                forest.unite(i, j)
+        self.root = np.array([forest.top(i) for i in range(len(self.sids))], np.int64)
+        return [(int(self.sids[i]), int(self.sids[r])) for i, r in enumerate(self.root.tolist()) if i != r]
+
+
+class Forest:
+    """Which of the nodes seen so far are connected."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, i: int) -> int:
+        up = self.up
+        while (above := up.get(i, i)) != i:
+            up[i] = up.get(above, above)
+            i = up[i]
+        return i
+
+    def unite(self, a: int, b: int) -> bool:
+        """Connect two nodes under the smaller root; False if they were connected."""
+        a, b = self.top(a), self.top(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
 
 
 def _placed(sharing: DataFrame, group: int) -> DataFrame:
@@ -352,22 +370,33 @@ def _ask(blobs: list[bytes], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     place = np.empty(len(comp), np.int64)  # components by size, then by number
     w, c = weight[order], comp[order]
     place[order] = np.cumsum(np.concatenate([[False], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
-    asks, blocks = [], []
+    sids, own_sid = np.unique(sid, return_inverse=True)
+    blocks, own_block = np.unique(block, return_inverse=True)
+    keys, counts, fresh, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0  # set number * blocks + block number
+
+    def settle():
+        nonlocal keys, counts, fresh, waiting
+        new, many = np.unique(np.concatenate(fresh), return_counts=True)
+        keys, which = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(which, weights=np.concatenate([counts, many])).astype(np.int64)
+        fresh, waiting = [], 0
+
     for _, at in split_by(token.view(np.int64)):
         if place[at].min() == place[at].max():
             continue
         one = at[np.unique(sid[at], return_index=True)[1]]
-        for b, own in split_by(block[at]):
+        for b, own in split_by(own_block[at]):
             own = at[own]
-            other = one[~np.isin(sid[one], sid[own]) & (place[one] < place[own].max()) & (size[one] * 100 >= t * size[own].min()) & (size[one] * t <= 100 * size[own].max())]
-            asks.append(other)
-            blocks.append(np.full(len(other), b, np.int64))
-    none = np.zeros((4, 0), np.int64)
-    if not asks:
-        return tuple(none)
-    at = np.concatenate(asks)
-    pairs, count = np.unique(np.stack([sid[at], size[at], np.concatenate(blocks)]), axis=1, return_counts=True)
-    return (*pairs, count)
+            other = one[~np.isin(sid[one], sid[own]) & (place[one] < place[own].max())
+                        & (size[one] * 100 >= t * size[own].min()) & (size[one] * t <= 100 * size[own].max())]
+            fresh.append(own_sid[other] * len(blocks) + b)
+            waiting += len(other)
+        if waiting > 1_000_000:
+            settle()
+    if fresh:
+        settle()
+    first = np.unique(own_sid, return_index=True)[1]
+    return sids[keys // max(len(blocks), 1)], size[first][keys // max(len(blocks), 1)], blocks[keys % max(len(blocks), 1)], counts
 
 
 def _questions(placed: DataFrame, comps: DataFrame, t: int, shards: int) -> DataFrame:
@@ -387,16 +416,27 @@ def _questions(placed: DataFrame, comps: DataFrame, t: int, shards: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["shard", "entries"])
 
     def ask(table: pa.Table) -> pa.Table:
-        return pa.table([pa.array(x, pa.int64()) for x in _ask(table.column("entries").to_pylist(), t)], names=["sid", "n", "block", "count"])
+        sid, *rest = _ask(table.column("entries").to_pylist(), t)
+        out = [(k, pack_arrays(sid[at], *[x[at] for x in rest])) for k, at in split_by(sid % shards)]
+        return pa.table([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["bucket", "found"])
+
+    def enough(table: pa.Table) -> pa.Table:
+        parts = [unpack_arrays(b, "<i8", "<i8", "<i8", "<i8") for b in table.column("found").to_pylist()]
+        sid, n, block, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((block, sid))
+        sid, n, block, count = sid[order], n[order], block[order], count[order]
+        head = np.flatnonzero(np.concatenate([[True], (sid[1:] != sid[:-1]) | (block[1:] != block[:-1])]))
+        keep = np.add.reduceat(count, head) >= least_shared(n[head], t)
+        return pa.table([pa.array(sid[head][keep], pa.int64()), pa.array(block[head][keep], pa.int64())], names=["sid", "block"])
 
-    asked = labelled.mapInArrow(entries, "shard int, entries binary").groupBy("shard").applyInArrow(ask, "sid long, n long, block long, count long")
-    smallest = F.ceil(F.col("n") * t / 100)  # as in ``least_shared``
-    least = F.floor((smallest - F.ceil(smallest * t / 100) + 1) / 2) + 1
-    return asked.groupBy("sid", "n", "block").agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("sid", "block")
+    # few bytes but much work: a task for each shard, not as few as the bytes would fill
+    asked = labelled.mapInArrow(entries, "shard int, entries binary").repartition(shards, "shard").groupBy("shard").applyInArrow(ask, "bucket int, found binary")
+    return asked.groupBy("bucket").applyInArrow(enough, "sid long, block long")
 
 
 def _answers(questions: DataFrame, groups: DataFrame, comps: DataFrame, t: int) -> DataFrame:
-    """Links (a, b) between query sets and members of the groups they were sent to."""
+    """Links (a, b) between query sets and roots of the members they link with, in the groups
+    they were sent to; as many as connect them, not one for every pair."""
     questions = saved(questions, "questions")
     share = questions.sparkSession.sparkContext.broadcast
     asking, asked_of = share(bloom_of(questions.select("sid"))), share(bloom_of(questions.select("block")))
@@ -424,11 +464,12 @@ def _answers(questions: DataFrame, groups: DataFrame, comps: DataFrame, t: int)
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
-            g = Group.unpack(right.column("members")[0].as_py())
+            g, forest = Group.unpack(right.column("members")[0].as_py()), Forest()
             for s, tokens in zip(left.column("sid").to_pylist(), left.column("set").to_pylist(), strict=True):
-                hit = g.linked(np.frombuffer(tokens, "<u8"), t)
-                a += [s] * len(hit)
-                b += g.sids[hit].tolist()
+                for r in g.sids[np.unique(g.root[g.linked(np.frombuffer(tokens, "<u8"), t)])].tolist():
+                    if forest.unite(s, r):
+                        a.append(s)
+                        b.append(r)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return queries.groupBy("block", "part").cogroup(targets.groupBy("block", "part")).applyInArrow(compare, "a long, b long")
@@ -453,7 +494,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHIN
     comps = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     own = found.where("slot IS NULL").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "_n_label", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
-    least = own.where("n > 0").groupBy("_n_label").agg(F.min("_key").alias("least")).withColumnRenamed("_n_label", "l")
+    # written first: next to an aggregate the optimiser cannot split a hot label
+    least = saved(own.where("n > 0").groupBy("_n_label").agg(F.min("_key").alias("least")).withColumnRenamed("_n_label", "l"), "least")
     out = own.join(least, F.col("_n_label") == F.col("l"), "left")
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_key")).alias("component_id"),
