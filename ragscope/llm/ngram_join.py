@@ -173,8 +173,8 @@ def _prefixes(part: pa.RecordBatch, n: int, t: int, sketch: np.ndarray, shards:
 
 
 def _meet(blobs: list[bytes], t: int) -> tuple[np.ndarray, ...]:
-    """(set, size, leader, token) of every set with a token that another set of linkable size has; the
-    leader is the smallest set with the token."""
+    """(set, size, leader, token) of every set with a token that another set of linkable size has, or
+    that a slice has told of; the leader is the smallest set with the token."""
     parts, at = [], 0
     for blob in blobs:
         p = list(unpack_arrays(blob, "<u8", "<u4", "<i8", "<i8", "u1", "<u8", "<i8", "<i8", "<i8"))
@@ -201,9 +201,11 @@ def _meet(blobs: list[bytes], t: int) -> tuple[np.ndarray, ...]:
     near = same[1:] & (n[:-1] * 100 >= t * n[1:])
     many[1:] |= near
     many[:-1] |= near
-    many |= flag.astype(bool)
     head = np.flatnonzero(~same)
-    least = np.repeat(np.minimum.reduceat(s, head), np.diff(np.append(head, len(s))))
+    count = np.diff(np.append(head, len(s)))
+    # a flagged entry stands for sets of any size: all sets with its token stay
+    many |= np.repeat(np.maximum.reduceat(flag, head), count).astype(bool)
+    least = np.repeat(np.minimum.reduceat(s, head), count)
     return (np.concatenate([s[many], sid_b]), np.concatenate([n[many], size_b]), np.concatenate([least[many], lead_b]), np.concatenate([token[many], token_b]))
 
 

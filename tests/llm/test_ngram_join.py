@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ragscope.llm.bloom import Bloom, bloom_of
 from ragscope.llm.components import components
-from ragscope.llm.ngram_join import Group, extra, join, keep_one, least_shared, needed, prefix_length, prefix_of
+from ragscope.llm.ngram_join import Group, _bucket, _meet, _prefixes, extra, join, keep_one, least_shared, needed, prefix_length, prefix_of, set_id, token_sets
 
 
 def shingles(t, n=4):
@@ -142,3 +143,22 @@ def test_bloom(spark):
     own.add(keys)
     assert (own.data == b.data).all()
     assert not bloom_of(spark.createDataFrame([], "k long")).data.any()
+
+
+def test_hot_token_keeps_sets_unlike_its_stand_in():
+    """Sets of one slice share a passage, most are much longer; their near copies are in a slice where it is not hot."""
+    first, second, near = [], [], []
+    for f in range(6):
+        text = lambda name, n: [f"f{f}{name}{i}" for i in range(n)]  # noqa: B023, E731
+        rare, common, long_ = text("p", 20), text("c", 43), text("l", 400)
+        near.append(" ".join(rare + common))
+        first += [near[-1], *[" ".join(rare + long_ + text(f"u{i}", 3)) for i in range(5)], *[" ".join(common)] * 20, *[" ".join(long_)] * 20]
+        second.append(" ".join([*rare, *common[:-1], "other"]))
+    sketch = np.bincount(_bucket(np.concatenate(token_sets(pa.array(first + second)))), minlength=1 << 18)
+    blobs = [b for part in (first, second) for _, b in _prefixes(pa.RecordBatch.from_arrays([pa.array(part)], names=["_text"]), 4, 85, sketch, 1, 4)]
+    sid, _, _, token = _meet(blobs, 85)
+    for x, y in zip(token_sets(pa.array(second)), token_sets(pa.array(near)), strict=True):
+        inter = len(np.intersect1d(x, y))
+        assert 100 * inter >= 85 * (len(x) + len(y) - inter)
+        both = np.intersect1d(token[sid == set_id(x)], token[sid == set_id(y)])
+        assert len(both) >= max(least_shared(len(x)), least_shared(len(y)))
