@@ -4,7 +4,11 @@ A rolling hash over the hashes of the last ``WINDOW`` lines decides after which
 lines a chunk ends, so a passage that moves within a document, or sits in
 another one, is cut at the same lines again.  Chunks of two lines or more that
 occur more than once anywhere are removed except for the first occurrence (by
-document id, then position), after their bytes have been compared.
+document id, then position), after their bytes have been compared.  A repeated
+passage's first and last lines, and short passages, mostly lie in chunks that
+differ; with ``passages`` each two neighbouring lines are a chunk too, by the same
+jobs: every line goes that is in a run of two lines or more of which each
+neighbouring pair occurs before.  An occurrence that overlaps the first stays.
 
 Jobs: (1) count chunk hashes - small rows, combined before the shuffle; (2) the
 bytes of chunks with a repeated hash, joined by hash (a Bloom filter of fixed size
@@ -58,7 +62,13 @@ def chunks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(lines) - start
 
 
-def _chunk_rows(docs: DataFrame, wanted=None) -> DataFrame:
+def passages(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """The chunks of more than two lines, and each two neighbouring lines."""
+    yield from ((at, n) for at, n in chunks(lines) if n > 2)
+    yield from ((at, 2) for at in range(len(lines) - 1))
+
+
+def _chunk_rows(docs: DataFrame, wanted=None, cut=chunks) -> DataFrame:
     """(_row, _key, at, lines, hash) of every chunk of two lines or more that has a word; with
     ``wanted``, a filter of hashes, the chunks that pass it, and their bytes."""
     with_bytes = wanted is not None
@@ -83,7 +93,7 @@ def _chunk_rows(docs: DataFrame, wanted=None) -> DataFrame:
                 if not value or "\n" not in value:
                     continue
                 lines = value.encode().split(b"\n")
-                for at, n in chunks(lines):
+                for at, n in cut(lines):
                     body = b"\n".join(lines[at: at + n])
                     if n < 2 or not body.strip():
                         continue
@@ -99,24 +109,24 @@ def _chunk_rows(docs: DataFrame, wanted=None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", cut=chunks) -> DataFrame:
     """(_row, spans) for documents with chunks to remove; a span is (at, lines)."""
     rows = docs.select(row_id(F.col(key), F.col(text)).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     # both small sides are written first: next to an aggregate the optimiser cannot split a hot hash
-    often = saved(_chunk_rows(rows).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+    often = saved(_chunk_rows(rows, cut=cut).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(often))
-    bodies = saved(_chunk_rows(rows, wanted).join(often, "hash", "left_semi"), "chunks")
+    bodies = saved(_chunk_rows(rows, wanted, cut).join(often, "hash", "left_semi"), "chunks")
     place = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("key"), F.col("_row").alias("row"), F.col("at"))
     first = saved(bodies.groupBy("hash", "bytes").agg(F.min(place).alias("first")), "first")
     gone = bodies.join(first, ["hash", "bytes"]).where(
-        ~(F.col("_row").eqNullSafe(F.col("first.row")) & (F.col("at") == F.col("first.at"))))
+        ~(F.col("_row").eqNullSafe(F.col("first.row")) & (F.col("at") < F.col("first.at") + F.col("lines"))))
     return gone.select("_row", F.struct("at", "lines").alias("span")).distinct().groupBy("_row").agg(F.collect_list("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cut=chunks) -> DataFrame:
     """``docs`` with repeated chunks cut from the text, and ``_l_lines`` (lines before)
     and ``_l_removed`` (lines cut)."""
-    spans = repeated_chunks(docs, key, text).select(F.col("_row").alias("_l_row"), F.col("spans").alias("_l_spans"))
+    spans = repeated_chunks(docs, key, text, cut).select(F.col("_row").alias("_l_row"), F.col("spans").alias("_l_spans"))
     joined = docs.withColumn("_l_own", row_id(F.col(key), F.col(text))).join(spans, F.col("_l_own") == F.col("_l_row"), "left")
     docs_names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(P + "lines", T.LongType()), T.StructField(P + "removed", T.LongType())])
@@ -128,13 +138,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for i, own in enumerate(spans):
                 value = texts[i]
                 count.append(value.count("\n") + 1 if value else 0)
-                removed.append(sum(s["lines"] for s in own) if own else 0)
+                removed.append(0)
                 if own:
                     lines, at, keep = value.split("\n"), 0, []
                     for s in sorted(own, key=lambda s: s["at"]):
                         keep += lines[at: s["at"]]
-                        at = s["at"] + s["lines"]
-                    texts[i] = "\n".join(keep + lines[at:])
+                        at = max(at, s["at"] + s["lines"])
+                    keep += lines[at:]
+                    removed[-1] = len(lines) - len(keep)
+                    texts[i] = "\n".join(keep)
             columns = [pa.array(texts, batch.schema.field(text).type) if c == text else batch.column(c) for c in docs_names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(removed, pa.int64())],
                                              names=[f.name for f in schema.fields])
@@ -142,7 +154,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return joined.select(*[F.col(f"`{c}`") for c in docs_names], "_l_spans").mapInArrow(run, schema)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", cut=chunks) -> DataFrame:
     """``docs`` without repeated chunks; a document of which no word is left goes."""
-    out = remove_repeats(docs, key, text)
+    out = remove_repeats(docs, key, text, cut)
     return out.where((F.col(P + "removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,9 +14,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that repeated chunks take from every document, and what is left."""
+    """Lines that repeated chunks and pairs of lines take from every document, and what is left."""
     p = line_dedup.P
-    return line_dedup.remove_repeats(_docs(spark, sf_dir)).select(
+    return line_dedup.remove_repeats(_docs(spark, sf_dir), cut=line_dedup.passages).select(
         "doc_id", F.col(p + "lines").alias("n_lines"), F.col(p + "removed").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -2,7 +2,7 @@
 
 import random
 
-from ragscope.llm.line_dedup import P, chunks, dedup, remove_repeats
+from ragscope.llm.line_dedup import P, chunks, dedup, passages, remove_repeats
 
 
 def brute(docs):
@@ -61,3 +61,26 @@ def test_against_brute_force(spark):
     kept = {r.doc_id for r in left.collect()}
     assert {202, 203, 204, 205} <= kept and not {200, 201} & kept - {d for d, t in docs if (want[(d, t)][0] or '').strip()}
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_every_repeated_run_of_two_lines_goes(spark):
+    rng = random.Random(12)
+    shared = [[f"passage {p} line {i}" for i in range(n)] for p, n in enumerate([2, 2, 3, 5, 9])]
+    docs = []
+    for d in range(60):
+        parts = [[f"own {d} {j}"] for j in range(6)] + rng.sample(shared, 2)
+        rng.shuffle(parts)
+        docs.append((d, "\n".join(sum(parts, []))))
+    docs += [(60, "same\n" * 6), (61, "a\nb\na\nb\na"), (62, "\n\n\n\n")]
+    first, want = {}, {}
+    for d, t in docs:
+        lines, gone = t.split("\n"), set()
+        for at in range(len(lines) - 1):
+            pair = (lines[at], lines[at + 1])
+            f = first.setdefault(pair, (d, at))
+            if "".join(pair).strip() and (f[0] != d or at >= f[1] + 2):
+                gone |= {at, at + 1}
+        want[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.text for r in remove_repeats(df, cut=passages).collect()} == want
+    assert {r.doc_id: r.text for r in dedup(df, cut=passages).collect()} == {d: t for d, t in want.items() if t.strip() or d == 62}
