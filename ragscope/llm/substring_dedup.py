@@ -1,9 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing against sharded reference blocks.
+"""Substring dedup by window matching against sharded reference blocks.
 
-A document is parsed relative to all documents with a smaller id: factors are
-maximal runs of ``WINDOW``-word windows that occur in one earlier document, taken
-greedily from left to right; where a factor ends, the windows across its
-boundary have been looked up one by one, so nothing is lost between factors.
+Every ``WINDOW``-word window of a document gets the smallest earlier document that
+has it; factors are runs of neighbouring windows with the same document.  This is
+no relative Lempel-Ziv parse: positions in the reference are not kept, since the
+words of all repeated windows are the same however they are parsed, so a factor is
+neither greedy nor the longest and need not be one passage of its document.
 Words covered by a factor are duplicates.
 
 The reference is indexed in blocks, one per shard of a hash space.  Every window
