@@ -37,6 +37,8 @@ SAMPLE_ROWS = 20_000
 LIST_WORDS, LIST_SUPPORT, LIST_SHARE, LIST_PRECISION = 256, 5, 0.02, 0.95
 
 SYMBOLS = b"#*$%&|<>"
+#: What listed words are stripped of at both ends, when they are learned and when they are counted.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_lines", "n_listed"]
 P = "_q_"  # prefix of columns added to a caller's frame
@@ -54,6 +56,8 @@ FEATURES = {
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[list(PUNCTUATION)] = True
 
 
 def _in_doc(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -63,13 +67,13 @@ def _in_doc(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _bare(w: Words) -> np.ndarray:
     """Hashes of the words in lower case without ASCII punctuation at either end."""
     data = LOWER[w.data]
-    punct = ((data < 48) | ((data > 57) & (data < 97)) | ((data > 122) & (data < 128)))
+    punct = _PUNCT[data]
+    solid = np.append(np.flatnonzero(~punct), len(data))
     start, end = w.start.copy(), w.end.copy()
-    for _ in range(3):
-        lead = (start < end) & punct[np.minimum(start, len(data) - 1)]
-        start += lead
-        trail = (start < end) & punct[end - 1]
-        end -= trail
+    lead = np.flatnonzero(punct[start])
+    start[lead] = np.minimum(solid[np.searchsorted(solid, start[lead])], end[lead])
+    trail = np.flatnonzero((start < end) & punct[end - 1])
+    end[trail] = solid[np.searchsorted(solid, end[trail]) - 1] + 1
     return hash_spans(data, start, end)
 
 
@@ -172,7 +176,7 @@ def _word_list(sample: DataFrame) -> list[str]:
             for part in slices(batch, "text"):
                 w, flags = find_words(part.column("text"), lower=True), part.column("_bad").to_pylist()
                 for i, is_bad in enumerate(flags):
-                    seen = {w.word(j).strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for j in range(w.first[i], w.first[i + 1])}
+                    seen = {w.word(j).strip(PUNCTUATION) for j in range(w.first[i], w.first[i + 1])}
                     (bad if is_bad else good).update(seen - {b""})
             rows = list(good.keys() | bad.keys())
             yield pa.RecordBatch.from_arrays([

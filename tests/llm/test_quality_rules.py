@@ -95,3 +95,10 @@ def test_covering_is_ordered_and_precise():
         hit |= m
     assert (hit & ~y).sum() < 0.03 * y.sum() and (hit & y).sum() > 0.9 * y.sum()
     assert DecisionList([[("words", ">", 3.0)]], []).sql().startswith("CASE WHEN (CAST")
+
+
+def test_listed_words_with_many_marks_count(spark):
+    texts_ = ["word!!!!", "((((((word", "****word****", "word", "WORD?!?!?!", "!!!!!!", "wo!!!!rd", "\x01word", "x !!!! word.....\n-----word y", ""]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r.doc_id: r[P + "n_listed"] for r in with_stats(df, ["word"]).collect()}
+    assert [got[i] for i in range(len(texts_))] == [1, 1, 1, 1, 1, 0, 0, 0, 2, 0]
