@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.llm import chat, decontaminate, hmm, line_dedup, ngram_join, packing, quality_rules, secret_scan, substring_dedup, url_filters
+from ragscope.llm import chat, decontaminate, hmm, line_dedup, ngram_join, packing, periodic, quality_rules, secret_scan, substring_dedup, url_filters
 from ragscope.llm.jobs import read
 
 
@@ -122,6 +122,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, the strongest one, and the text with runs cut to one period."""
+    p = periodic.P
+    found = periodic.find_runs(_docs(spark, sf_dir), rewrite=periodic.rewrite_rule)
+    runs = F.col(p + "runs")
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate(runs, none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), p + "kept", p + "words").select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col(p + "kept").cast("binary"), 256).alias("collapsed_sha256"), F.col(p + "words").alias("n_words"))
+
+
 OP8_SQL = f"""
 WITH captures AS (
   SELECT page_id, nullif({_HOST_SQL}, '') AS host, {_DAY_0} + CAST((page_id * 37) % 1461 AS INTEGER) AS fetched_on FROM pages),
@@ -155,5 +169,6 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op8_url_filters": OP8_SQL}
