@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.llm import chat, decontaminate, hmm, line_dedup, ngram_join, packing, periodic, quality_rules, secret_scan, substring_dedup, url_filters
+from ragscope.llm import chat, decontaminate, hard_negatives, hmm, line_dedup, ngram_join, packing, periodic, quality_rules, secret_scan, substring_dedup, url_filters
 from ragscope.llm.jobs import read
 
 
@@ -122,6 +122,29 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score just below each anchor's nearest rows of its own label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, the strongest one, and the text with runs cut to one period."""
     p = periodic.P
@@ -169,6 +192,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op8_url_filters": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op8_url_filters": OP8_SQL, "op12_hard_negatives": OP12_SQL}
