@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.llm import chat, decontaminate, hard_negatives, hmm, line_dedup, ngram_join, packing, periodic, quality_rules, secret_scan, substring_dedup, url_filters
+from ragscope.llm import chat, decontaminate, hamming_join, hard_negatives, hmm, line_dedup, ngram_join, packing, periodic, quality_rules, secret_scan, substring_dedup, url_filters
 from ragscope.llm.jobs import read
 
 
@@ -122,6 +122,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard similarity 0.85 on five-word shingles, by b-bit signatures."""
+    return hamming_join.join(_docs(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of other labels that score just below each anchor's nearest rows of its own label."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -192,6 +198,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_hamming_join": op11_hamming_join,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }

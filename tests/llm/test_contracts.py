@@ -39,3 +39,11 @@ def test_op13(spark, docs):
         milli = 1000 * best[1] // best[2] if runs else None
         want[d] = (d, len(runs), *best, milli, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(kept))
     assert got == want and sum(r[1] > 0 for r in want.values()) > 5
+
+
+def test_op11(spark, docs):
+    from tests.llm.test_hamming_join import brute
+
+    columns = {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+    got = result(spark, "op11_hamming_join", columns)
+    assert got == {d: (d, n, c, d == c) for d, n, c in brute(docs)} and sum(not r[3] for r in got.values()) > 5
