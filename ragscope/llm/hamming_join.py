@@ -14,13 +14,13 @@ Equal sets are one set.  Groups of near copies share most keys, so pairs are not
 1. signatures, written; one row for each distinct set;
 2. keys with two sets or more (counts combined before the shuffle), and the
    least set of each, its leader;
-3. each set is compared with the leader it shares most keys with; links make
-   first components;
+3. sets that share most keys with the same leader are put in blocks and compared
+   with each other on full sets; links make first components;
 4. only keys whose sets lie in several components are left.  Where a
-   component has many sets of a key, the key's other sets ask all its blocks; the
-   rest of the key's sets are compared by signature, in blocks;
-5. what is within the distance asks the other's block of its component, on full sets:
-   one link is enough, as a block's sets are connected.  Final components.
+   component has many sets of a key, the key's other sets ask all blocks that hold
+   some of it; the rest of the key's sets are compared by signature, in cells of fixed size;
+5. a set within the distance of sets of another block asks that block once, on full
+   sets.  Final components.
 
 Rows are dealt to tasks by counted rows and bytes, never by one key.  Tokens and set
 identities are 64-bit hashes.
@@ -50,7 +50,7 @@ SHINGLE, THRESHOLD = 5, 85
 VALUES, BITS, CHUNKS = 64, 16, 12
 #: Differing values of a signature; 2 * CHUNKS - 1 at most, so that one chunk has one or none.
 DISTANCE = 23
-#: Sets of a component's block, sets that ask a block in one task, sets of a key's block.
+#: Sets of a block, sets that ask a block in one task, sets of one key in a cell.
 BLOCK, QUERIES, TOGETHER = 256, 1024, 1024
 #: Sets of one component with the same key from which the key's other sets ask the component.
 MANY = 64
@@ -149,73 +149,76 @@ def _sets(rows: DataFrame, distinct: DataFrame, wanted: DataFrame, n: int) -> Da
     return out
 
 
-def any_link(queries: list[np.ndarray], members: list[np.ndarray], t: int) -> list[bool]:
-    """Which query sets link with a member."""
-    sizes = np.array([len(m) for m in members], np.int64)
-    tokens = np.concatenate(members)
-    order = np.argsort(tokens, kind="stable")
-    union, first = np.unique(tokens[order], return_index=True)
-    member, many = np.repeat(np.arange(len(members)), sizes)[order], np.diff(np.append(first, len(tokens)))
-    out = []
-    for q in queries:
-        fits = _alike(len(q), sizes, t)
-        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-        at = at[union[at] == q]
-        least = -(-t * (len(q) + sizes) // (100 + t))  # 100 i >= t (x + y - i)
+class Block:
+    """Sets compared together: their tokens' union with the sets that have each token."""
+
+    def __init__(self, sets: list[np.ndarray], t: int):
+        self.t, self.sizes = t, np.array([len(x) for x in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.union, self.first = np.unique(tokens[order], return_index=True)
+        self.member, self.many = np.repeat(np.arange(len(sets)), self.sizes)[order], np.diff(np.append(self.first, len(tokens)))
+
+    def linked(self, q: np.ndarray) -> np.ndarray:
+        """Which of the block's sets link with a set."""
+        fits = _alike(len(q), self.sizes, self.t)
+        least = -(-self.t * (len(q) + self.sizes) // (100 + self.t))  # 100 i >= t (x + y - i)
+        at = np.minimum(np.searchsorted(self.union, q), len(self.union) - 1)
+        at = at[self.union[at] == q]
         if not fits.any() or len(at) < least[fits].min():
-            out.append(False)
-            continue
-        shared = np.bincount(member[ranges(first[at], many[at])], minlength=len(sizes))
-        out.append(bool((fits & (shared >= least)).any()))
-    return out
+            return np.zeros(0, np.int64)
+        shared = np.bincount(self.member[ranges(self.first[at], self.many[at])], minlength=len(self.sizes))
+        return np.flatnonzero(fits & (shared >= least))
 
 
-def _confirm(questions: DataFrame, members: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(sid, block): questions whose set links with a member of the block."""
-    many = saved(questions.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")), "asked")
-    asked = questions.join(many, "block").select("block", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), F.lit(True).alias("asks"), "sid")
-    told = members.join(many, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "sid")
-    both = saved(asked.unionByName(told).join(sets.select("sid", "size"), "sid"), "compared")
-    shards = max(1, -(-(both.agg(F.sum("size")).first()[0] or 0) * 8 // TASK_BYTES))
-    rows = both.drop("size").join(sets.select("sid", "set"), "sid").withColumn("shard", F.pmod(F.xxhash64("block", "part"), F.lit(shards)).cast("int"))
+def _compare(rows: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Links (a, b) of the sets that ask with the sets of their block; ``rows``: block, part, asks, sid, name.
+    Sets with a name are those asked, and a link gives the name, once for each set and name; where no set asks,
+    all of a block do, and the links are as many as connect them."""
+    rows = saved(rows.join(sets.select("sid", "size"), "sid"), "compared")
+    shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) * 8 // TASK_BYTES))
+    rows = rows.drop("size").join(sets.select("sid", "set"), "sid").withColumn("shard", F.pmod(F.xxhash64("block", "part"), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        block, part, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("block", "part", "asks"))
-        sid, blobs = table.column("sid").to_pylist(), table.column("set").to_pylist()
-        order = np.lexsort((asks, part, block))
-        cuts = np.flatnonzero((np.diff(block[order]) != 0) | (np.diff(part[order]) != 0)) + 1
-        out = []
-        for group in np.split(order, cuts):
-            mine = [np.frombuffer(blobs[i], "<u8") for i in group[asks[group]].tolist()]
-            theirs = [np.frombuffer(blobs[i], "<u8") for i in group[~asks[group]].tolist()]
-            if mine and theirs:
-                out += [(sid[i], int(block[i])) for i, yes in zip(group[asks[group]].tolist(), any_link(mine, theirs, t), strict=True) if yes]
-        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["sid", "block"])
-
-    return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "sid long, block long")
+        block, part, asks, sid, name = (table.column(c).to_numpy(zero_copy_only=False) for c in ("block", "part", "asks", "sid", "name"))
+        order = np.lexsort((part, block))
+        blobs, found = table.column("set"), [np.zeros((2, 0), np.int64)]
+        for group in np.split(order, np.flatnonzero((np.diff(block[order]) != 0) | (np.diff(part[order]) != 0)) + 1):
+            own = [np.frombuffer(blobs[i].as_py(), "<u8") for i in group.tolist()]
+            members = np.flatnonzero(~asks[group])
+            if not len(members):
+                continue
+            index, names = Block([own[m] for m in members.tolist()], t), name[group[members]]
+            for k in np.flatnonzero(asks[group]).tolist() if asks[group].any() else members.tolist():
+                new = np.unique(names[index.linked(own[k])])
+                found.append(np.stack([np.full(len(new), sid[group[k]]), new]))
+                if not asks[group[k]]:  # connected from now on
+                    names[np.isin(names, new)] = new[0]
+        a, b = np.concatenate(found, axis=1)
+        apart = a != b
+        return pa.table([pa.array(a[apart], pa.int64()), pa.array(b[apart], pa.int64())], names=["a", "b"])
+
+    return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "a long, b long")
 
 
 # -- the join ------------------------------------------------------------------------------------
 
-def _near_leaders(shared: DataFrame, distinct: DataFrame, t: int) -> DataFrame:
-    """(sid, block): each set with the leader it shares most keys with, if that is within the distance."""
-    most = shared.where("sid <> leader").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("sid").agg(
-        F.max(F.struct("c", "leader")).alias("best")).select("sid", F.col("best.leader").alias("block"))
-    own = saved(most.join(distinct.select("sid", "n", "sig"), "sid"), "leaders-of")
-    pairs = own.join(distinct.select(F.col("sid").alias("block"), F.col("n").alias("m"), F.col("sig").alias("to")), "block")
-
-    def run(batches):
-        for batch in batches:
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-            near = (_sign_matrix(batch.column("sig").to_pylist()) != _sign_matrix(batch.column("to").to_pylist())).sum(axis=1) <= DISTANCE
-            yield batch.select(["sid", "block"]).filter(pa.array(near & _alike(n, m, t)))
-
-    return saved(pairs.select("sid", "block", "n", "m", "sig", "to").mapInArrow(run, "sid long, block long"), "near-leaders")
+def _homes(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sid, block) of every set: sets that share most keys with the same leader, in blocks of about
+    ``BLOCK``; and (sid, block) of what is compared together: the leader is in each of its blocks."""
+    most = saved(shared.groupBy("sid", "leader").agg(F.count_if(F.col("sid") != F.col("leader")).alias("c")).groupBy("sid").agg(
+        F.max(F.struct("c", "leader")).alias("best")).select("sid", F.col("best.leader").alias("leader")), "led")
+    size = saved(most.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.count_if(F.col("sid") != F.col("leader")).alias("others")), "groups")
+    placed = saved(most.join(size, "leader").select("sid", "leader", "others", F.xxhash64("leader", F.pmod(F.xxhash64("sid"), "parts").cast("int")).alias("block")), "homes")
+    leaders = size.where("others > 0").select(F.col("leader").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        "sid", F.xxhash64("sid", "part").alias("block"))
+    together = placed.where("others > 0 AND sid <> leader").select("sid", "block").unionByName(leaders)
+    return placed.select("sid", "block"), together
 
 
 def _open_keys(shared: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(key, sid, label, weight, many): entries of keys whose sets lie in several components; ``many``:
-    how many sets of the component the key has."""
+    """(key, sid, label, weight, block, many): entries of keys whose sets lie in several components;
+    ``many``: how many sets of the component the key has."""
     with_label = saved(shared.select("key", "sid").join(labelled, "sid"), "labelled")
     several = saved(with_label.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "open")
     entries = saved(with_label.join(several, "key"), "open-entries")
@@ -223,50 +226,51 @@ def _open_keys(shared: DataFrame, labelled: DataFrame) -> DataFrame:
     return saved(entries.join(counts, ["key", "label"]), "open-counted")
 
 
-def _ask_components(entries: DataFrame) -> DataFrame:
-    """(sid, label): sets with a key that many sets of another component have."""
-    large = entries.where(F.col("many") > MANY).select("key", F.col("label").alias("other")).distinct()
-    return entries.join(saved(large, "large"), "key").where(
+def _ask_components(entries: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(sid, block): sets with a key that many sets of another component have ask that component's blocks."""
+    large = saved(entries.where(F.col("many") > MANY).select("key", F.col("label").alias("other")).distinct(), "large")
+    asking = entries.join(large, "key").where(
         (F.col("label") != F.col("other")) & ((F.col("many") <= MANY) | (F.col("label") > F.col("other")))).select("sid", F.col("other").alias("label")).distinct()
+    blocks = saved(labelled.select("label", "block").distinct(), "component-blocks")
+    return saved(asking, "asking").join(blocks, "label").select("sid", "block")
 
 
-def near_pairs(key: np.ndarray, sid: np.ndarray, label: np.ndarray, weight: np.ndarray, n: np.ndarray, signs: np.ndarray,
-               t: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(set, set of a larger component) for sets of one key and several components within the distance.
-    Only a set with ``left`` is compared with one with ``right``."""
+def near_blocks(c: dict[str, np.ndarray], signs: np.ndarray, t: int) -> np.ndarray:
+    """(set, block of another) where the sets share a cell, lie in different components and blocks and are within
+    the distance; the set of the smaller component (then block) asks.  A cell's ``low`` sets meet its ``high`` ones."""
     out = []
-    order = np.argsort(key, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+    order = np.argsort(c["cell"], kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(c["cell"][order])) + 1):
+        rank = c["weight"][group], c["block"][group]
+        group = group[np.lexsort(rank[::-1])]
+        found = []
         for k, i in enumerate(group[:-1].tolist()):
             rest = group[k + 1:]
-            rest = rest[(label[rest] != label[i]) & _alike(n[rest], n[i], t) & ((left[i] & right[rest]) | (left[rest] & right[i]))]
+            rest = rest[(c["label"][rest] != c["label"][i]) & (c["block"][rest] != c["block"][i]) & _alike(c["n"][rest], c["n"][i], t)
+                        & ((c["low"][i] & c["high"][rest]) | (c["low"][rest] & c["high"][i]))]
             if len(rest):
-                for j in rest[distances(signs[i], signs[rest]) <= DISTANCE].tolist():
-                    a, b = (i, j) if (weight[i], label[i]) < (weight[j], label[j]) else (j, i)
-                    out.append((sid[a], sid[b]))
-    return np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+                found.append(np.unique(c["block"][rest[distances(signs[i], signs[rest]) <= DISTANCE]]))
+                out.append(np.stack([np.full(len(found[-1]), c["sid"][i]), found[-1]], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def _ask_sets(entries: DataFrame, distinct: DataFrame, t: int) -> DataFrame:
-    """(sid, to): pairs of sets of different components that share a key and lie within the distance."""
-    few = entries.where(F.col("many") <= MANY).select("key", "sid", "label", "weight")
+    """(sid, block): sets that share a key with sets of another component and block within the distance."""
+    few = entries.where(F.col("many") <= MANY).select("key", "sid", "label", "weight", "block")
     size = saved(few.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")), "key-sizes")
-    total = size.agg(F.sum("parts").alias("parts"), F.sum(F.col("parts") * F.col("parts")).alias("blocks")).first()
-    shards = max(1, -(-(few.count() * (total.blocks or 1)) // ((total.parts or 1) * TASK_ROWS)))
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = few.join(size, "key").withColumn("part", part).withColumn("other", other).withColumn(
-        "cell", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-    placed = placed.join(distinct.select("sid", "n", "sig"), "sid").withColumn("low", F.col("part") <= F.col("other")).withColumn(
-        "high", F.col("part") >= F.col("other")).withColumn("shard", F.pmod("cell", F.lit(shards)).cast("int"))
+    placed = few.join(size, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = saved(placed.withColumn("cell", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).withColumn(
+        "low", F.col("part") <= F.col("other")).withColumn("high", F.col("part") >= F.col("other")).drop("key", "parts", "part", "other"), "cells")
+    shards = max(1, -(-placed.count() // TASK_ROWS))
+    placed = placed.join(distinct.select("sid", "n", "sig"), "sid").withColumn("shard", F.pmod("cell", F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        c = {x: table.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "sid", "label", "weight", "n", "low", "high")}
-        found = near_pairs(c["cell"], c["sid"], c["label"], c["weight"], c["n"], _sign_matrix(table.column("sig").to_pylist()), t, c["low"], c["high"])
-        return pa.table([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["sid", "to"])
+        columns = {x: table.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "sid", "label", "weight", "block", "n", "low", "high")}
+        found = near_blocks(columns, _sign_matrix(table.column("sig").to_pylist()), t)
+        return pa.table([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["sid", "block"])
 
-    return placed.select("shard", "cell", "sid", "label", "weight", "n", "sig", "low", "high").repartition(shards, "shard").groupBy("shard").applyInArrow(
-        run, "sid long, to long").distinct()
+    return placed.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "sid long, block long")
 
 
 def _links(rows: DataFrame, distinct: DataFrame, n: int, t: int) -> DataFrame:
@@ -274,28 +278,25 @@ def _links(rows: DataFrame, distinct: DataFrame, n: int, t: int) -> DataFrame:
     # the least set with a key leads the others; keys of one set go
     leaders = saved(_entries(distinct).groupBy("key").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).where("leader <> last").select("key", "leader"), "keys")
     shared = saved(_entries(distinct).join(leaders, "key"), "shared")
-    near = _near_leaders(shared, distinct, t)
-    led = near.select(F.col("block").alias("sid")).distinct()
-    first = components(_confirm(near, led.withColumn("block", F.col("sid")), _sets(rows, distinct, near.select("sid").unionByName(led), n), t).select(
-        F.col("sid").alias("a"), F.col("block").alias("b")))
-    first = saved(first, "first")
+    homes, together = _homes(shared)
+    sets = _sets(rows, distinct, together, n)
+    alone = together.select("block", F.lit(0).alias("part"), F.lit(False).alias("asks"), "sid", F.col("sid").alias("name"))
+    first = saved(components(_compare(alone, sets, t)), "first")
     # what is still apart though it shares a key
     sized = saved(first.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "weights")
     member = saved(first.withColumnRenamed("node", "sid").join(sized, "component").withColumnRenamed("component", "label"), "members")
-    labelled = distinct.select("sid").join(member, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    labelled = saved(labelled.withColumn("parts", F.ceil(F.col("weight") / BLOCK).cast("int")), "components")
-    in_block = lambda part: F.xxhash64("label", part)
-    blocks = labelled.select("sid", "label", in_block(F.pmod(F.xxhash64("sid"), "parts").cast("int")).alias("block"))
-    entries = _open_keys(shared, labelled.select("sid", "label", "weight"))
-    whole = _ask_components(entries).join(labelled.groupBy("label").agg(F.max("parts").alias("parts")), "label").select(
-        "sid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "label").select("sid", in_block(F.col("part")).alias("block"))
-    single = _ask_sets(entries, distinct, t).join(blocks.select(F.col("sid").alias("to"), "block"), "to").select("sid", "block")
-    asked = saved(whole.unionByName(single).distinct(), "questions")
-    members = saved(blocks.join(asked.select("block").distinct(), "block"), "asked-members")
-    more = _confirm(asked, members.select("sid", "block"), _sets(rows, distinct, asked.select("sid").unionByName(members.select("sid")), n), t)
-    of_block = members.groupBy("block").agg(F.min("label").alias("b"))
-    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
-        saved(more, "more").join(of_block, "block").select(F.col("sid").alias("a"), "b")))
+    labelled = saved(homes.join(member, "sid", "left").select(
+        "sid", "block", F.coalesce("label", "sid").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight")), "components")
+    entries = _open_keys(shared, labelled)
+    asked = saved(_ask_components(entries, labelled).unionByName(_ask_sets(entries, distinct, t)).distinct(), "questions")
+    many = saved(asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")), "asked")
+    told = labelled.join(many, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "sid", F.col("label").alias("name"))
+    asking = asked.join(many, "block").select(
+        "block", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), F.lit(True).alias("asks"), "sid", F.col("sid").alias("name"))
+    both = saved(told.unionByName(asking), "asked-and-told")
+    more = _compare(both, _sets(rows, distinct, both, n), t)
+    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
