@@ -1,10 +1,13 @@
-"""Approximate top-k, as an opt-in next to the exact ``retrieval.top_k``.
-
-Index rows are filed in the cell of their nearest centroid; a query visits its
-``probes`` nearest cells and ranks every row it finds there exactly.  Centroids
-come from k-means on a bounded sample of the index (``SAMPLE_ROWS``); all rows
-are filed, and no candidate of a visited cell is left out.  A cell with more than
-``CELL_ROWS`` rows is split over tasks, its queries visit each part.
+"""Top-k through an index of cells that prunes, exact on every metric.
+
+Index rows are filed in the cell of their nearest centroid; centroids come from
+k-means on a bounded sample of the index (``SAMPLE_ROWS`` rows, at most ``MOST_CELLS``
+cells), all rows are filed.  Cells are laid end to end in parts of about
+``PART_ROWS`` rows, queries likewise in blocks, so near queries share a block and near
+rows a part.  A block first meets the part in which its queries' bounds are highest;
+the k-th scores found there rule out most cells of clustered vectors, and only
+parts with a cell that some query may still gain from are met at all.  The bounds decide
+what is read, never what is found: results equal ``retrieval.top_k``.
 """
 
 from __future__ import annotations
@@ -12,84 +15,115 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.operators.retrieval import METRICS, _scores
-from ragscope.session import scratch_path
+from ragscope.operators import vectors
+from ragscope.operators.ordering import written
+from ragscope.operators.retrieval import EMPTY, check, vector_rows
 
-SAMPLE_ROWS, CELL_ROWS, ROUNDS = 20_000, 50_000, 10
+SAMPLE_ROWS, MOST_CELLS, ROUNDS = 20_000, 4096, 8
+PART_ROWS, BLOCK_ROWS = 8192, 1024
 
 
-def centroids(vectors: np.ndarray, cells: int) -> np.ndarray:
-    """Unit centroids of unit vectors, by k-means from evenly spread rows."""
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    out = unit[np.linspace(0, len(unit) - 1, cells).astype(int)]
+def centroids(rows: np.ndarray, cells: int) -> np.ndarray:
+    """Centroids by k-means, from evenly spread rows."""
+    out = rows[np.linspace(0, len(rows) - 1, cells).astype(int)]
     for _ in range(ROUNDS):
-        near = np.argmax(unit @ out.T, axis=1)
-        sums = np.zeros_like(out)
-        np.add.at(sums, near, unit)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        out = np.where(size > 0, sums / np.maximum(size, 1e-12), out)
+        near = nearest(rows, out)
+        sums, count = np.zeros_like(out), np.bincount(near, minlength=len(out))
+        np.add.at(sums, near, rows)
+        out = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], out)
     return out
 
 
-def _filed(df: DataFrame, key: str, vec: str, centres, probes: int) -> DataFrame:
-    """(id, v, cell): every row with its ``probes`` nearest cells."""
+def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres * centres).sum(1)[None, :] - 2 * rows @ centres.T, axis=1)
+
+
+def _filed(rows: DataFrame, centres, metric: str) -> DataFrame:
+    """(id, v, cell): every row with its nearest cell."""
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                near = np.argsort(-(v @ centres.value.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "v": [list(x) for x in np.repeat(v, near.shape[1], axis=0)],
-                                    "cell": near.ravel().astype(np.int32)})
-
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    return rows.mapInPandas(run, "id long, v array<double>, cell int")
-
-
-def top_k_approx(queries: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine", query_id: str = "query_id", query_vec: str = "embedding",
-                 doc_id: str = "doc_id", doc_vec: str = "embedding", exclude_self: bool = False, cells: int | None = None, probes: int | None = None) -> DataFrame:
-    """``query_id, rank, doc_id, score`` like ``top_k``; ``cells`` defaults to the square root
-    of the index's rows, ``probes`` to six tenths of the cells, at least twelve: vectors without clusters need that for a
-    recall of 0.9; clustered ones need far fewer."""
-    if k <= 0:
-        raise ValueError("k must be > 0")
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
+        for batch in batches:
+            if batch.num_rows:
+                m = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                near = np.concatenate([nearest(vectors.unit(x) if metric == "cosine" else x, centres.value) for x in np.array_split(m, -(-len(m) // 1024))])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=["id", "v", "cell"])
+
+    return rows.mapInArrow(run, "id long, v array<double>, cell int")
+
+
+def _dealt(filed: DataFrame, name: str, limit: int) -> tuple[DataFrame, int]:
+    """(name, id, v, cell), and how many numbers: cells end to end in bins of about ``limit`` rows; a larger cell
+    takes several bins.  The counts are one row for each cell (at most ``MOST_CELLS``)."""
+    counts = sorted((r["cell"], r["count"]) for r in filed.groupBy("cell").count().collect())
+    first, many, at, room = {}, {}, 0, limit
+    for cell, n in counts:
+        if n > room and room < limit:
+            at, room = at + 1, limit
+        first[cell], many[cell] = at, max(1, -(-n // limit))
+        at, room = (at + many[cell] - 1, max(0, limit - n)) if n <= limit else (at + many[cell], limit)
+    places = filed.sparkSession.createDataFrame([(c, first[c], many[c]) for c in first], "cell int, first int, many int")
+    return filed.join(F.broadcast(places), "cell").select(  # bounded by MOST_CELLS
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias(name), "id", "v", "cell"), at + 1
+
+
+def search(queries: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine", query_id: str = "query_id", query_vec: str = "embedding",
+           doc_id: str = "doc_id", doc_vec: str = "embedding", exclude_self: bool = False, cells: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The hits like ``retrieval.top_k``, and ``query_id, visited, cells``: how many cells each query visited of how
+    many there are (a cell that lies in several parts counts in each)."""
+    check(k, metric)
     spark = queries.sparkSession
-    rows = index.select(F.col(doc_id).alias("id"), F.col(doc_vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
-    if sample.empty:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    cells = min(len(sample), cells or max(1, math.isqrt(rows.count())))
-    probes = min(cells, probes or max(12, math.ceil(0.6 * cells)))
-    centres = spark.sparkContext.broadcast(centroids(np.stack(sample["v"].to_numpy()), cells))
-    path = scratch_path(spark, "cells")
-    _filed(index, doc_id, doc_vec, centres, 1).write.parquet(path)
-    filed = spark.read.parquet(path)
-    parts = filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"))
-    held = filed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = _filed(queries, query_id, query_vec, centres, probes).join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            ids, d = right["id"].to_numpy(), np.stack(right["v"].to_numpy())
-            for at in range(0, len(left), 1024):
-                some = left.iloc[at: at + 1024]
-                s = _scores(np.stack(some["v"].to_numpy()), d, metric)
-                if exclude_self:
-                    s[some["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                one = pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), best.shape[1]), "doc_id": ids[best].ravel(),
-                                    "score": np.take_along_axis(s, best, axis=1).ravel()})
-                found.append(one[np.isfinite(one["score"])])
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
-
-    near = asked.select("cell", "part", "id", "v").groupBy("cell", "part").cogroup(held.select("cell", "part", "id", "v").groupBy("cell", "part")).applyInPandas(
-        rank, "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    asked, held = vector_rows(queries, query_id, query_vec), vector_rows(index, doc_id, doc_vec)
+    sample = held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], EMPTY), spark.createDataFrame([], "query_id long, visited long, cells long")
+    rows = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(sample.num_rows, -1)
+    rows = vectors.unit(rows) if metric == "cosine" else rows
+    cells = min(len(rows), MOST_CELLS, cells or max(1, math.isqrt(held.count())))
+    centres = spark.sparkContext.broadcast(centroids(rows, cells))
+    filed = written(_filed(held, centres, metric), "filed")
+    own, n_parts = _dealt(filed, "part", PART_ROWS)
+    parts = written(vectors.packed(own, "part", metric), "index-parts")
+    own, _ = _dealt(written(_filed(asked, centres, metric), "asked"), "block", BLOCK_ROWS)
+    blocks = written(vectors.packed(own, "block", metric), "query-blocks")
+
+    def outlines(batches):
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("part_blob").to_pylist(), strict=True):
+                p = vectors.Pack.read(blob)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(p.radius), pa.int32()), pa.array(list(p.centre), pa.list_(pa.float64())), pa.array(p.radius, pa.float64())],
+                                                 names=["part", "centre", "radius"])
+
+    # one row for each cell of a part: bounded by MOST_CELLS and the number of parts
+    shape = parts.mapInArrow(outlines, "part int, centre array<double>, radius double").toArrow()
+    number = shape.column("part").to_numpy()
+    outline = spark.sparkContext.broadcast((number, np.stack(shape.column("centre").to_pylist()), shape.column("radius").to_numpy()))
+
+    def home(batches):
+        number, centre, radius = outline.value
+        for batch in batches:
+            at = [int(number[np.argmax(vectors.bounds(vectors.Pack.read(b).m, centre, radius, metric).sum(axis=0))]) for b in batch.column("block_blob").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(at, pa.int32())], names=["block", "part"])
+
+    def reached(batches):
+        number, centre, radius = outline.value
+        for batch in batches:
+            for block, blob, floor in zip(*[batch.column(c).to_pylist() for c in ("block", "block_blob", "floor")], strict=True):
+                gain = (vectors.bounds(vectors.Pack.read(blob).m, centre, radius, metric) >= np.frombuffer(floor, np.float64)[:, None]).any(axis=0)
+                some = np.unique(number[gain])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array(some, pa.int32())], names=["block", "part"])
+
+    first = written(blocks.mapInArrow(home, "block int, part int"), "homes")
+    rest = lambda known: written(blocks.join(known, "block").mapInArrow(reached, "block int, part int").join(first, ["block", "part"], "left_anti"), "pairs")
+    hits = written(vectors.two_rounds(blocks, parts, first, rest, k, metric, exclude_self), "found") if n_parts > 1 else written(
+        vectors.met(blocks, parts, first, k, metric, exclude_self), "found")
+    seen = hits.where("doc_id IS NULL").groupBy("query_id").agg(F.sum("visited").alias("visited"), F.lit(len(number)).cast("long").alias("cells"))
+    return vectors.best(hits, k), seen
+
+
+def top_k_cells(queries: DataFrame, index: DataFrame, *args, **options) -> DataFrame:
+    """``query_id, rank, doc_id, score`` like ``retrieval.top_k``, through the cells."""
+    return search(queries, index, *args, **options)[0]

@@ -1,89 +1,45 @@
 """Dense top-k retrieval (exact), queries x index.
 
-Physical plan:
-
-1. The query set is cut into blocks of a bounded byte size (``block_bytes``).
-   Only one block at a time is fetched to the driver and broadcast, so
-   what is broadcast is bounded by construction, never by the data size.
-2. ``mapInPandas`` over the index partitions scores the block against each
-   Arrow batch with a float64 matrix product and keeps a running top-k per
-   query; each task emits at most ``|block| * k`` rows.  No (query, doc)
-   pair is ever materialised as a row.
+Physical plan (``vectors.py``):
+
+1. Queries are packed into blocks and index rows into parts of a bounded byte
+   size, by a hash of their ids; neither table passes through the driver, so both
+   may grow.
+2. A block meets its home part in one task: a float64 matrix product, of which
+   each query keeps its best k.  The k-th scores go along when the block meets the
+   other parts, which return only rows that reach them.  No (query, doc) pair is
+   ever materialised as a row.
 3. A shuffle on ``query_id`` and ``row_number() <= k`` (planned as a
    partial + final WindowGroupLimit) keeps the global top-k, ties broken by
    the smaller document id.
 
-Every block's partial result is written to the shared checkpoint folder and
-read back, so only one broadcast is alive at a time and an executor loss re-runs
-one block, not the whole job.  Rows without a vector are neither queries nor
-hits; the cosine of a zero vector is 0.
+The hits of the first round are a written table, so an executor loss re-runs one
+round at most.  Rows without a vector are neither queries nor hits; the cosine of a
+zero vector is 0.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.session import scratch_path
-
-METRICS = ("cosine", "ip", "l2")
-
-
-def _scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
-    """Higher is better for every metric (l2 returns the negated squared distance)."""
-    s = q @ d.T
-    if metric == "cosine":
-        size = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1))
-        s = np.divide(s, size, out=np.zeros_like(s), where=size > 0)  # a zero vector is similar to nothing: 0
-    elif metric == "l2":
-        s = 2 * s - (q * q).sum(1)[:, None] - (d * d).sum(1)[None, :]
-    return s
-
-
-def _select(qids, dids, s, k, exclude_self):
-    """Top-k per query row of ``s`` (ties: smaller doc id), as a DataFrame."""
-    if exclude_self:
-        s = np.where(qids[:, None] == dids[None, :], -np.inf, s)
-    n = s.shape[1]
-    kk = min(k, n)
-    if kk == 0:
-        return None
-    thr = np.partition(s, n - kk, axis=1)[:, n - kk]  # k-th largest per query
-    qi, di = np.nonzero((s >= thr[:, None]) & np.isfinite(s))
-    cand = pd.DataFrame({"query_id": qids[qi], "doc_id": dids[di], "score": s[qi, di]})
-    return cand
-
-
-def _reduce(cand: pd.DataFrame, k: int) -> pd.DataFrame:
-    cand = cand.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True], kind="mergesort")
-    return cand.groupby("query_id", sort=False).head(k)
-
-
-def _scorer(bc, k, metric, exclude_self, doc_col, vec_col, q_chunk=1024):
-    def run(batches):
-        qids, qmat = bc.value
-        best = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            dids = pdf[doc_col].to_numpy(dtype=np.int64)
-            dmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            parts = [] if best is None else [best]
-            for lo in range(0, len(qids), q_chunk):
-                c = _select(qids[lo:lo + q_chunk], dids, _scores(qmat[lo:lo + q_chunk], dmat, metric), k,
-                            exclude_self)
-                if c is not None and len(c):
-                    parts.append(c)
-            if parts:
-                best = _reduce(pd.concat(parts, ignore_index=True), k)
-        if best is not None and len(best):
-            yield best[["query_id", "doc_id", "score"]]
-
-    return run
+from ragscope.operators import vectors
+from ragscope.operators.ordering import written
+from ragscope.operators.vectors import METRICS
+
+EMPTY = "query_id long, rank int, doc_id long, score double"
+
+
+def vector_rows(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(id, v) of the rows with a vector."""
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
+
+
+def check(k: int, metric: str) -> None:
+    if k <= 0:
+        raise ValueError("k must be > 0")
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
 
 
 def top_k(
@@ -96,7 +52,8 @@ def top_k(
     doc_id: str = "doc_id",
     doc_vec: str = "embedding",
     exclude_self: bool = False,
-    block_bytes: int = 64 << 20,
+    block_bytes: int = 1 << 20,
+    part_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``query_id, rank, doc_id, score`` for the k best documents per query.
 
@@ -104,47 +61,24 @@ def top_k(
     ``cosine`` (default), ``ip`` (inner product) or ``l2`` (score = negated
     squared distance, so higher is closer for all three).
     """
-    if k <= 0:
-        raise ValueError("k must be > 0")
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
+    check(k, metric)
     spark = queries.sparkSession
-    sc = spark.sparkContext
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"),
-                       F.col(query_vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    idx = index.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_vec).alias("embedding")).where("embedding IS NOT NULL")
-    schema = "query_id long, doc_id long, score double"
-
-    # Block size from the vector width (one row fetched) and the query count.
-    first = q.select(F.size("v").alias("d")).first()
-    if first is None:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    dims = int(first["d"])
-    rows_per_block = max(1, block_bytes // max(1, dims * 8 + 8))
-    n_q = q.count()
-    n_blocks = max(1, math.ceil(n_q / rows_per_block))
-
-    def score_block(block: DataFrame) -> DataFrame:
-        pdf = block.toPandas()
-        qids = pdf["query_id"].to_numpy(dtype=np.int64)
-        qmat = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dims))
-        bc = sc.broadcast((qids, qmat))
-        return idx.mapInPandas(_scorer(bc, k, metric, exclude_self, "doc_id", "embedding"), schema), bc
-
-    out = scratch_path(spark, "topk-blocks")
-    blocked = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    for b in range(n_blocks):
-        part, bc = score_block(blocked.where(F.col("_b") == b).drop("_b"))
-        part.write.mode("append").parquet(out)
-        bc.unpersist()
-    partial = spark.read.schema(schema).parquet(out)
-
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return (
-        partial.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "doc_id", "score")
-    )
+    asked, held = vector_rows(queries, query_id, query_vec), vector_rows(index, doc_id, doc_vec)
+    size = F.sum(8 * (F.size("v") + 1))
+    sizes = asked.agg(size.alias("n")).crossJoin(held.agg(size.alias("m"))).first()  # one row each
+    if not sizes["n"] or not sizes["m"]:
+        return spark.createDataFrame([], EMPTY)
+    n_blocks, n_parts = -(-sizes["n"] // block_bytes), -(-sizes["m"] // part_bytes)
+    dealt = lambda rows, name, n: vectors.packed(rows.select(
+        F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name), "id", "v", F.lit(0).alias("cell")), name, metric)
+    blocks, parts = dealt(asked, "block", n_blocks), dealt(held, "part", n_parts)
+    pairs = spark.range(n_blocks).select(F.col("id").cast("int").alias("block"))
+    home = pairs.withColumn("part", F.pmod("block", F.lit(n_parts)).cast("int"))
+    if n_parts == 1:  # no other part to meet
+        return vectors.best(vectors.met(blocks, parts, home, k, metric, exclude_self), k)
+    others = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).where(F.col("part") != F.pmod("block", F.lit(n_parts)))
+    blocks, parts = written(blocks, "query-blocks"), written(parts, "index-parts")
+    return vectors.best(vectors.two_rounds(blocks, parts, home, lambda known: others, k, metric, exclude_self), k)
 
 
 def hits_arrays(topk: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragscope.operators.ann import top_k_approx
+from ragscope.operators import ann
 from ragscope.operators.retrieval import label_relevance_quality, top_k
 from ragscope.operators.scoring import run_quality
 from ragscope.plans.common import r6
@@ -37,10 +37,9 @@ def quality_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of every query in the cells it visits (rows only: cells come from k-means)."""
+    """Hits of every query through an index of cells whose bounds prune; equal to the exact ranking."""
     emb = read_table(spark, sf_dir, "embeddings")
-    near = top_k_approx(emb, emb, k=K, query_id="vec_id", doc_id="vec_id", exclude_self=True)
-    return r6(near)
+    return r6(ann.top_k_cells(emb, emb, k=K, query_id="vec_id", doc_id="vec_id", exclude_self=True))
 
 
 QUERIES = {
@@ -75,8 +74,11 @@ q as (select h.query_id, h.label, h.n_retrieved, h.hits,
       from h join nl using (label))
 """
 
+_RANKED = f"with {_TOPK_SQL} select query_id, cast(rank as integer) as rank, doc_id, round(score, 6) as score from r"
+
 ORACLES = {
-    "topk_retrieval": f"with {_TOPK_SQL} select query_id, cast(rank as integer) as rank, doc_id, round(score, 6) as score from r",
+    "topk_retrieval": _RANKED,
+    "topk_approx": _RANKED,
     "retrieval_quality": _QUALITY_SQL + """
 select query_id, label, n_retrieved, hits, round(recall_at_k, 6) as recall_at_k,
        round(precision_at_k, 6) as precision_at_k, round(mrr, 6) as mrr from q""",

@@ -1,38 +1,83 @@
-"""Approximate search against the exact ranking."""
+"""Search by cells and block-by-part search against all scores."""
 
 import numpy as np
+import pytest
 
-from ragscope.operators import ann
-from ragscope.operators.ann import top_k_approx
+from ragscope.operators import ann, vectors
+from ragscope.operators.ann import search, top_k_cells
 from ragscope.operators.retrieval import top_k
 from tests.conftest import SF_SMALL
 
 
-def pairs(df):
-    return {(r.query_id, r.doc_id) for r in df.collect()}
+def ranked(df):
+    return [(r.query_id, r.rank, r.doc_id) for r in df.orderBy("query_id", "rank").collect()]
 
 
-def test_recall_and_exact_scores(spark):
-    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
-    args = dict(k=5, query_id="vec_id", doc_id="vec_id", exclude_self=True)
-    exact, near = top_k(emb, emb, **args), top_k_approx(emb, emb, **args)
-    truth = pairs(exact)
-    assert len(pairs(near) & truth) >= 0.9 * len(truth)
-    score = {(r.query_id, r.doc_id): r.score for r in exact.collect()}
-    for r in near.collect():
-        if (r.query_id, r.doc_id) in score:
-            assert abs(score[(r.query_id, r.doc_id)] - r.score) < 1e-9
+def brute(queries, index, k, metric, exclude_self=False):
+    ids, d = np.array([i for i, v in index if v is not None]), np.array([v for _, v in index if v is not None])
+    out = []
+    for i, v in queries:
+        if v is None:
+            continue
+        q = np.array(v)
+        s = d @ q if metric != "l2" else -((d - q) ** 2).sum(1)
+        if metric == "cosine":
+            size = np.linalg.norm(d, axis=1) * np.linalg.norm(q)
+            s = np.divide(s, size, out=np.zeros_like(s), where=size > 0)
+        s = np.round(s, 9)
+        order = [j for j in np.lexsort((ids, -s)) if not (exclude_self and ids[j] == i)][:k]
+        out += [(i, r + 1, int(ids[j])) for r, j in enumerate(order)]
+    return sorted(out)
 
 
-def test_all_cells_is_exact_and_split_cells(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL_ROWS", 20)
+def data(clustered=False):
     rng = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 8)))] + [(900, [0.0] * 8), (901, None)]
-    df = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    m = rng.integers(-20, 20, (300, 6)).astype(float)
+    if clustered:
+        m = np.repeat(np.round(rng.normal(size=(10, 6)) * 50), 30, axis=0) + rng.integers(-3, 4, (300, 6))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    return rows + [(900, [0.0] * 6), (901, None)] + [(1000 + i, rows[7][1]) for i in range(100)]  # one very common vector
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_equal_to_all_scores(spark, monkeypatch, metric):
+    monkeypatch.setattr(ann, "PART_ROWS", 40)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 25)
+    rows = data()
+    df = spark.createDataFrame(rows, "query_id long, embedding array<double>").repartition(3)
     idx = df.withColumnRenamed("query_id", "doc_id")
-    for metric in ("cosine", "l2", "ip"):
-        got = top_k_approx(df, idx, 4, metric, cells=5, probes=5).orderBy("query_id", "rank").collect()
-        want = top_k(df, idx, 4, metric).orderBy("query_id", "rank").collect()
-        assert [(r.query_id, r.rank, r.doc_id) for r in got] == [(r.query_id, r.rank, r.doc_id) for r in want]
-    assert len({r.query_id for r in want}) == 201
-    assert top_k_approx(df, idx.limit(0)).count() == 0
+    want = brute(rows, rows, 4, metric)
+    assert ranked(top_k(df, idx, 4, metric, block_bytes=2000, part_bytes=3000)) == want
+    hits, seen = search(df, idx, 4, metric, cells=9)
+    assert ranked(hits) == want
+    assert seen.count() == 401
+    assert ranked(top_k(df.limit(50), idx, 4, metric, exclude_self=True)) == brute([(r.query_id, r.embedding) for r in df.limit(50).collect()], rows, 4, metric, True)
+
+
+def test_clustered_vectors_visit_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 40)
+    rows = data(clustered=True)
+    df = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    for metric, most in (("l2", 0.25), ("cosine", 0.4)):
+        hits, seen = search(df, df.withColumnRenamed("query_id", "doc_id"), 3, metric, cells=30)
+        assert ranked(hits) == brute(rows, rows, 3, metric)
+        assert sum(r.visited for r in seen.collect()) < most * sum(r.cells for r in seen.collect())
+
+
+def test_whole_table_and_empty(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    args = dict(k=5, query_id="vec_id", doc_id="vec_id", exclude_self=True)
+    assert ranked(top_k_cells(emb, emb, **args)) == ranked(top_k(emb, emb, **args))
+    for f in (top_k, top_k_cells):
+        assert f(emb, emb.limit(0), **args).count() == 0 and f(emb.limit(0), emb, **args).count() == 0
+        with pytest.raises(ValueError):
+            f(emb, emb, k=0)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(1)
+    q, rows = rng.normal(size=(50, 8)), rng.normal(size=(200, 8))
+    centre = rows.mean(axis=0)[None]
+    radius = np.sqrt(((rows - centre) ** 2).sum(1)).max()[None]
+    for metric in ("ip", "l2"):
+        assert (vectors.scores(q, rows, metric).max(axis=1) <= vectors.bounds(q, centre, radius, metric)[:, 0]).all()
