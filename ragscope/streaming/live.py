@@ -27,23 +27,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ragscope.operators.ordering import written
 from ragscope.operators.spans import GENERATION, RETRIEVAL, ROOT
 
 SPAN_NAMES = (ROOT, RETRIEVAL, GENERATION)
 
 
-def stage_files(df: DataFrame, path: str, order_col: str, fmt: str = "parquet") -> str:
-    """Write ``df`` as files, each a contiguous ``order_col`` range (file names
-    sort in time order, like an arriving log); as many as the data asks for."""
-    df.repartitionByRange(order_col).sortWithinPartitions(order_col).write.mode("overwrite").format(fmt).save(path)
+def stage_files(df: DataFrame, path: str, order_col: str, files: int = 4) -> str:
+    """Write ``df`` as ``files`` deliveries, each a contiguous ``order_col`` range, one after the
+    other: a file source takes them in the order in which they were written, like an arriving log."""
+    laid = written(df.repartitionByRange(files, order_col).withColumn("_delivery", F.spark_partition_id()), "deliveries")
+    for i in range(files):
+        laid.where(F.col("_delivery") == i).drop("_delivery").sort(order_col).coalesce(1).write.parquet(f"{path}/{i:03d}")
     return path
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    """A stream of the files; with ``max_files`` a micro-batch takes that many at most."""
     reader = spark.readStream.schema(schema).format(fmt)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
+def batches(checkpoint: str, spark: SparkSession) -> int:
+    """How many micro-batches a query has committed."""
+    return spark.read.text(f"{checkpoint}/commits").select(F.input_file_name().alias("f")).distinct().count()
+
+
 def running_summary(stream: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     return stream.groupBy(*keys).agg(*aggs)
 

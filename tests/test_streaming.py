@@ -1,10 +1,16 @@
 """Custom stateful trace assembly (Python state, event-time timeout) on a
 small fixture: complete traces emit at once, incomplete ones on timeout."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from ragscope.session import scratch_path
+from ragscope.plans.oracle_check import compare, duckdb_conn
+from ragscope.plans.stream_q import DELIVERIES, QUERIES
+from ragscope.session import _session_scratch, scratch_path
 from ragscope.streaming import live as L
+from tests.conftest import SF_SMALL
 
 
 def test_assemble_custom_and_window(spark):
@@ -24,3 +30,14 @@ def test_assemble_custom_and_window(spark):
     for label, res in results.items():
         assert res["t1"]["complete"] and res["t1"]["n_spans"] == 3, label
         assert not res["t2"]["complete"], label
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_several_micro_batches(spark, name):
+    """Every registered stream reads its state back: a batch for each delivery, and the oracle's rows."""
+    before = set(os.listdir(_session_scratch(spark))) if os.path.isdir(_session_scratch(spark)) else set()
+    r = compare(spark, name, SF_SMALL, duckdb_conn(SF_SMALL))
+    assert r["status"] == "ok", r
+    made = [d for d in set(os.listdir(_session_scratch(spark))) - before if "-ckpt-" in d]
+    assert len(made) == 1
+    assert L.batches(os.path.join(_session_scratch(spark), made[0]), spark) >= DELIVERIES
