@@ -218,3 +218,24 @@ def test_eval_grid_is_the_same_in_any_block_size(spark):
     rows = lambda n: sorted(map(tuple, eval_grid(cfg, entries, ["claim"], block_size=n).collect()))
     assert rows(2) == rows(100) and len(rows(100)) == sum(((i % 3 + 1) if i else 1) * (min(9, i * 2) if i % 2 else 9) for i in range(7))
     assert eval_grid(cfg.limit(0), entries, ["claim"]).count() == 0
+
+
+def test_quantiles_of_small_and_hot_groups(spark):
+    """Groups of one to a few rows, a value that fills a group, one group with most of the rows, NaN and infinities."""
+    rng = np.random.default_rng(12)
+    rows = [(g, float(x), None if x < -1 else float(round(x))) for g in range(12) for x in rng.normal(size=g)]
+    rows += [(50, 1.0, 1.0)] * 3000 + [(50, float(x), 2.0) for x in range(7)] + [(51, float(x), float(x)) for x in rng.normal(size=30_000)]
+    rows += [(52, float("nan"), None)] * 5 + [(53, 9.0, -8.5), (53, 2.0, 3.0), (53, float("nan"), 4.0)]
+    pdf = pd.DataFrame(rows, columns=["metric", "v", "total"])  # names that the operator uses itself
+    df = spark.createDataFrame(rows, "metric int, v double, total double").repartition(6)
+    probs = [0.0, 0.001, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.999, 1.0]
+    got = {(r[0], r[1], r[2]): r[3] for r in quantiles(df.withColumnRenamed("metric", "g"), ["v", "total"], probs, by=["g"]).collect()}
+    for g, own in pdf.groupby("metric"):
+        for c in ("v", "total"):
+            x = own[c].dropna()
+            assert len(x) or (g, c, 0.5) not in got
+            for p in probs if len(x) else []:
+                want = x.quantile(p)
+                assert got[g, c, p] == pytest.approx(want, rel=1e-12, nan_ok=True)
+    whole = {r.p: r.q for r in quantiles(df, ["total"], probs).collect()}
+    assert whole == {p: pytest.approx(pdf["total"].quantile(p), rel=1e-12) for p in probs}
