@@ -8,12 +8,13 @@
 * ``build_plan`` - per configuration: exists / populated / chunk count and
   whether the build can be skipped.
 The configuration and catalog tables are one row per configuration or
-collection (hand-written lists), so every step runs on small inputs.
+collection; nothing is hinted, the optimiser decides by their size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,17 +27,23 @@ def config_fingerprint(cols: Sequence[str], exclude: Sequence[str] = ()) -> Colu
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in keep])), 256)
 
 
+def chunk_signature(strategy: Column, size: Column | None = None, overlap: Column | None = None, sequence: Column | None = None) -> Column:
+    """What of the chunking a collection depends on, as text: ``none`` without chunking."""
+    null = F.lit(None).cast("string")
+    size, overlap, sequence = (null if c is None else c.cast("string") for c in (size, overlap, sequence))
+    return (F.when(strategy == "fixed", F.concat(F.lit("chunk_size="), size, F.lit(";chunk_overlap="), overlap))
+            .when(strategy == "char_split", F.concat(F.lit("split_sequence="), sequence)).otherwise(F.lit("none")))
+
+
 def resolve_collections(configs: DataFrame, catalog: DataFrame, model: str = "model", quant: str = "quantization",
                         dims: str = "dimensions", fingerprint: str = "fingerprint") -> DataFrame:
     """``configs + collection, is_new``; ``catalog`` has ``collection, fingerprint``."""
     base = collection_name(model, quant, dims)
     cfg = configs.withColumn("_base", base)
-    # Catalog and config tables hold one row per collection / configuration
-    # (hand-written lists, bounded by construction): broadcast them.
-    cat = F.broadcast(catalog.select(F.col("collection"), F.col(fingerprint).alias("_fp")))
+    cat = catalog.select(F.col("collection"), F.col(fingerprint).alias("_fp"))
     j = cfg.join(cat, cfg[fingerprint] == cat["_fp"], "left").drop("_fp")
     idx = F.regexp_extract(F.col("collection"), r"_(\d+)$", 1)
-    existing = F.broadcast(catalog.select(F.col("collection"))
+    existing = (catalog.select(F.col("collection"))
                 .select(F.regexp_replace("collection", r"_\d+$", "").alias("_base"),
                         F.when(idx != "", idx.cast("int")).alias("_i"))
                 .groupBy("_base").agg(F.max("_i").alias("_max")))
@@ -46,24 +53,26 @@ def resolve_collections(configs: DataFrame, catalog: DataFrame, model: str = "mo
            .select("_base", fingerprint,
                    F.concat(F.col("_base"), F.lit("_"), (F.coalesce("_max", F.lit(0)) + F.col("_n")).cast("string"))
                    .alias("_new")))
-    out = j.join(F.broadcast(new), ["_base", fingerprint], "left")
+    out = j.join(new, ["_base", fingerprint], "left")
     return out.select(*configs.columns, F.coalesce("collection", "_new").alias("collection"),
                       F.col("collection").isNull().alias("is_new"))
 
 
 def build_plan(resolved: DataFrame, index_counts: DataFrame) -> DataFrame:
     """``index_counts``: ``collection, chunk_count`` of collections that exist."""
-    j = resolved.join(F.broadcast(index_counts), "collection", "left")
+    j = resolved.join(index_counts, "collection", "left")
     exists = F.col("chunk_count").isNotNull()
     return j.select("*", exists.alias("exists"), (exists & (F.col("chunk_count") > 0)).alias("populated"),
                     (exists & (F.col("chunk_count") > 0)).alias("skip_build"))
 
 
-def scrape_counters(texts: DataFrame, text_col: str, names: Sequence[str]) -> DataFrame:
+def scrape_counters(texts: DataFrame, text_col: str, names: Sequence[str] | Mapping[str, str]) -> DataFrame:
     """Metric scrape texts (``name value`` lines) -> one typed column per
-    counter, 0 when absent or unparsable."""
+    counter, 0 when absent or unparsable.  A mapping gives the types (counters of things
+    are ``bigint``, of seconds ``double``); names alone are doubles."""
+    kinds = names if isinstance(names, Mapping) else dict.fromkeys(names, "double")
     cols = []
-    for n in names:
-        v = F.regexp_extract(F.col(text_col), rf"(?m)^{n}(?:\{{[^}}]*\}})?\s+([-+0-9.eE]+)\s*$", 1)
-        cols.append(F.coalesce(v.try_cast("double"), F.lit(0.0)).alias(n.replace(":", "_")))
+    for n, kind in kinds.items():
+        v = F.regexp_extract(F.col(text_col), rf"(?m)^{re.escape(n)}(?:\{{[^}}]*\}})?\s+([-+0-9.eE]+)\s*$", 1)
+        cols.append(F.coalesce(v.try_cast(kind), F.lit(0).cast(kind)).alias(n.replace(":", "_")))
     return texts.select("*", *cols)

@@ -48,7 +48,7 @@ def scrape_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     text = F.concat(F.lit("# scrape\nreq:total "), F.col("event_id").cast("string"), F.lit("\nkv_used{slot=\"0\"} "),
                     F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")), F.lit("\n"))
-    return CT.scrape_counters(ev.select("event_id", text.alias("text")), "text", ["req:total", "kv_used", "missing"]).drop("text")
+    return CT.scrape_counters(ev.select("event_id", text.alias("text")), "text", {"req:total": "bigint", "kv_used": "double", "missing": "bigint"}).drop("text")
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +178,8 @@ with {EVALS_CTE}, t as (select run_id, latency_ttft_ms + 1000 / generation_token
 select run_id, round(min(x), 6) as lo, round(max(x), 6) as hi, count(x) as n from t group by run_id""",
     "histogram_sets": _histogram_sets(),
     "scrape_counters": """
-select event_id, cast(event_id as double) as req_total,
-       coalesce(try_cast(json_extract_string(props, '$.k') as double), 0.0) as kv_used, cast(0.0 as double) as missing from events""",
+select event_id, event_id as req_total,
+       coalesce(try_cast(json_extract_string(props, '$.k') as double), 0.0) as kv_used, cast(0 as bigint) as missing from events""",
     "sentence_corpus": """
 select cast(doc_id as varchar) as id, md5(replace(coalesce(text, ''), chr(10), ' ')) as text, source as title, lang <> 'en' as structured,
        cast(case when text is null then 0 else len(string_split(text, chr(10))) end as integer) as sentence_count from documents""",

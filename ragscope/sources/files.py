@@ -193,6 +193,16 @@ def select_sessions(sessions: DataFrame, spec: str, col: str = "session_id") ->
     return sessions.select(col).where(F.col(col).isNotNull()).distinct().where(session_filter(spec, col)).orderBy(col)
 
 
+def select_runs(configs: DataFrame, run_id: str | None, col: str = "run_id") -> DataFrame:
+    """The run configurations with that id (all without one); an id that none has is an error."""
+    if run_id is None:
+        return configs
+    own = configs.where(F.col(col) == run_id)
+    if own.isEmpty():
+        raise ValueError(f"no run configuration has {col}={run_id}")
+    return own
+
+
 def select_traces(spans: DataFrame, traces: DataFrame | None = None, name: str = "rag.evaluation",
                   start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """Root spans by name and time range (pushed-down filters), optionally

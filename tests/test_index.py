@@ -64,3 +64,24 @@ def test_glob_to_regex():
     import re
     rx = re.compile(glob_to_regex("run_1*_s[12]"))
     assert rx.match("run_15_s1") and not rx.match("run_15_s0") and not rx.match("xrun_15_s1")
+
+
+def test_counters_with_types_and_patterns_in_names(spark):
+    df = spark.createDataFrame([("a.b 7\naxb 9\n",), ("a.b{x=\"1\"} 2.5\n",)], "t string")
+    got = [tuple(r)[1:] for r in scrape_counters(df, "t", {"a.b": "bigint", "axb": "double"}).collect()]
+    assert got == [(7, 9.0), (0, 0.0)]
+
+
+def test_chunk_signature_and_run_selection(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from ragscope.operators.catalog import chunk_signature
+    from ragscope.sources.files import select_runs
+
+    df = spark.createDataFrame([("fixed", 5, 1, None), ("char_split", None, None, ". "), (None, None, None, None)], "run_id string, a int, b int, c string")
+    got = [r[0] for r in df.select(chunk_signature(F.col("run_id"), F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got == ["chunk_size=5;chunk_overlap=1", "split_sequence=. ", "none"]
+    assert select_runs(df, "fixed").count() == 1 and select_runs(df, None).count() == 3
+    with pytest.raises(ValueError):
+        select_runs(df, "none")
