@@ -47,3 +47,20 @@ def test_op11(spark, docs):
     columns = {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
     got = result(spark, "op11_hamming_join", columns)
     assert got == {d: (d, n, c, d == c) for d, n, c in brute(docs)} and sum(not r[3] for r in got.values()) > 5
+
+
+def test_op4(spark, docs):
+    from tests.llm.test_decontaminate import brute
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
+    columns = {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
+    got = result(spark, "op4_benchmark_decontamination", columns)
+    assert got == {d: (d, n, hit, len(own), sha(",".join(own)), hit > 0) for d, n, hit, own in brute(docs, items)}
+    assert any(r[5] for r in got.values())
+
+
+def test_op10(spark, docs):
+    from tests.llm.test_ngram_join import brute
+
+    got = result(spark, "op10_ngram_jaccard_join", {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"})
+    assert got == {d: (d, n, c) for d, n, c in brute(docs)}
