@@ -257,11 +257,13 @@ def cover(x: dict[str, np.ndarray], y: np.ndarray, part: np.ndarray, precision:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS,
           precision: float = 0.9) -> DecisionList:
     """Learn which documents to reject: those labelled of low quality or toxic.
-    Documents that ``base_failed`` rejects anyway are left to it."""
+    Documents that ``base_failed`` rejects anyway are left to it.  A third of the sample prunes
+    the rules; the listed words are learned, like the rules, on the rest."""
+    prune = F.xxhash64("_id") % 3 == 0
     sample = labelled_sample(docs, labels, key, text, rows)
-    words = _word_list(sample)
+    words = _word_list(sample.where(~prune))
     stats = with_stats(sample, words).select(
-        "_bad", (F.xxhash64("_id") % 3 == 0).alias("_part"), base_failed().alias("_base"),
+        "_bad", prune.alias("_part"), base_failed().alias("_base"),
         *[F.expr(e).alias(f) for f, e in FEATURES.items()]).toPandas()
     stats = stats[~stats["_base"].to_numpy(dtype=bool)]
     y, part = stats["_bad"].to_numpy(dtype=bool), stats["_part"].to_numpy(dtype=bool)
@@ -279,3 +281,14 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame
 def keep_good(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
     return judge(docs, rules, text).where(F.col(P + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def held_out(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 0) -> dict[str, int]:
+    """How a list learned without one fold of the labelled documents does on that fold: counts of documents
+    that base rules leave, by verdict (``rejected`` or ``kept``) and label (``bad`` or ``good``)."""
+    mine = F.pmod(F.xxhash64(F.lit("fold"), F.col(key)), F.lit(folds)) == fold
+    rules = learn(docs, labels.where(~mine), key, text)
+    truth = labelled_sample(docs, labels.where(mine), key, text, SAMPLE_ROWS)
+    rows = judge(truth, rules).where(~F.col(P + "base_failed")).groupBy("_bad", P + "kept").count().collect()
+    out = {(r[P + "kept"], r["_bad"]): r["count"] for r in rows}
+    return {f"{verdict}_{label}": out.get((verdict == "kept", label == "bad"), 0) for verdict in ("rejected", "kept") for label in ("bad", "good")}

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from ragscope.llm.quality_rules import BASE, P, DecisionList, cover, judge, keep_good, learn, with_stats
+from ragscope.llm.quality_rules import BASE, P, DecisionList, cover, held_out, judge, keep_good, learn, with_stats
 
 
 def stats(text):
@@ -102,3 +102,13 @@ def test_listed_words_with_many_marks_count(spark):
     df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
     got = {r.doc_id: r[P + "n_listed"] for r in with_stats(df, ["word"]).collect()}
     assert [got[i] for i in range(len(texts_))] == [1, 1, 1, 1, 1, 0, 0, 0, 2, 0]
+
+
+def test_held_out_labels(spark):
+    docs, labels = planted()
+    df = spark.createDataFrame(docs, "doc_id long, text string, kind string")
+    got = [held_out(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), folds=3, fold=f) for f in range(3)]
+    total = {k: sum(g[k] for g in got) for k in got[0]}
+    assert total["rejected_bad"] >= 0.8 * (total["rejected_bad"] + total["kept_bad"])
+    assert total["rejected_bad"] >= 0.9 * (total["rejected_bad"] + total["rejected_good"])
+    assert total["kept_good"] > 0
