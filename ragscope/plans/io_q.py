@@ -10,6 +10,7 @@ from ragscope.operators import corpus as CP
 from ragscope.plans.common import r6
 from ragscope.plans.oracle_analytics import EVALS_CTE
 from ragscope.session import scratch_path
+from ragscope.sources import exports as EX
 from ragscope.sources import files as IO
 from ragscope.sources.tables import EVALS_COLUMNS, evals, read_table
 
@@ -20,7 +21,7 @@ LIST_SPEC = " run_00_s0, ,run_03_s1,run_99_s9 "
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "metric-export")
     IO.export_metrics(evals(spark, sf_dir), path)
-    back = IO.load_metrics(spark, folder=path, pattern=f"{IO.PART_COL}=*/*.parquet")
+    back = IO.load_metrics(spark, folder=path)
     return r6(back.select(*EVALS_COLUMNS))
 
 
@@ -34,6 +35,15 @@ def incremental_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(back.join(new, "session_id", "left").withColumn("added", F.coalesce("added", F.lit(False))))
 
 
+def export_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the record of two export runs, the second over all sessions, says of each session."""
+    ev, path = evals(spark, sf_dir), scratch_path(spark, "metric-export-twice")
+    IO.export_metrics(ev.where(F.col("session_id").endswith("_s0")), path)
+    IO.export_metrics(ev, path)
+    return EX.current(spark, path).groupBy(F.col("session").alias("session_id")).agg(
+        F.sum(F.when(F.col("live"), F.col("rows"))).alias("live_rows"), F.count_distinct("run").alias("n_runs"))
+
+
 def session_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = evals(spark, sf_dir)
     g = IO.select_sessions(ev, GLOB_SPEC).withColumn("spec", F.lit("glob"))
@@ -61,6 +71,7 @@ def dataset_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "export_roundtrip": export_roundtrip,
     "incremental_export": incremental_export,
+    "export_record": export_record,
     "session_select": session_select,
     "dataset_export": dataset_export,
 }
@@ -71,6 +82,9 @@ ORACLES = {
     "incremental_export": f"""with {EVALS_CTE}
 select session_id, count(*) as n, round(sum(latency_e2e_latency_ms), 6) as latency, count(distinct claim_id) as n_claims,
        not ends_with(session_id, '_s0') as added from evals where session_id is not null group by session_id""",
+    "export_record": f"""with {EVALS_CTE}
+select session_id, count(*) as live_rows, case when ends_with(session_id, '_s0') then 2 else 1 end as n_runs
+from evals where session_id is not null group by session_id""",
     "session_select": f"""with {EVALS_CTE}
 select distinct session_id, 'glob' as spec from evals where session_id glob '{GLOB_SPEC}'
 union all

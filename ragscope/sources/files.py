@@ -6,9 +6,8 @@ every row-level read and write is a Spark job.
 * ``load_metrics`` - explicit paths plus a sorted glob of a folder,
   concatenated by column name (missing columns null, int/double widened).
   Files with equal schemas are read together in one scan.
-* ``export_metrics`` / ``exported_sessions`` - one folder per session
-  (``partitionBy``), dynamic partition overwrite; incremental export skips
-  sessions already present (anti-join against the exported session ids).
+  Of a folder with an export record (``sources.exports``) the committed files count,
+  each session's last export.
 * ``read_corpus`` / ``corpus_count`` / ``iter_batches`` / ``lookup`` -
   corpus access by dataset id.
 * ``export_dataset`` - corpus + ground truth + ``metadata.json`` counts, the
@@ -20,86 +19,54 @@ every row-level read and write is a Spark job.
 from __future__ import annotations
 
 import datetime
+import fnmatch
 import json
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ragscope.functions.text import glob_to_regex
 from ragscope.operators.corpus import normalize_truth
+from ragscope.sources.exports import LOG, current, export_metrics, exported_sessions  # noqa: F401
+from ragscope.sources.fs import list_files, path_exists
 from ragscope.sources.tables import nan_to_null
 
 
-def _jvm_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm  # noqa: SLF001
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p  # noqa: SLF001
-
-
-def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    fs, p = _jvm_fs(spark, folder.rstrip("/") + "/" + pattern)
-    st = fs.globStatus(p)
-    return sorted(s.getPath().toString() for s in (st or []))
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _jvm_fs(spark, path)
-    return bool(fs.exists(p))
-
-
 def load_metrics(spark: SparkSession, paths: Sequence[str] | None = None, folder: str | None = None,
                  pattern: str = "*langfuse_export*.parquet") -> DataFrame:
     """All metric files of ``paths`` and, after them, of ``folder`` as one frame, by column name."""
     if not (paths or folder):
         raise ValueError("nothing to load: give `paths`, `folder` or both")
     found = list_files(spark, folder, pattern) if folder else []
-    if folder and not found:
+    groups: dict[str, list[str]] = {}
+    if folder and path_exists(spark, f"{folder.rstrip('/')}/{LOG}"):
+        # files of export runs: those of the last run of a session, read where they are; a run's files have one schema
+        entries = [e for e in current(spark, folder.rstrip("/")).collect() if fnmatch.fnmatch(e.file, pattern)]
+        ours = {e.file for e in entries}
+        there = {f.rsplit("/", 1)[1]: f for f in found}
+        found = [f for name, f in there.items() if name not in ours]
+        for e in sorted(entries, key=lambda e: e.file):
+            if e.live:
+                groups.setdefault(e.run, []).append(there.get(e.file, e.staged))
+    if folder and not found and not groups:
         raise FileNotFoundError(f"{folder} holds no file that matches {pattern}")
-    resolved = [*(paths or []), *found]
     # one scan for all files of a schema, however many files there are
-    groups: dict[str, list[str]] = {}
-    for p in resolved:
-        groups.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
-    frames = [spark.read.parquet(*ps) for ps in groups.values()]
+    by_schema: dict[str, list[str]] = {}
+    for p in [*(paths or []), *found]:
+        by_schema.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
+    for ps in groups.values():
+        by_schema.setdefault(spark.read.parquet(ps[0]).schema.json(), []).extend(ps)
+    frames = [spark.read.parquet(*ps) for ps in by_schema.values()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return nan_to_null(out)
 
 
-def export_metrics(wide: DataFrame, path: str, session_col: str = "session_id", skip_existing: bool = False) -> DataFrame:
-    """Write one folder per session; returns the distinct sessions written."""
-    spark = wide.sparkSession
-    todo = wide.where(F.col(session_col).isNotNull())
-    if skip_existing and path_exists(spark, path):
-        done = exported_sessions(spark, path, session_col)
-        todo = todo.join(done, session_col, "left_anti")
-    # Partition on a copy so every file still carries its session column; the
-    # salt lets a session with most rows be written by several tasks.
-    salted = todo.withColumn(PART_COL, F.col(session_col)).repartition(F.col(PART_COL), F.pmod(F.xxhash64(*_hashable(todo)), F.lit(SESSION_FILES)))
-    (salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART_COL).parquet(path))
-    return todo.select(session_col).distinct()
-
-
-PART_COL = "_session"
-SESSION_FILES = 4  # files that one session's rows go to
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-
-
-def exported_sessions(spark: SparkSession, path: str, session_col: str = "session_id") -> DataFrame:
-    """Distinct session ids already exported: the partition column as Spark reads it, so
-    ids that folder names escape come back as they were."""
-    part = spark.read.schema(f"{PART_COL} string").option("basePath", path).parquet(path)
-    return part.select(F.col(PART_COL).alias(session_col)).distinct()
-
-
 def read_exported(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(path))
+    """The last committed export of every session."""
+    return load_metrics(spark, folder=path)
 
 
 def dataset_path(base: str, dataset_id: str, name: str) -> str:

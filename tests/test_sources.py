@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ragscope.operators.corpus import normalize_truth
 from ragscope.session import scratch_path
+from ragscope.sources import exports
 from ragscope.sources.files import export_metrics, exported_sessions, load_metrics, read_exported
 from ragscope.sources.tables import nan_to_null
 
@@ -48,6 +49,50 @@ def test_incremental_export(spark):
     assert names(read_exported(spark, path).select("session_id")) == [odd, "s1", "s2"]
 
 
+def test_a_run_that_dies_before_its_commit_shows_nothing(spark, monkeypatch):
+    path = scratch_path(spark, "t-export-dies")
+    df = spark.createDataFrame([("s1", i) for i in range(50)] + [("s2", 9)], "session_id string, v int")
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exports, "_commit", dies)
+        with pytest.raises(OSError):
+            export_metrics(df, path)
+    with pytest.raises(FileNotFoundError):
+        load_metrics(spark, folder=path)
+    assert exported_sessions(spark, path).count() == 0
+    assert export_metrics(df, path, skip_existing=True).count() == 2
+    assert sorted(r.v for r in read_exported(spark, path).collect()) == sorted([*range(50), 9])
+    with monkeypatch.context() as m:  # committed, but not moved
+        m.setattr(exports, "_publish", lambda *_: None)
+        export_metrics(spark.createDataFrame([("s3", 70), ("s1", 71)], "session_id string, v int"), path)
+    rows = sorted((r.session_id, r.v) for r in load_metrics(spark, folder=path).collect())
+    assert rows == [("s1", 71), ("s2", 9), ("s3", 70)]  # the last export of s1 replaces the first
+    assert export_metrics(df, path, skip_existing=True).count() == 0  # moves what the run before left
+    assert sorted((r.session_id, r.v) for r in load_metrics(spark, folder=path).collect()) == rows
+    names = [f.rsplit("/", 1)[1] for f in exports.list_files(spark, path, "*.parquet")]
+    assert sorted({n.split("_langfuse_export_")[1].split("_")[0] for n in names}) == ["s1", "s2", "s3"]
+    recorded = {r.session: r.n for r in exports.current(spark, path).where("live").groupBy("session").agg(F.sum("rows").alias("n")).collect()}
+    assert recorded == {"s1": 1, "s2": 1, "s3": 1}
+
+
+def test_runs_at_the_same_time(spark):
+    import threading
+
+    path = scratch_path(spark, "t-export-both")
+    df = spark.createDataFrame([(f"s{i % 5}", i) for i in range(200)], "session_id string, v int")
+    runs = [threading.Thread(target=export_metrics, args=(df, path)) for _ in range(2)]
+    for r in runs:
+        r.start()
+    for r in runs:
+        r.join()
+    assert sorted(r.v for r in read_exported(spark, path).collect()) == list(range(200))
+    assert exports.record(spark, path).select("run").distinct().count() == 2
+    assert exports.list_files(spark, f"{path}/{exports.STAGING}", "*") == []
+
+
 def test_all_null_columns_and_nan(spark):
     base = _local(scratch_path(spark, "t-truth"))
     import os
