@@ -35,7 +35,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = substring_dedup.P
     return substring_dedup.parse(_docs(spark, sf_dir)).select(
         "doc_id", F.col(p + "words").alias("n_words"), F.col(p + "removed").alias("n_removed"),
-        F.sha2(F.col(p + "kept").cast("binary"), 256).alias("kept_sha256"), F.size(p + "factors").cast("long").alias("n_factors"))
+        F.sha2(F.col(p + "kept").cast("binary"), 256).alias("kept_sha256"), F.size(F.filter(p + "factors", lambda f: ~f["boundary"])).cast("long").alias("n_factors"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

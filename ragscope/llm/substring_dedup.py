@@ -1,22 +1,26 @@
-"""Substring dedup by window matching against sharded reference blocks.
-
-Every ``WINDOW``-word window of a document gets the smallest earlier document that
-has it; factors are runs of neighbouring windows with the same document.  This is
-no relative Lempel-Ziv parse: positions in the reference are not kept, since the
-words of all repeated windows are the same however they are parsed, so a factor is
-neither greedy nor the longest and need not be one passage of its document.
-Words covered by a factor are duplicates.
+"""Substring dedup by relative Lempel-Ziv parsing against sharded reference blocks.
+
+The reference holds every ``WINDOW``-word window of the corpus once, at its first
+place: the smallest id, there the first word.  Each document is parsed from left to
+right: at a word whose window has a place in an earlier document the factor is the
+longest stretch of words that runs on from that place (unique, since the reference
+has each window once), and parsing goes on behind it; other words are literals.
+Windows that begin in a factor but reach over its end are checked at that boundary,
+and become factors of their own (``boundary``).  Every factor is one passage of its
+reference document, of ``WINDOW`` words at least; the words of factors are duplicates,
+which are just the words of all repeated windows.
 
 The reference is indexed in blocks, one per shard of a hash space.  Every window
 is filed under its minimizer (the smallest hash of the ``SEED``-word seeds in it):
 equal windows have equal minimizers, so a window meets all its equals in one
 block, and neighbouring windows mostly share a minimizer, so a block entry is a
-run of windows: 8 bytes of seed, a start, and 6 bytes a window (equality is that
+run of windows: 8 bytes of seed, its place, and 6 bytes a window (equality is that
 of 112 bits: the seed's hash and the window's).
 
 Jobs: (1) index entries as packed arrays, one blob per task slice and block;
-(2) each block finds the smallest document of every window that has several and
-answers the later ones; (3) answers join their documents by row identity.
+(2) each block finds the first place of every window that has several and
+answers the later ones with stretches of places; (3) answers join their documents
+by row identity, and each document is parsed.
 A seed that many documents of one slice have (``HOT`` runs) sends one entry per
 distinct window instead of one per document; its documents get their answers in
 a second pass that joins them with the blocks' results, so a passage that a
@@ -24,9 +28,10 @@ third of all documents share is never gathered in one task.
 
 Edge cases: null and empty texts have no words and come out unchanged; fewer
 than ``WINDOW`` words: nothing removed; a null id counts as larger than all ids;
-rows with the same id do not remove each other's words; rows equal in id and
-text get the same result each; ids must be integers; other columns are kept
-whatever their names.
+rows with the same id do not remove each other's words (a place is in one of them,
+told by the row's hash); rows equal in id and text get the same result each; a
+reference text that repeats itself has each window once, so its later repeats are
+factors of the first; ids must be integers; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -50,9 +55,13 @@ HOT = 64
 P = "_s_"
 _LAST = np.iinfo(np.int64).max  # a null id
 
-_RUN = np.dtype([("start", "<u4"), ("len", "<u4"), ("ref", "<i8")])
-FACTORS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ref", T.LongType())]))
-_FACTORS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref", pa.int64())]))
+#: Neighbouring windows and the neighbouring places they have in one earlier row: ``row`` is 32 bits of its hash.
+_RUN = np.dtype([("start", "<u4"), ("len", "<u4"), ("at", "<u4"), ("row", "<u4"), ("ref", "<i8")])
+#: Hot windows with their first place in a slice or block: seed, window, id, row, word.
+_PLACES = ("<u8", "<u8", "<i8", "<i8", "<u4")
+_FACTOR = [("start", pa.int64()), ("length", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64()), ("boundary", pa.bool_())]
+FACTORS = T.ArrayType(T.StructType([T.StructField(c, T.BooleanType() if c == "boundary" else T.LongType()) for c, _ in _FACTOR]))
+_FACTORS_ARROW = pa.list_(pa.struct(_FACTOR))
 
 
 # -- windows and their minimizers -------------------------------------------------------
@@ -109,14 +118,16 @@ def _entries(part: pa.RecordBatch, shards: int, hot: int, details: bool) -> Iter
     if is_hot.any():
         chosen = np.flatnonzero(is_hot)
         own = np.repeat(chosen, count[chosen])
-        s, t, d = seed[own], tails[ranges(at[chosen], count[chosen])], ids[doc[own]]
-        order = np.lexsort((d, t, s))
-        s, t, d = s[order], t[order], d[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])])
-        s, t, d = s[new], t[new], d[new]
-        summary = {b: (s[p], t[p], d[p]) for b, p in split_by((s >> np.uint64(33)).astype(np.int64) % shards)}
+        place = ranges(at[chosen], count[chosen])
+        word = start[own] + place - at[own]
+        order = np.lexsort((word, rows[doc[own]], ids[doc[own]], tails[place], seed[own]))
+        own, place, word = own[order], place[order], word[order]
+        new = np.concatenate([[True], (seed[own][1:] != seed[own][:-1]) | (tails[place][1:] != tails[place][:-1])])
+        own, place, word = own[new], place[new], word[new]
+        summary = {b: (seed[own[p]], tails[place[p]], ids[doc[own[p]]], rows[doc[own[p]]], word[p].astype("<u4"))
+                   for b, p in split_by((seed[own] >> np.uint64(33)).astype(np.int64) % shards)}
     normal = {b: np.flatnonzero(~is_hot)[p] for b, p in split_by(block[~is_hot])}
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    none = tuple(np.zeros(0, d) for d in _PLACES)
     for b in normal.keys() | summary.keys():
         yield b, pack_arrays(*[np.frombuffer(blob(normal.get(b, np.zeros(0, np.int64))), "u1")], *summary.get(b, none))
 
@@ -152,15 +163,16 @@ class Runs:
         self.at = np.cumsum(self.count) - self.count
 
 
-def _answers(run: np.ndarray, offset: np.ndarray, ref: np.ndarray, r: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """Document rows, and (start, length, ref) records of windows (run number, place in
-    the run) whose first occurrence is in ``ref``."""
+def _answers(run: np.ndarray, offset: np.ndarray, ref: np.ndarray, row: np.ndarray, at: np.ndarray, r: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Document rows, and records of windows (run number, place in the run) whose first
+    place is word ``at`` of the row ``row`` with the id ``ref``."""
     start = r.start[run].astype(np.int64) + offset
     head = np.ones(len(run), dtype=bool)
-    head[1:] = (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1) | (ref[1:] != ref[:-1])
+    head[1:] = (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1) | (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(head)
     rec = np.zeros(len(first), _RUN)
     rec["start"], rec["len"], rec["ref"] = start[first], np.diff(np.append(first, len(run))), ref[first]
+    rec["at"], rec["row"] = at[first], (row[first] & 0xFFFFFFFF)
     return r.rows[r.doc[run[first]]], rec
 
 
@@ -189,11 +201,11 @@ def _solve_block(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | No
     """Answers of a block, and its results for windows of hot seeds."""
     inner, sums = [], []
     for blob in blobs:
-        runs, s, t, d = unpack_arrays(blob, "u1", "<u8", "<u8", "<i8")
+        runs, *places = unpack_arrays(blob, "u1", *_PLACES)
         inner.append(runs.tobytes())
-        sums.append((s, t, d))
+        sums.append(places)
     r = Runs(inner)
-    hot_seed, hot_tail, hot_id = (np.concatenate(c) for c in zip(*sums, strict=True))
+    hot_seed, hot_tail, hot_id, hot_row, hot_at = (np.concatenate(c) for c in zip(*sums, strict=True))
     # seeds of one entry only have nothing to compare
     seeds = np.concatenate([r.seed, hot_seed])
     _, rank, many = np.unique(seeds, return_inverse=True, return_counts=True)
@@ -202,20 +214,29 @@ def _solve_block(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | No
     run = np.flatnonzero(keep[: len(r.seed)])
     own = np.repeat(run, r.count[run])
     place = ranges(r.at[run], r.count[run])
+    offset = place - r.at[own]
     tail = np.unique(np.concatenate([r.tails[place], hot_tail]), return_inverse=True)[1]
     key = np.concatenate([rank[own], rank[len(r.seed):]]).astype(np.int64) << 32 | tail.astype(np.int64)
-    ids = np.concatenate([r.ids[r.doc[own]], hot_id])
+    # places in order: rows by id and hash, then words
+    ids, rows = np.concatenate([r.ids, hot_id]), np.concatenate([r.rows, hot_row])
+    order = np.lexsort((rows, ids))
+    rank_of = np.empty(len(order), np.int64)
+    rank_of[order] = np.arange(len(order))
+    doc = np.concatenate([r.doc[own], np.arange(len(r.ids), len(ids))])
+    word = np.concatenate([r.start[own].astype(np.int64) + offset, hot_at.astype(np.int64)])
     windows, which = np.unique(key, return_inverse=True)
     least = np.full(len(windows), _LAST, np.int64)
-    np.minimum.at(least, which, ids)
-    ref = least[which]
-    later = np.flatnonzero(ids[: len(own)] > ref[: len(own)])
-    rows, records = _answers(own[later], place[later] - r.at[own[later]], ref[later], r)
+    np.minimum.at(least, which, rank_of[doc] << 32 | word)
+    first = least[which]
+    source, at = order[first >> 32], first & 0xFFFFFFFF
+    later = np.flatnonzero(ids[doc[: len(own)]] > ids[source[: len(own)]])
+    answered, records = _answers(own[later], offset[later], ids[source[later]], rows[source[later]], at[later], r)
     result = None
     if len(hot_seed):
-        pairs = np.unique(np.stack([hot_seed, hot_tail, ref[len(own):].view(np.uint64)]), axis=1)
-        result = pack_arrays(pairs[0], pairs[1], pairs[2].view(np.int64))
-    return rows, records, result
+        source, at = source[len(own):], at[len(own):]
+        _, one = np.unique(key[len(own):], return_index=True)
+        result = pack_arrays(hot_seed[one], hot_tail[one], ids[source[one]], rows[source[one]], at[one].astype("<u4"))
+    return answered, records, result
 
 
 def _solve(index: DataFrame, buckets: int) -> DataFrame:
@@ -239,15 +260,17 @@ def _look_up(details: DataFrame, results: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for entries, result in zip(batch.column("entries").to_pylist(), batch.column("answer").to_pylist(), strict=True):
                 r = Runs([entries])
-                seed, tail, ref = unpack_arrays(result, "<u8", "<u8", "<i8")
+                seed, tail, ref, row, word = unpack_arrays(result, *_PLACES)
                 own = np.repeat(np.arange(len(r.seed)), r.count)
                 seeds, tails = np.unique(seed), np.unique(tail)
                 join = lambda s, t: np.searchsorted(seeds, s) << 32 | np.searchsorted(tails, t)
                 key, asked = join(seed, tail), join(r.seed[own], r.tails)
                 order = np.argsort(key)
-                found = ref[order][np.searchsorted(key[order], asked)]  # every window of a hot seed has a result
-                later = np.flatnonzero(r.ids[r.doc[own]] > found)
-                bucket, answer = _by_bucket(*_answers(own[later], later - r.at[own[later]], found[later], r), buckets)
+                found = order[np.searchsorted(key[order], asked)]  # every window of a hot seed has a result
+                later = np.flatnonzero(r.ids[r.doc[own]] > ref[found])
+                found = found[later]
+                answered = _answers(own[later], later - r.at[own[later]], ref[found], row[found], word[found].astype(np.int64), r)
+                bucket, answer = _by_bucket(*answered, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(answer, pa.binary())], names=["key", "answer"])
 
     joined = details.join(results.select(F.col("key").cast("int").alias("block"), "answer"), "block")
@@ -256,21 +279,33 @@ def _look_up(details: DataFrame, results: DataFrame, buckets: int) -> DataFrame:
 
 # -- parsing ---------------------------------------------------------------------------
 
-def factors_of(records: bytes) -> np.ndarray:
-    """Greedy factors (start, len in words, ref) of a document from its windows' records, sorted by start."""
+def factors_of(records: bytes) -> list[tuple[int, int, int, int, bool]]:
+    """Factors (start, length in words, id and first word of the passage, boundary) of a
+    document, from its windows' places sorted by start: left to right, the longest at each word."""
     rec = np.frombuffer(records, _RUN)
-    end = rec["start"].astype(np.int64) + rec["len"]
-    head = np.flatnonzero(np.concatenate([[True], (rec["start"][1:] != end[:-1]) | (rec["ref"][1:] != rec["ref"][:-1])]))
-    out = np.zeros(len(head), _RUN)
-    out["start"], out["ref"] = rec["start"][head], rec["ref"][head]
-    out["len"] = end[np.append(head[1:], len(rec)) - 1] - rec["start"][head] + WINDOW - 1
+    start, at = rec["start"].astype(np.int64), rec["at"].astype(np.int64)
+    end = start + rec["len"]
+    same = (start[1:] == end[:-1]) & (at[1:] - at[:-1] == start[1:] - start[:-1])
+    same &= (rec["ref"][1:] == rec["ref"][:-1]) & (rec["row"][1:] == rec["row"][:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    last = end[np.append(head[1:], len(rec)) - 1]
+    out, reached = [], 0
+    for a, b, ref, word in zip(start[head].tolist(), last.tolist(), rec["ref"][head].tolist(), at[head].tolist(), strict=True):
+        over = min(b, reached) - a
+        if over > 0:  # these windows begin in the last factor and reach over its end
+            out.append((a, over + WINDOW - 1, ref, word, True))
+        at_word = max(a, reached)
+        if at_word < b:
+            reached = b + WINDOW - 1
+            out.append((at_word, reached - at_word, ref, word + at_word - a, False))
     return out
 
 
 def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = None, hot: int = HOT) -> DataFrame:
     """``docs`` with ``_s_words`` (words before), ``_s_removed`` (words that factors
-    cover), ``_s_factors`` (start, length, ref: first words, numbers of words, ids of the
-    earlier documents) and ``_s_kept`` (the other words, joined by one space)."""
+    cover), ``_s_factors`` (start, length, ref, ref_start: first word, number of words, id
+    of the earlier document, first word there; boundary: found at a factor's end) and
+    ``_s_kept`` (the other words, joined by one space)."""
     spark = docs.sparkSession
     rows = docs.select(row_id(F.col(key), F.col(text)).alias("_row"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     shards = shards or shard_count(spark, 1)
@@ -293,7 +328,7 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     # texts travel compressed: they are most of what the join shuffles
     sent = docs.withColumn("_s_own", row_id(F.col(key), F.col(text))).mapInArrow(compress, packed)
     joined = sent.join(by_row, F.col("_s_own") == F.col("_s_row"), "left")
-    text_type = pa.string()
+    text_type, names_of = pa.string(), [c for c, _ in _FACTOR]
     added = [T.StructField(P + "words", T.LongType()), T.StructField(P + "removed", T.LongType()), T.StructField(P + "factors", FACTORS), T.StructField(P + "kept", T.StringType())]
 
     def run(batches):
@@ -305,11 +340,11 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
                 count, removed, factors, kept = [], [], [], []
                 for value, own in zip(texts, answers, strict=True):
                     words = (value or "").encode().split()
-                    found = factors_of(own) if own else np.zeros(0, _RUN)
-                    gone = covered(found["start"].astype(np.int64), found["len"].astype(np.int64), len(words))
+                    found = factors_of(own) if own else []
+                    gone = covered(np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64), len(words))
                     count.append(len(words))
                     removed.append(int(gone.sum()))
-                    factors.append([{"start": int(a), "length": int(n), "ref": int(r)} for a, n, r in found.tolist()])
+                    factors.append([dict(zip(names_of, f, strict=True)) for f in found])
                     kept.append(b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g] if own else words).decode())
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(texts, text_type) if c == text else part.column(c) for c in names], pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, _FACTORS_ARROW), pa.array(kept, pa.string())],

@@ -55,8 +55,7 @@ def test_against_brute_force(spark, hot):
         own = (r.text or "").split()
         for f in r[P + "factors"]:
             assert f.length >= 13 and f.ref < (r.doc_id if r.doc_id is not None else 1 << 62)
-            part = " " + " ".join(own[f.start: f.start + 13]) + " "
-            assert any(part in " " + " ".join(w) + " " for w in by[f.ref])
+            assert any(own[f.start: f.start + f.length] == w[f.ref_start: f.ref_start + f.length] for w in by[f.ref])
 
 
 def test_empty(spark):
@@ -76,9 +75,64 @@ def test_runs_cover_all_windows_and_equal_windows_meet():
     assert len(set(seen.values())) == len(seen)
 
 
-def test_factors_are_greedy():
-    rec = np.array([(0, 3, 5), (3, 1, 5), (4, 2, 9), (20, 2, 5)], _RUN)
-    assert factors_of(rec.tobytes()).tolist() == [(0, 16, 5), (4, 14, 9), (20, 14, 5)]
+def brute_factors(docs, n=13):
+    """Greedy parse against a reference that has each window once, at its first place; ids differ."""
+    place = {}
+    for d, t in sorted(docs):
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            place.setdefault(tuple(w[i: i + n]), (d, i))
+    out = {}
+    for d, t in docs:
+        w = t.split()
+        where = [place[tuple(w[i: i + n])] for i in range(len(w) - n + 1)]
+        where = [p if p[0] < d else None for p in where]
+
+        def longest(i, to):
+            k = 1
+            while i + k < to and where[i + k] == (where[i][0], where[i][1] + k):
+                k += 1
+            return k
+
+        i, found = 0, []
+        while i < len(where):
+            if where[i] is None:
+                i += 1
+                continue
+            k = longest(i, len(where))
+            found.append((i, k + n - 1, *where[i], False))
+            end, j = i + k + n - 1, i + k
+            while j < min(end, len(where)):
+                if where[j] is None:
+                    j += 1
+                    continue
+                k = longest(j, min(end, len(where)))
+                found.append((j, k + n - 1, *where[j], True))
+                j += k
+            i = end
+        out[d] = sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_greedy_parse_against_brute_force(spark, hot):
+    docs = list({d: t for d, t in data() if d is not None and t is not None}.items())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = brute_factors(docs)
+    got = {r.doc_id: sorted(tuple(f) for f in r[P + "factors"]) for r in parse(df, hot=hot).collect()}
+    assert got == want
+    assert any(f[4] for own in want.values() for f in own) and any(f[1] >= 20 for own in want.values() for f in own)
+    for own in got.values():  # factors of the parse follow each other, boundary factors reach over one's end
+        ends = [(a, a + n) for a, n, _, _, over in own if not over]
+        assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:], strict=False))
+        assert all(any(a < e < a + n for _, e in ends) for a, n, _, _, over in own if over)
+
+
+def test_factors_are_the_longest_and_boundaries_are_checked():
+    # windows 0-2 and 3 of one passage, 4-5 of another over its end (word 16), 16-17 go on there, 30 is apart
+    rec = np.array([(0, 3, 50, 1, 5), (3, 1, 53, 1, 5), (4, 2, 7, 1, 9), (6, 12, 90, 2, 9), (30, 1, 0, 1, 5)], _RUN)
+    assert factors_of(rec.tobytes()) == [
+        (0, 16, 5, 50, False), (4, 14, 9, 7, True), (6, 22, 9, 90, True), (16, 14, 9, 100, False), (30, 13, 5, 0, False)]
 
 
 def test_packed_arrays():
