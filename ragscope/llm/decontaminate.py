@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ragscope.llm.fm_index import FMIndex
 from ragscope.llm.jobs import row_id, saved
+from ragscope.llm.memory import after_task
 from ragscope.llm.words import ALNUM, Words, covered, find_words, slices
 
 WINDOW = 10
@@ -124,7 +125,7 @@ def _search(docs: DataFrame, text: str, block, all_rows: bool) -> DataFrame:
                     names=[*part.schema.names, *[f.name for f in ADDED]])
                 yield out if all_rows else out.filter(pa.array([bool(s) for s in spans]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(after_task(run), schema)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[object, str]]]:
@@ -209,4 +210,4 @@ def cut(found: DataFrame, text: str = "text") -> DataFrame:
                 arrays = [pa.array(texts, kind) if c == text else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(after_task(run), schema)

@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from ragscope.llm.bloom import bloom_of
 from ragscope.llm.jobs import row_id, saved
+from ragscope.llm.memory import after_task
 from ragscope.llm.words import mix, slices
 
 #: Lines the rolling hash looks at; markings laid over each other; share of places that are
@@ -118,7 +119,7 @@ def _hash_rows(docs: DataFrame) -> DataFrame:
             for *_, c in _chunked(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(c["hash"], pa.int64())], names=["hash"])
 
-    return docs.select("_text").mapInArrow(run, "hash long")
+    return docs.select("_text").mapInArrow(after_task(run), "hash long")
 
 
 def _body_rows(docs: DataFrame, wanted) -> DataFrame:
@@ -155,7 +156,7 @@ def _body_rows(docs: DataFrame, wanted) -> DataFrame:
                 if bodies:
                     yield out(part, c, may[done:], bodies, before, after, first)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(after_task(run), schema)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -208,7 +209,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(removed, pa.int64())],
                                              names=[f.name for f in schema.fields])
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs_names], "_l_spans").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in docs_names], "_l_spans").mapInArrow(after_task(run), schema)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

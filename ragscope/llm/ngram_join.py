@@ -42,6 +42,7 @@ from ragscope.llm.blobs import pack_arrays, ranges, split_by, unpack_arrays
 from ragscope.llm.bloom import bloom_of
 from ragscope.llm.components import components
 from ragscope.llm.jobs import row_id, saved, shard_count
+from ragscope.llm.memory import after_group, after_task
 from ragscope.llm.words import find_words, ngram_hashes, slices
 
 SHINGLE, THRESHOLD = 4, 85
@@ -122,7 +123,7 @@ def _identities(rows: DataFrame, n: int) -> DataFrame:
                 pa.nulls(_SLOTS, key_type), *[pa.nulls(_SLOTS, pa.int64())] * 3, pa.array(range(_SLOTS), pa.int32()),
                 pa.array([pack_arrays(c) for c in np.split(counts, _SLOTS)], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(after_task(run), schema)
 
 
 def _sketch(found: DataFrame) -> np.ndarray:
@@ -241,8 +242,8 @@ def _sharing(rows: DataFrame, sketch, n: int, t: int, shards: int, hot: int) ->
                          pa.array([token[a:b].astype("<u8").tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())],
                         names=["sid", "n", "leader", "tokens"])
 
-    found = rows.select("_text").mapInArrow(entries, "shard int, entries binary").groupBy("shard").applyInArrow(solve, "bucket int, found binary")
-    return found.groupBy("bucket").applyInArrow(gather, "sid long, n long, leader long, tokens binary")
+    found = rows.select("_text").mapInArrow(after_task(entries), "shard int, entries binary").groupBy("shard").applyInArrow(after_group(solve), "bucket int, found binary")
+    return found.groupBy("bucket").applyInArrow(after_group(gather), "sid long, n long, leader long, tokens binary")
 
 
 # -- job 3: groups -------------------------------------------------------------------------
@@ -357,7 +358,7 @@ def _groups(rows: DataFrame, found: DataFrame, placed: DataFrame, n: int, t: int
             pa.array([None, *[a for a, _ in links]], pa.int64()), pa.array([None, *[b for _, b in links]], pa.int64())],
             names=["block", "members", "a", "b"])
 
-    members = rows.select("_row", "_text").mapInArrow(sets, "_row long, sid long, set binary").join(
+    members = rows.select("_row", "_text").mapInArrow(after_task(sets), "_row long, sid long, set binary").join(
         wanted.select("_want", "blocks"), F.col("_row") == F.col("_want"))
     return members.select(F.explode("blocks").alias("block"), "sid", "set").groupBy("block").applyInArrow(pack, "block long, members binary, a long, b long")
 
@@ -432,8 +433,8 @@ def _questions(placed: DataFrame, comps: DataFrame, t: int, shards: int) -> Data
         return pa.table([pa.array(sid[head][keep], pa.int64()), pa.array(block[head][keep], pa.int64())], names=["sid", "block"])
 
     # few bytes but much work: a task for each shard, not as few as the bytes would fill
-    asked = labelled.mapInArrow(entries, "shard int, entries binary").repartition(shards, "shard").groupBy("shard").applyInArrow(ask, "bucket int, found binary")
-    return asked.groupBy("bucket").applyInArrow(enough, "sid long, block long")
+    asked = labelled.mapInArrow(after_task(entries), "shard int, entries binary").repartition(shards, "shard").groupBy("shard").applyInArrow(after_group(ask), "bucket int, found binary")
+    return asked.groupBy("bucket").applyInArrow(after_group(enough), "sid long, block long")
 
 
 def _answers(questions: DataFrame, groups: DataFrame, comps: DataFrame, t: int) -> DataFrame:
@@ -456,10 +457,10 @@ def _answers(questions: DataFrame, groups: DataFrame, comps: DataFrame, t: int)
         for batch in batches:
             yield batch.filter(pa.array(asked_of.value.may_have(batch.column("block").to_numpy(zero_copy_only=False))))
 
-    blocks = all_blocks.mapInArrow(targeted, "block long, members binary")
+    blocks = all_blocks.mapInArrow(after_task(targeted), "block long, members binary")
     parts = questions.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
     asked = questions.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).select("sid", "block", "part")
-    tokens = all_blocks.select("members").mapInArrow(sets, "sid long, set binary").dropDuplicates(["sid"])
+    tokens = all_blocks.select("members").mapInArrow(after_task(sets), "sid long, set binary").dropDuplicates(["sid"])
     queries = asked.join(tokens, "sid")
     targets = blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "members")
 

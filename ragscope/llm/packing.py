@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.llm.blobs import ranges
+from ragscope.llm.memory import after_task
 from ragscope.llm.words import NON_SPACE, Words, find_words, hash_spans, slices
 
 WINDOW = 2048
@@ -58,7 +59,7 @@ class WordTokenizer:
     hash, as sorted arrays.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -299,4 +300,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         if buffer:
             yield out()
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    return rows.mapInArrow(after_task(run), schema).withColumnRenamed("_key", key)

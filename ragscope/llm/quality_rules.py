@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragscope.llm.memory import after_task
 from ragscope.llm.words import LINE, LOWER, NON_SPACE, Words, covered, find_words, hash_spans, mix, ngram_hashes, per_doc, repeats, slices
 
 #: Labelled rows the list is learned from (a documented bound; all documents are scored).
@@ -113,7 +114,7 @@ def with_stats(docs: DataFrame, words: list[str], text: str = "text") -> DataFra
                     [*part.columns, *[pa.array(counts[c], pa.int64()) for c in COUNTS]],
                     names=[*part.schema.names, *[P + c for c in COUNTS]])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(after_task(run), schema)
 
 
 def _list_hashes(words: list[str]) -> np.ndarray:
@@ -184,7 +185,7 @@ def _word_list(sample: DataFrame) -> list[str]:
                 pa.array([bad[r] for r in rows], pa.int64()), pa.array([good[r] for r in rows], pa.int64())],
                 names=["word", "bad", "good"])
 
-    counts = sample.mapInArrow(run, "word string, bad long, good long").groupBy("word").agg(
+    counts = sample.mapInArrow(after_task(run), "word string, bad long, good long").groupBy("word").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     chosen = counts.where((F.col("bad") >= least) & (F.col("bad") >= LIST_PRECISION * (F.col("bad") + F.col("good"))))
     return sorted(r.word for r in chosen.orderBy(F.desc("bad"), "word").limit(LIST_WORDS).collect())
