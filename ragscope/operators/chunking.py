@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ragscope.functions.text import is_blank, py_strip
 from ragscope.operators.quantiles import quantile_wide
+from ragscope.session import scratch_path
 
 _PIECES = T.ArrayType(T.StructType([
     T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())]))
@@ -96,10 +97,15 @@ def chunk(corpus: DataFrame, strategy: str | None = None, size: int = 500, overl
 
 def chunk_profile(chunks: DataFrame) -> DataFrame:
     """Total chunks, documents split into more than one chunk, chunks that
-    start mid-document, and chunk-length summary with quartiles (one row)."""
-    ln = F.char_length("text").cast("double")
-    quartiles = quantile_wide(chunks.select(ln.alias("len")), ["len"], [0.25, 0.5, 0.75]).first()
-    return chunks.agg(
+    start mid-document, and chunk-length summary with quartiles (one row).
+
+    The lengths are written once and read by every pass, so chunks are made once."""
+    spark = chunks.sparkSession
+    path = scratch_path(spark, "chunk-lengths")
+    chunks.select("doc_id", "chunk_index", F.char_length("text").cast("double").alias("len")).write.parquet(path)
+    lengths, ln = spark.read.parquet(path), F.col("len")
+    quartiles = quantile_wide(lengths.select("len"), ["len"], [0.25, 0.5, 0.75]).first()
+    return lengths.agg(
         F.count(F.lit(1)).alias("total_chunks"),
         # fixed chunking numbers emitted chunks only: index > 0 <=> split
         F.count_distinct(F.when(F.col("chunk_index") > 0, F.col("doc_id"))).alias("split_docs"),
