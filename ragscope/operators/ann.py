@@ -2,8 +2,8 @@
 
 Index rows are filed in the cell of their nearest centroid; centroids come from
 k-means on a bounded sample of the index (``SAMPLE_ROWS`` rows, at most ``MOST_CELLS``
-cells), all rows are filed.  Cells are laid end to end in parts of about
-``PART_ROWS`` rows, queries likewise in blocks, so near queries share a block and near
+cells), all rows are filed.  Cells are laid end to end in parts of
+``PART_ROWS`` rows or more, queries likewise in blocks, so near queries share a block and near
 rows a part.  A block first meets the part in which its queries' bounds are highest;
 the k-th scores found there rule out most cells of clustered vectors, and only
 parts with a cell that some query may still gain from are met at all.  The bounds decide
@@ -24,7 +24,8 @@ from ragscope.operators.ordering import written
 from ragscope.operators.retrieval import EMPTY, check, vector_rows
 
 SAMPLE_ROWS, MOST_CELLS, ROUNDS = 20_000, 4096, 8
-PART_ROWS, BLOCK_ROWS = 8192, 1024
+#: The least; larger tables are cut into ``vectors.GRID`` parts and blocks, until these have ``MOST_ROWS`` rows.
+PART_ROWS, BLOCK_ROWS, MOST_ROWS = 8192, 1024, 65_536
 
 
 def centroids(rows: np.ndarray, cells: int) -> np.ndarray:
@@ -42,6 +43,10 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres * centres).sum(1)[None, :] - 2 * rows @ centres.T, axis=1)
 
 
+def slices(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows[i : i + 1024] for i in range(0, len(rows), 1024)]
+
+
 def _filed(rows: DataFrame, centres, metric: str) -> DataFrame:
     """(id, v, cell): every row with its nearest cell."""
 
@@ -64,10 +69,10 @@ def _dealt(filed: DataFrame, name: str, limit: int) -> tuple[DataFrame, int]:
         if n > room and room < limit:
             at, room = at + 1, limit
         first[cell], many[cell] = at, max(1, -(-n // limit))
-        at, room = (at + many[cell] - 1, max(0, limit - n)) if n <= limit else (at + many[cell], limit)
+        at, room = (at, room - n) if n <= limit else (at + many[cell], limit)
     places = filed.sparkSession.createDataFrame([(c, first[c], many[c]) for c in first], "cell int, first int, many int")
     return filed.join(F.broadcast(places), "cell").select(  # bounded by MOST_CELLS
-        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias(name), "id", "v", "cell"), at + 1
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias(name), "id", "v", "cell"), max(first[c] + many[c] for c in first)
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine", query_id: str = "query_id", query_vec: str = "embedding",
@@ -82,12 +87,13 @@ def search(queries: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosi
         return spark.createDataFrame([], EMPTY), spark.createDataFrame([], "query_id long, visited long, cells long")
     rows = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(sample.num_rows, -1)
     rows = vectors.unit(rows) if metric == "cosine" else rows
-    cells = min(len(rows), MOST_CELLS, cells or max(1, math.isqrt(held.count())))
+    n_held, n_asked = held.count(), asked.count()
+    cells = min(len(rows), MOST_CELLS, cells or max(1, math.isqrt(n_held)))
     centres = spark.sparkContext.broadcast(centroids(rows, cells))
     filed = written(_filed(held, centres, metric), "filed")
-    own, n_parts = _dealt(filed, "part", PART_ROWS)
+    own, n_parts = _dealt(filed, "part", vectors.cut_at(n_held, PART_ROWS, MOST_ROWS))
     parts = written(vectors.packed(own, "part", metric), "index-parts")
-    own, _ = _dealt(written(_filed(asked, centres, metric), "asked"), "block", BLOCK_ROWS)
+    own, _ = _dealt(written(_filed(asked, centres, metric), "asked"), "block", vectors.cut_at(n_asked, BLOCK_ROWS, MOST_ROWS))
     blocks = written(vectors.packed(own, "block", metric), "query-blocks")
 
     def outlines(batches):
@@ -105,14 +111,15 @@ def search(queries: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosi
     def home(batches):
         number, centre, radius = outline.value
         for batch in batches:
-            at = [int(number[np.argmax(vectors.bounds(vectors.Pack.read(b).m, centre, radius, metric).sum(axis=0))]) for b in batch.column("block_blob").to_pylist()]
+            at = [int(number[np.argmax(sum(vectors.bounds(x, centre, radius, metric).sum(axis=0) for x in slices(vectors.Pack.read(b, metric).m)))]) for b in batch.column("block_blob").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(at, pa.int32())], names=["block", "part"])
 
     def reached(batches):
         number, centre, radius = outline.value
         for batch in batches:
             for block, blob, floor in zip(*[batch.column(c).to_pylist() for c in ("block", "block_blob", "floor")], strict=True):
-                gain = (vectors.bounds(vectors.Pack.read(blob).m, centre, radius, metric) >= np.frombuffer(floor, np.float64)[:, None]).any(axis=0)
+                gain = np.any([(vectors.bounds(x, centre, radius, metric) >= y[:, None]).any(axis=0) for x, y in zip(
+                    slices(vectors.Pack.read(blob, metric).m), slices(np.frombuffer(floor, np.float64)), strict=True)], axis=0)
                 some = np.unique(number[gain])
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array(some, pa.int32())], names=["block", "part"])
 

@@ -52,14 +52,15 @@ def top_k(
     doc_id: str = "doc_id",
     doc_vec: str = "embedding",
     exclude_self: bool = False,
-    block_bytes: int = 1 << 20,
-    part_bytes: int = 4 << 20,
+    block_bytes: int | None = None,
+    part_bytes: int | None = None,
 ) -> DataFrame:
     """``query_id, rank, doc_id, score`` for the k best documents per query.
 
     Ids must be integral (use a surrogate key for string ids).  ``metric``:
     ``cosine`` (default), ``ip`` (inner product) or ``l2`` (score = negated
-    squared distance, so higher is closer for all three).
+    squared distance, so higher is closer for all three).  Without ``block_bytes`` and
+    ``part_bytes`` both follow the tables' sizes (``vectors.cut_at``).
     """
     check(k, metric)
     spark = queries.sparkSession
@@ -68,6 +69,8 @@ def top_k(
     sizes = asked.agg(size.alias("n")).crossJoin(held.agg(size.alias("m"))).first()  # one row each
     if not sizes["n"] or not sizes["m"]:
         return spark.createDataFrame([], EMPTY)
+    block_bytes = block_bytes or vectors.cut_at(sizes["n"], 1 << 20, vectors.MOST_BYTES)
+    part_bytes = part_bytes or vectors.cut_at(sizes["m"], 4 << 20, vectors.MOST_BYTES)
     n_blocks, n_parts = -(-sizes["n"] // block_bytes), -(-sizes["m"] // part_bytes)
     dealt = lambda rows, name, n: vectors.packed(rows.select(
         F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name), "id", "v", F.lit(0).alias("cell")), name, metric)

@@ -26,6 +26,11 @@ from ragscope.operators.ordering import written
 METRICS = ("cosine", "ip", "l2")
 #: Relative room for rounding when a bound is held against a score.
 SLACK = 1e-9
+#: Queries and rows whose scores a task holds at once.
+SCAN_QUERIES, SCAN_ROWS = 1024, 2048
+#: Blocks, and parts, that a table is cut into, while each stays between the least and ``MOST_BYTES``: what meets in
+#: tasks is then this many times the table, and not its square.
+GRID, MOST_BYTES = 12, 32 << 20
 HITS = "query_id long, doc_id long, score double, visited int"
 
 
@@ -38,35 +43,44 @@ class Pack:
     first: np.ndarray  # of each cell, and the end
     centre: np.ndarray
     radius: np.ndarray
+    given: np.ndarray  # the vectors as they came, in which they travel: floats of 32 bits where those hold them exactly
 
     @staticmethod
     def of(table: pa.Table, metric: str) -> Pack:
         ids, cell = table.column("id").to_numpy(), table.column("cell").to_numpy()
         v = table.column("v").combine_chunks()
-        m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        if metric == "cosine":
-            m = unit(m)
+        given = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         order = np.lexsort((ids, cell))
-        ids, cell, m = ids[order], cell[order], m[order]
+        ids, cell, given = ids[order], cell[order], given[order]
+        with np.errstate(over="ignore"):
+            short = given.astype(np.float32)
+        given = short if np.array_equal(short, given, equal_nan=True) else given
+        m = Pack.rows(given, metric)
         first = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(ids))
         centre = np.add.reduceat(m, first[:-1], axis=0) / np.diff(first)[:, None]
         away = np.sqrt(((m - np.repeat(centre, np.diff(first), axis=0)) ** 2).sum(axis=1))
-        return Pack(ids, m, first, centre, np.maximum.reduceat(away, first[:-1]))
+        return Pack(ids, m, first, centre, np.maximum.reduceat(away, first[:-1]), given)
+
+    @staticmethod
+    def rows(given: np.ndarray, metric: str) -> np.ndarray:
+        m = given.astype(np.float64)
+        return unit(m) if metric == "cosine" else m
 
     def blob(self) -> bytes:
-        sizes = np.array([len(self.ids), self.m.shape[1], len(self.radius)], np.int64)
-        return b"".join(np.ascontiguousarray(x).tobytes() for x in (sizes, self.ids.astype(np.int64), self.first.astype(np.int64), self.m, self.centre, self.radius))
+        sizes = np.array([len(self.ids), self.given.shape[1], len(self.radius), self.given.dtype.itemsize], np.int64)
+        return b"".join(np.ascontiguousarray(x).tobytes() for x in (sizes, self.ids.astype(np.int64), self.first.astype(np.int64), self.centre, self.radius, self.given))
 
     @staticmethod
-    def read(blob: bytes) -> Pack:
-        n, d, c = np.frombuffer(blob, np.int64, 3).tolist()
-        at, out = 24, []
-        for kind, shape in ((np.int64, (n,)), (np.int64, (c + 1,)), (np.float64, (n, d)), (np.float64, (c, d)), (np.float64, (c,))):
+    def read(blob: bytes, metric: str | None = None) -> Pack:
+        """Without ``metric`` the vectors stay as they came."""
+        n, d, c, width = np.frombuffer(blob, np.int64, 4).tolist()
+        at, out = 32, []
+        for kind, shape in ((np.int64, (n,)), (np.int64, (c + 1,)), (np.float64, (c, d)), (np.float64, (c,)), (np.float32 if width == 4 else np.float64, (n, d))):
             count = int(np.prod(shape))
             out.append(np.frombuffer(blob, kind, count, at).reshape(shape))
-            at += 8 * count
-        ids, first, m, centre, radius = out
-        return Pack(ids, m, first, centre, radius)
+            at += np.dtype(kind).itemsize * count
+        ids, first, centre, radius, given = out
+        return Pack(ids, given if metric is None else Pack.rows(given, metric), first, centre, radius, given)
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -75,13 +89,17 @@ def unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
-    """Higher is better for every metric (l2: the negated squared distance).  Rounded to
-    12 places, so that equal vectors tie wherever they lie."""
+def products(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
+    """Higher is better for every metric (l2: the negated squared distance)."""
     s = q @ d.T
     if metric == "l2":
         s = 2 * s - (q * q).sum(1)[:, None] - (d * d).sum(1)[None, :]
-    return np.round(s, 12)
+    return s
+
+
+def scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
+    """Rounded to 12 places, so that equal vectors tie wherever they lie."""
+    return np.round(products(q, d, metric), 12)
 
 
 def bounds(q: np.ndarray, centre: np.ndarray, radius: np.ndarray, metric: str) -> np.ndarray:
@@ -97,28 +115,47 @@ def bounds(q: np.ndarray, centre: np.ndarray, radius: np.ndarray, metric: str) -
 def scan(q: Pack, part: Pack, k: int, metric: str, exclude_self: bool, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, score) of the part's best k rows for each query that may be among its best, and
     how many cells each query visited; ``known``: scores that a query's k-th best reaches."""
-    at, ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    best, visited = known.copy(), np.zeros(len(q.ids), np.int32)
+    n = len(q.ids)
+    ids, got = np.zeros((n, k), np.int64), np.full((n, k), -np.inf)  # the hits of each query, the best first
+    best, visited = known.copy(), np.zeros(n, np.int32)
     above = bounds(q.m, part.centre, part.radius, metric)
     for c in np.argsort(-above.max(axis=0), kind="stable").tolist():
-        ask = np.flatnonzero(above[:, c] >= best)
-        if not len(ask):
-            continue
-        visited[ask] += 1
-        own = slice(int(part.first[c]), int(part.first[c + 1]))
-        s = scores(q.m[ask], part.m[own], metric)
-        if exclude_self:
-            s[q.ids[ask][:, None] == part.ids[own][None, :]] = -np.inf
-        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(ask), -np.inf)
-        i, j = np.nonzero((s >= np.maximum(kth, best[ask])[:, None]) & (s > -np.inf))
-        at, ids, got = np.concatenate([at, ask[i]]), np.concatenate([ids, part.ids[own][j]]), np.concatenate([got, s[i, j]])
-        order = np.lexsort((ids, -got, at))
-        at, ids, got = at[order], ids[order], got[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        at, ids, got, place = at[place < k], ids[place < k], got[place < k], place[place < k]
-        full = place == k - 1
-        best[at[full]] = np.maximum(best[at[full]], got[full])
-    return at, ids, got, visited
+        asked = np.flatnonzero(above[:, c] >= best)
+        visited[asked] += 1
+        for a in range(0, len(asked), SCAN_QUERIES):
+            ask = asked[a : a + SCAN_QUERIES]
+            for b in range(int(part.first[c]), int(part.first[c + 1]), SCAN_ROWS):
+                own = slice(b, min(b + SCAN_ROWS, int(part.first[c + 1])))
+                s = products(q.m[ask], part.m[own], metric)
+                if exclude_self:
+                    s[q.ids[ask][:, None] == part.ids[own][None, :]] = -np.inf
+                floor = best[ask]
+                new = np.flatnonzero(floor == -np.inf)
+                if len(new) and s.shape[1] > k:
+                    floor[new] = np.partition(s[new], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                # only what may reach the floor is rounded, which moves a score by half a place at most
+                i, j = np.nonzero(s >= (floor - 1e-12 - SLACK * SLACK - 1e-15 * np.abs(np.where(np.isfinite(floor), floor, 0)))[:, None])
+                found = np.round(s[i, j], 12)
+                ok = (found >= best[ask[i]]) & (found > -np.inf)
+                i, j, found = i[ok], j[ok], found[ok]
+                if not len(i):
+                    continue
+                some = np.unique(i)
+                held = ask[some]
+                at = np.concatenate([np.repeat(held, k), ask[i]])
+                all_ids, all_got = np.concatenate([ids[held].ravel(), part.ids[own][j]]), np.concatenate([got[held].ravel(), found])
+                order = np.lexsort((all_ids, -all_got, at))
+                at, all_ids, all_got = at[order], all_ids[order], all_got[order]
+                keep = np.searchsorted(at, held)[:, None] + np.arange(k)
+                ids[held], got[held] = all_ids[keep], all_got[keep]
+                best[held] = np.maximum(best[held], got[held, k - 1])
+    at, place = np.nonzero(got > -np.inf)
+    return at, ids[at, place], got[at, place], visited
+
+
+def cut_at(total: int, least: int, most: int) -> int:
+    """The size of a block or part of a table of ``total`` (bytes or rows)."""
+    return max(least, min(most, -(-total // GRID)))
 
 
 def packed(rows: DataFrame, name: str, metric: str) -> DataFrame:
@@ -141,7 +178,7 @@ def met(blocks: DataFrame, parts: DataFrame, pairs: DataFrame, k: int, metric: s
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.int32())], names=["query_id", "doc_id", "score", "visited"])
-        q, part, floor = Pack.read(a.column("block_blob")[0].as_py()), Pack.read(b.column("part_blob")[0].as_py()), a.column("floor")[0].as_py()
+        q, part, floor = Pack.read(a.column("block_blob")[0].as_py(), metric), Pack.read(b.column("part_blob")[0].as_py(), metric), a.column("floor")[0].as_py()
         reached = np.full(len(q.ids), -np.inf) if floor is None else np.frombuffer(floor, np.float64)
         at, ids, got, visited = scan(q, part, k, metric, exclude_self, reached)
         n = len(q.ids)

@@ -81,3 +81,34 @@ def test_bounds_hold():
     radius = np.sqrt(((rows - centre) ** 2).sum(1)).max()[None]
     for metric in ("ip", "l2"):
         assert (vectors.scores(q, rows, metric).max(axis=1) <= vectors.bounds(q, centre, radius, metric)[:, 0]).all()
+
+
+def test_pairs_grow_with_the_table_and_not_with_its_square():
+    """Bytes that meet in tasks: a table of n bytes goes n_parts + n_blocks times."""
+    def met(total):
+        block, part = vectors.cut_at(total, 1 << 20, vectors.MOST_BYTES), vectors.cut_at(total, 4 << 20, vectors.MOST_BYTES)
+        return -(-total // block) * part + -(-total // part) * block
+
+    assert all(-(-n // vectors.cut_at(n, 1 << 20, vectors.MOST_BYTES)) <= vectors.GRID for n in (1, 5 << 20, 336 << 20))
+    assert met(336 << 20) <= 6.5 * met(56 << 20)
+
+
+def test_cells_fill_bins_of_bounded_size(spark):
+    """Many cells that are smaller than a bin, and one that is larger."""
+    sizes = [30] * 20 + [250] + [30] * 5
+    filed = spark.createDataFrame([(1000 * c + i, [1.0], c) for c, n in enumerate(sizes) for i in range(n)], "id long, v array<double>, cell int")
+    dealt, n = ann._dealt(filed, "part", 100)
+    found = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}
+    assert sum(found.values()) == sum(sizes) and max(found) < n and max(found.values()) <= 150
+    assert max(v for k, v in found.items() if k < 7) <= 100
+
+
+def test_packs_keep_every_bit_of_their_vectors():
+    import numpy as np
+    import pyarrow as pa
+
+    for m, kind in (([[0.5, 0.25], [3.0, 1.0]], np.float32), ([[0.1, 0.25], [3.0, 1e300]], np.float64)):
+        table = pa.table({"id": [7, 3], "v": pa.array(m, pa.list_(pa.float64())), "cell": pa.array([0, 0], pa.int32())})
+        own = vectors.Pack.of(table, "cosine")
+        back = vectors.Pack.read(own.blob(), "cosine")
+        assert back.given.dtype == kind and (back.m == own.m).all() and back.given.tolist() == m[::-1] and back.ids.tolist() == [3, 7]
