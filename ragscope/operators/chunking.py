@@ -10,24 +10,28 @@ plus any extra corpus columns (document metadata carried to each chunk).
   span is emitted when it holds a non-whitespace character (the index
   counts emitted chunks only); next ``start = end - overlap`` unless that
   does not advance, then ``end``; stop once ``end`` reaches ``n``.  Blank
-  documents give no chunks.  An Arrow UDF gives the chunks of each text.
+  documents give no chunks.  Chunks leave Python as rows, in batches of
+  bounded size.
 * ``char_split(sep)``: literal split, Python-style strip, empties dropped;
   the index is the part's position, so it counts the dropped empties.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.functions.text import is_blank, py_strip
+from ragscope.llm.memory import after_task
 from ragscope.operators.quantiles import quantile_wide
 from ragscope.session import scratch_path
 
-_PIECES = T.ArrayType(T.StructType([
-    T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())]))
+#: Texts taken up at once, and characters of chunks in a batch that leaves.
+ROWS, CHARS = 256, 4_000_000
 
 
 def _stop(text: str, at: int, size: int) -> int:
@@ -50,12 +54,28 @@ def fixed_spans(text: str | None, size: int, overlap: int) -> list[tuple[int, in
     return [(a, b) for a, b in spans if not text[a:b].isspace()]
 
 
-def _fixed_udf(size: int, overlap: int):
-    @F.pandas_udf(_PIECES)
-    def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"s": a, "e": b, "t": t[a:b]} for a, b in fixed_spans(t, size, overlap)] for t in texts])
+def fixed_batches(batches: Iterable[pa.RecordBatch], size: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of the texts (first column), a row each, with the other columns of their document.  Texts are taken
+    ``ROWS`` at a time and batches end at ``CHARS`` characters of chunks, so memory follows these and the longest text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part, rows, held = batch.slice(at, ROWS), [], 0
+            for i, text in enumerate(part.column(0).to_pylist()):
+                for number, (a, b) in enumerate(fixed_spans(text, size, overlap)):
+                    rows.append((i, number, a, b, text[a:b]))
+                    held += b - a
+                    if held >= CHARS:
+                        yield _rows(part, rows)
+                        rows, held = [], 0
+            if rows:
+                yield _rows(part, rows)
+
 
-    return pieces
+def _rows(part: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    i, number, a, b, text = zip(*rows, strict=True)
+    own = part.select(part.schema.names[1:]).take(pa.array(i, pa.int64()))
+    made = [pa.array(number, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(text, pa.string())]
+    return pa.RecordBatch.from_arrays([*own.columns, *made], names=[*own.schema.names, "chunk_index", "_s", "_e", "_t"])
 
 
 def java_quote(s: str) -> str:
@@ -76,11 +96,14 @@ def chunk(corpus: DataFrame, strategy: str | None = None, size: int = 500, overl
         if size <= 0:
             raise ValueError("chunk_size must be > 0")
         # the chunks leave with their own text; the document's is not copied to their rows
-        ex = corpus.select(doc.alias("_doc"), *meta, F.posexplode(_fixed_udf(int(size), int(overlap))(F.col(text_col))).alias("chunk_index", "_p"))
+        texts = corpus.select(F.col(text_col).alias("_text"), doc.alias("_doc"), *meta)
+        out = T.StructType([*texts.schema.fields[1:], T.StructField("chunk_index", T.IntegerType()), T.StructField("_s", T.IntegerType()),
+                            T.StructField("_e", T.IntegerType()), T.StructField("_t", T.StringType())])
+        ex = texts.mapInArrow(after_task(lambda batches: fixed_batches(batches, int(size), int(overlap))), out)
         return ex.select(
             F.col("_doc").alias("doc_id"), "chunk_index",
             F.concat("_doc", F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
-            F.col("_p.s").alias("start_char"), F.col("_p.e").alias("end_char"), F.col("_p.t").alias("text"), *meta)
+            F.col("_s").alias("start_char"), F.col("_e").alias("end_char"), F.col("_t").alias("text"), *meta)
     if strategy == "char_split":
         if not sep:
             raise ValueError("split_sequence must not be empty")

@@ -52,3 +52,19 @@ def test_none_strategy(spark):
     df = spark.createDataFrame([("a", "hello", "m")], "doc_id string, text string, source string")
     r = chunk(df, None).first()
     assert (r["chunk_id"], r["chunk_index"], r["source"]) == ("a", 0, "m")
+
+
+def test_chunks_leave_in_batches_of_bounded_size(monkeypatch):
+    """However many texts Spark hands over at once."""
+    import pyarrow as pa
+
+    from ragscope.operators import chunking
+
+    monkeypatch.setattr(chunking, "ROWS", 3)
+    monkeypatch.setattr(chunking, "CHARS", 500)
+    texts = ["word " * 300, None, " ", "", "short", "x" * 700, "a b " * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([str(i) for i in range(7)])], names=["_text", "_doc"])
+    out = list(chunking.fixed_batches([batch], 100, 10))
+    assert all(sum(map(len, b.column("_t").to_pylist())) < 500 + 100 for b in out)
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(str(i), n, a, b, t[a:b]) for i, t in enumerate(texts) for n, (a, b) in enumerate(chunking.fixed_spans(t, 100, 10))]
