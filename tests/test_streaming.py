@@ -41,3 +41,13 @@ def test_several_micro_batches(spark, name):
     made = [d for d in set(os.listdir(_session_scratch(spark))) - before if "-ckpt-" in d]
     assert len(made) == 1
     assert L.batches(os.path.join(_session_scratch(spark), made[0]), spark) >= DELIVERIES
+
+
+def test_copies_of_a_delivery_land_before_the_next(spark, tmp_path):
+    import os
+
+    df = spark.range(40).selectExpr("id", "timestamp_seconds(id) as at")
+    L.stage_files(df, f"{tmp_path}/in", "at", 4, copies=2)
+    at = {d: min(os.stat(f"{tmp_path}/in/{d}/{f}").st_mtime_ns for f in os.listdir(f"{tmp_path}/in/{d}") if f.endswith(".parquet")) for d in os.listdir(f"{tmp_path}/in")}
+    assert sorted(at, key=at.get) == sorted(at) and len(at) == 8
+    assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/in/000-1").collect()] == [r["id"] for r in spark.read.parquet(f"{tmp_path}/in/000-0").collect()]
