@@ -72,7 +72,7 @@ def _dealt(filed: DataFrame, name: str, limit: int) -> tuple[DataFrame, int]:
         at, room = (at, room - n) if n <= limit else (at + many[cell], limit)
     places = filed.sparkSession.createDataFrame([(c, first[c], many[c]) for c in first], "cell int, first int, many int")
     return filed.join(F.broadcast(places), "cell").select(  # bounded by MOST_CELLS
-        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias(name), "id", "v", "cell"), max(first[c] + many[c] for c in first)
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias(name), "id", "v", "cell"), max([1, *(first[c] + many[c] for c in first)])
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 3, metric: str = "cosine", query_id: str = "query_id", query_vec: str = "embedding",
