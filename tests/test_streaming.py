@@ -90,3 +90,13 @@ def test_state_settings_are_taken_back(spark):
         assert spark.conf.get(key) == "zstd"
         raise ValueError
     assert spark.conf.get(key, None) == before
+
+
+def test_span_lines_are_written_once_and_by_traces(spark):
+    before = set(os.listdir(_session_scratch(spark)))
+    QUERIES["span_quarantine"](spark, SF_SMALL).collect()
+    new = {d.rsplit("-", 1)[0]: f"{_session_scratch(spark)}/{d}" for d in set(os.listdir(_session_scratch(spark))) - before}
+    assert set(new) == {"evals-keyed", "repeated-rows", "span-lines", "span-lines-ckpt", "span-split"}
+    lines = spark.read.text(f"{new['span-lines']}/*").select(F.get_json_object("value", "$.trace_id").alias("t"), F.input_file_name().alias("f"))
+    one = lines.where("t <> 't'").withColumn("d", F.regexp_extract("f", r"/([0-9]+)/part", 1)).groupBy("t").agg(F.countDistinct("d").alias("n"), F.count(F.lit(1)).alias("k"))
+    assert one.where("n <> 1 OR k < 3").count() == 0 and one.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
